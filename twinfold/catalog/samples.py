@@ -235,25 +235,30 @@ def compute_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_one_to_one(candidates).pairs
 
 
-_PAIRS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored pair table of this session, built on first use from the given tables.
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table of this session that several reports read, built on first use.
 
-    The reports read one stored pair table, as they do in a full run.
+    A full run stores the pairs and the decisions once and fans out from them.
     """
-    key = (spark.conf.get("spark.app.id", ""), sf_dir)
-    if key not in _PAIRS:
-        _PAIRS[key] = materialize(compute_pairs(spark, sf_dir), "pairs")
-    return _PAIRS[key]
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), name)
+    return _STORED[key]
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "pairs", lambda: compute_pairs(spark, sf_dir))
 
 
-def forget_pairs() -> None:
-    _PAIRS.clear()
+def forget() -> None:
+    """Make the next use build the stored tables again."""
+    _STORED.clear()
 
 
 __all__ = [
-    "EXTRAS", "compute_pairs", "forget_pairs", "links_sql", "match_all", "match_report", "pairs",
-    "pairs_sql", "snap_new", "snap_old", "snapshots_sql", "table", "with_sql",
+    "EXTRAS", "compute_pairs", "forget", "links_sql", "match_all", "match_report", "pairs",
+    "pairs_sql", "snap_new", "snap_old", "snapshots_sql", "stored", "table", "with_sql",
 ]

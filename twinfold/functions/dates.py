@@ -72,16 +72,13 @@ def day_gap(old: Column | str, new: Column | str) -> Column:
     return F.abs(F.datediff(iso_date(new), iso_date(old)))
 
 
-def hire_date_pattern(
-    old: Column | str, new: Column | str, source: Column | str, has_other_fix: Column
-) -> Column:
-    """Struct (action, reason) when the gap is a known systematic shift, else NULL."""
-    days = day_gap(old, new)
-    applies = folded(source).isin("worker_id", "pk")
+def pattern_of(days: Column, source: Column, has_other_fix: Column) -> Column:
+    """Struct (action, reason) when the gap in days is a known systematic shift, else NULL."""
+    applies = source.isin("worker_id", "pk")
+    year = days.isin(*YEAR_SHIFT_DAYS)
     result = lambda action, reason: F.struct(
         F.lit(action).alias("action"), F.lit("hire_date:" + reason).alias("reason")
     )
-    year = days.isin(*YEAR_SHIFT_DAYS)
     return (
         F.when(applies & (days == 1), result("APPROVE", "off_by_one_day_pattern"))
         .when(applies & year & ~has_other_fix, result("APPROVE", "systematic_year_shift_pattern"))
@@ -89,5 +86,11 @@ def hire_date_pattern(
     )
 
 
+def hire_date_pattern(
+    old: Column | str, new: Column | str, source: Column | str, has_other_fix: Column
+) -> Column:
+    return pattern_of(day_gap(old, new), folded(source), has_other_fix)
+
+
 def month_prefix(c: Column | str) -> Column:
     return F.substring(as_col(c), 1, 7)

@@ -57,14 +57,10 @@ def _near(ratio: Column, target: int) -> Column:
     return F.abs(ratio - target) / target <= CONVERSION_TOLERANCE
 
 
-def payrate_conversion(
-    old_salary: Column | str, new_salary: Column | str,
-    old_payrate: Column | str, new_payrate: Column | str,
-) -> Column:
+def conversion_of(old_salary: Column, new_salary: Column, old_rate: Column, new_rate: Column) -> Column:
     """Name of the unit conversion that explains a pay rate change, else NULL."""
-    new_rate, old_rate = parse_money(new_payrate), parse_money(old_payrate)
-    over_new = F.try_divide(parse_money(old_salary), F.when(new_rate > 0, new_rate))
-    over_old = F.try_divide(parse_money(new_salary), F.when(old_rate > 0, old_rate))
+    over_new = F.try_divide(old_salary, F.when(new_rate > 0, new_rate))
+    over_old = F.try_divide(new_salary, F.when(old_rate > 0, old_rate))
     return (
         F.when(_near(over_new, HOURS_PER_YEAR), "annual_to_hourly")
         .when(_near(over_old, HOURS_PER_YEAR), "hourly_to_annual")
@@ -73,6 +69,13 @@ def payrate_conversion(
     )
 
 
+def payrate_conversion(
+    old_salary: Column | str, new_salary: Column | str,
+    old_payrate: Column | str, new_payrate: Column | str,
+) -> Column:
+    return conversion_of(*[parse_money(c) for c in (old_salary, new_salary, old_payrate, new_payrate)])
+
+
 def _bands(value: Column, table, closed: bool) -> Column:
     chain = None
     for label, low, high in table:

@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blanks import as_col, changed, folded, text
-from ..functions.dates import hire_date_pattern
-from ..functions.numbers import (
-    money_delta, money_ratio, parse_confidence, payrate_conversion,
-)
+from ..functions.dates import day_gap, pattern_of
+from ..functions.numbers import conversion_of, money_delta, parse_confidence, parse_money
 from ..policy import auto_approve_sources, load_policy
 from .waves import flag_waves
 
@@ -47,51 +45,79 @@ def fix_tests() -> dict[str, Column]:
     }
 
 
+def _listed(tests: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
+
+
 def infer_fix_types() -> Column:
     """Array of the field groups that changed, in fixed order."""
-    return F.array_compact(F.array(*[F.when(test, name) for name, test in fix_tests().items()]))
+    return _listed(fix_tests())
 
 
-def _thresholds(rules: dict, key: Column) -> Column:
-    default = rules["_default"].get("min_confidence", 0.95)
-    chain = None
-    for name, rule in rules.items():
-        if name == "_default" or rule.get("auto_approve"):
-            continue
-        value = F.lit(float(rule.get("min_confidence", 0.95)))
-        chain = F.when(key == name, value) if chain is None else chain.when(key == name, value)
-    return chain.otherwise(F.lit(float(default))) if chain is not None else F.lit(float(default))
+def _by_name(key: Column, values: dict[str, float], default: float) -> Column:
+    chain = F.lit(float(default))
+    for name, value in reversed(values.items()):
+        chain = F.when(key == name, float(value)).otherwise(chain)
+    return chain
 
 
-def min_confidence(source: Column, fix_type: Column | str, policy: dict) -> Column:
+def source_floor(source: Column, policy: dict) -> Column:
+    """Least confidence a match source asks for; 0 for auto-approved sources."""
+    rules = policy["confidence_policy"]["match_source"]
+    values = {
+        name: 0.0 if rule.get("auto_approve") else rule.get("min_confidence", 0.95)
+        for name, rule in rules.items() if name != "_default"
+    }
+    return _by_name(source, values, rules["_default"].get("min_confidence", 0.95))
+
+
+def _field_floor(fix_type: str, policy: dict) -> float:
+    rules = policy["confidence_policy"]["fix_type"]
+    return float(rules.get(fix_type, rules["_default"]).get("min_confidence", 0.95))
+
+
+def min_confidence(source: Column, fix_type: Column, policy: dict) -> Column:
     """The stricter of the source's and the field's threshold; 0 for auto-approved sources."""
-    rules = policy["confidence_policy"]
-    key = F.lit(fix_type) if isinstance(fix_type, str) else fix_type
-    strictest = F.greatest(
-        _thresholds(rules["match_source"], source), _thresholds(rules["fix_type"], key)
-    )
+    rules = policy["confidence_policy"]["fix_type"]
+    values = {n: r.get("min_confidence", 0.95) for n, r in rules.items() if n != "_default"}
+    field = _by_name(fix_type, values, rules["_default"].get("min_confidence", 0.95))
+    strictest = F.greatest(source_floor(source, policy), field)
     return F.when(source.isin(*auto_approve_sources(policy)), 0.0).otherwise(strictest)
 
 
-def classify_field(fix_type: Column | str, policy: dict) -> Column:
-    """Struct (action, min_confidence, confidence, reason) for one field of a pair."""
-    source = F.coalesce(F.nullif(folded("match_source"), F.lit("")), F.lit("unknown"))
-    score = parse_confidence("confidence")
-    needed = min_confidence(source, fix_type, policy)
-    floor = F.lit(float(policy["confidence_policy"]["low_confidence_floor"]))
+def normal_source() -> Column:
+    return F.coalesce(F.nullif(folded("match_source"), F.lit("")), F.lit("unknown"))
+
+
+def classify_field(
+    fix_type: str, policy: dict, source: Column | None = None, score: Column | None = None,
+    floor: Column | None = None,
+) -> Column:
+    """Struct (action, min_confidence, confidence, reason) for one field of a pair.
+
+    ``source``, ``score`` and ``floor`` may be given as prepared columns.
+    """
+    source = normal_source() if source is None else source
+    score = parse_confidence("confidence") if score is None else score
+    floor = source_floor(source, policy) if floor is None else floor
+    needed = F.greatest(floor, F.lit(_field_floor(fix_type, policy)))
+    low = float(policy["confidence_policy"]["low_confidence_floor"])
     auto = source.isin(*auto_approve_sources(policy))
-    enough = score >= needed
-    note = lambda name, sign, limit, digits: F.concat(
-        F.lit(name + " ("), fixed(score, 3), F.lit(sign), fixed(limit, digits), F.lit(")")
+    enough = F.coalesce(score >= needed, F.lit(False))
+    name = (
+        F.when(enough, "confidence_ok (").when(score >= low, "below_threshold (")
+        .otherwise("low_confidence (")
+    )
+    limit = F.when(enough | (score >= low), fixed(needed, 3)).otherwise(f"{low:.2f}")
+    measured = F.concat(
+        name, fixed(score, 3), F.when(enough, ">=").otherwise("<"), limit, F.lit(")")
     )
     reason = (
         F.when(auto, "worker_id_auto_approve").when(score.isNull(), "missing_confidence")
-        .when(enough, note("confidence_ok", ">=", needed, 3))
-        .when(score >= floor, note("below_threshold", "<", needed, 3))
-        .otherwise(note("low_confidence", "<", floor, 2))
+        .otherwise(measured)
     )
     return F.struct(
-        F.when(auto | F.coalesce(enough, F.lit(False)), "APPROVE").otherwise("REVIEW").alias("action"),
+        F.when(auto | enough, "APPROVE").otherwise("REVIEW").alias("action"),
         F.when(~auto, needed).alias("min_confidence"),
         score.alias("confidence"),
         reason.alias("reason"),
@@ -107,25 +133,20 @@ def _override(base: Column, test: Column, action: Column | str, reason: Column)
     return F.when(F.coalesce(test, F.lit(False)), replaced).otherwise(base)
 
 
-def _field_gates(policy: dict) -> dict[str, Column]:
-    """The per-field verdict after the overrides of that field."""
-    ratio, fixes = F.col("_ratio"), F.col("fix_types")
-    base = {name: classify_field(name, policy) for name in FIX_TYPES}
-
+def _overridden() -> dict[str, Column]:
+    """The field verdicts (columns ``_b_<field>``) after the overrides of each field."""
+    ratio, base = F.col("_ratio"), {f: F.col(f"_b_{f}") for f in FIX_TYPES}
     extreme = (ratio < RATIO_LOW) | (ratio > RATIO_HIGH)
     extreme_reason = F.concat(
         F.lit("salary_ratio_extreme ("), fixed(ratio, 4),
         F.lit(f" outside [{RATIO_LOW:.2f}, {RATIO_HIGH:.2f}])"),
     )
-    leaving = (folded("old_worker_status") == "active") & folded("new_worker_status").isin(*TERMINATED)
+    old_status, new_status = F.col("_old_status"), F.col("_new_status")
+    leaving = (old_status == "active") & new_status.isin(*TERMINATED)
     leaving_reason = F.concat(
-        F.lit("active_to_terminated ("), folded("old_worker_status"), F.lit("->"),
-        folded("new_worker_status"), F.lit(")"),
+        F.lit("active_to_terminated ("), old_status, F.lit("->"), new_status, F.lit(")")
     )
-    pattern = hire_date_pattern(
-        "old_hire_date", "new_hire_date", "match_source", F.size(F.array_remove(fixes, "hire_date")) > 0
-    )
-    conversion = F.col("conversion_type")
+    pattern, conversion = F.col("_pattern"), F.col("conversion_type")
     return {
         "salary": _override(base["salary"], extreme, "REVIEW", extreme_reason),
         "payrate": _override(
@@ -140,11 +161,6 @@ def _field_gates(policy: dict) -> dict[str, Column]:
     }
 
 
-def _per_fix(fixes: Column, gates: dict[str, Column]) -> Column:
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), g.alias("value")) for n, g in gates.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: F.array_contains(fixes, e["key"])))
-
-
 def reject_reason(source: Column, score: Column, ratio: Column, conversion: Column) -> Column:
     """Why the two records look like different people, else NULL."""
     value = F.coalesce(score, F.lit(0.0))
@@ -178,51 +194,75 @@ def gate(
     """Add fix_types, per_fix, action, reason, conversion_type and the deltas to every pair.
 
     Everything is a column expression over one row; the only join is with the
-    short list of wave dates.
+    short list of wave dates. Values used more than once are columns of an
+    earlier projection, so they are computed once per row. Reports that filter
+    on the decision should read a stored result: a filter on ``action`` would
+    otherwise carry the whole decision down to the scan a second time.
     """
     policy = load_policy(policy)
     if "name_change_detected" not in pairs.columns:
         pairs = pairs.withColumn("name_change_detected", F.lit(False))
+    col = F.col
     rows = flag_waves(pairs, waves, min_rate).withColumns({
-        "fix_types": infer_fix_types(),
-        "salary_delta": money_delta("old_salary", "new_salary"),
-        "payrate_delta": money_delta("old_payrate", "new_payrate"),
-        "_ratio": money_ratio("old_salary", "new_salary"),
-        "_conversion": payrate_conversion("old_salary", "new_salary", "old_payrate", "new_payrate"),
+        "_source": normal_source(), "_score": parse_confidence("confidence"),
+        "_old_salary": parse_money("old_salary"), "_new_salary": parse_money("new_salary"),
+        "_old_rate": parse_money("old_payrate"), "_new_rate": parse_money("new_payrate"),
+        "_old_status": folded("old_worker_status"), "_new_status": folded("new_worker_status"),
+        "_days": day_gap("old_hire_date", "new_hire_date"),
+        "_f_hire_date": differs("hire_date"),
+        "_f_job_org": differs("position") | differs("district") | differs("location_state"),
     })
-    fixes = F.col("fix_types")
-    rows = rows.withColumn(
-        "conversion_type", F.when(F.array_contains(fixes, "payrate"), F.col("_conversion"))
-    )
-    rows = rows.withColumn("per_fix", _per_fix(fixes, _field_gates(policy)))
-
-    per_fix = F.col("per_fix")
-    field_reasons = F.transform(
-        F.filter(fixes, lambda f: F.element_at(per_fix, f)["action"] == "REVIEW"),
-        lambda f: F.concat(f, F.lit(":"), F.element_at(per_fix, f)["reason"]),
-    )
-    pair_reasons = F.array_compact(
-        F.array(F.when(F.col("in_wave"), "hire_date_wave"), name_change_reason())
-    )
     rows = rows.withColumns({
-        "_reject": reject_reason(
-            folded("match_source"), parse_confidence("confidence"), F.col("_ratio"), F.col("conversion_type")
+        "salary_delta": col("_new_salary") - col("_old_salary"),
+        "payrate_delta": col("_new_rate") - col("_old_rate"),
+        "_ratio": F.try_divide(col("_new_salary"), col("_old_salary")),
+        "_f_status": col("_old_status") != col("_new_status"),
+        "_floor": source_floor(col("_source"), policy),
+        "_conversion": conversion_of(*[col(f"_{s}_{f}") for f in ("salary", "rate") for s in ("old", "new")]),
+    })
+    rows = rows.withColumns({
+        "_f_salary": F.coalesce(col("salary_delta") != 0, F.lit(False)),
+        "_f_payrate": F.coalesce(col("payrate_delta") != 0, F.lit(False)),
+    })
+    changes = {f: col(f"_f_{f}") for f in FIX_TYPES}
+    others = reduce(lambda a, b: a | b, [t for f, t in changes.items() if f != "hire_date"])
+    rows = rows.withColumns({
+        "fix_types": _listed(changes),
+        "conversion_type": F.when(changes["payrate"], col("_conversion")),
+        "_pattern": pattern_of(col("_days"), col("_source"), others),
+        **{f"_b_{f}": classify_field(f, policy, col("_source"), col("_score"), col("_floor")) for f in FIX_TYPES},
+    })
+    rows = rows.withColumns({f"_g_{f}": g for f, g in _overridden().items()})
+    field_reasons = [
+        F.when(changes[f] & (col(f"_g_{f}.action") == "REVIEW"), F.concat(F.lit(f + ":"), col(f"_g_{f}.reason")))
+        for f in FIX_TYPES
+    ]
+    entries = F.array_compact(F.array(*[
+        F.when(changes[f], F.struct(F.lit(f).alias("key"), col(f"_g_{f}").alias("value"))) for f in FIX_TYPES
+    ]))
+    rows = rows.withColumns({
+        "per_fix": F.map_from_entries(entries),
+        "_reject": reject_reason(col("_source"), col("_score"), col("_ratio"), col("conversion_type")),
+        "_review": F.concat_ws(
+            "|", *field_reasons, F.when(col("in_wave"), "hire_date_wave"), name_change_reason()
         ),
-        "_review": F.array_join(F.concat(field_reasons, pair_reasons), "|"),
     })
-    unchanged = F.size(fixes) == 0
-    action = (
-        F.when(unchanged, F.when(F.col("in_wave"), "REVIEW").otherwise("APPROVE"))
-        .when(F.col("_reject").isNotNull(), "REJECT_MATCH")
-        .when(F.col("_review") != "", "REVIEW").otherwise("APPROVE")
-    )
-    reason = (
-        F.when(unchanged & F.col("in_wave"), "hire_date_wave").when(unchanged, "no_changes_detected")
-        .when(F.col("_reject").isNotNull(), F.col("_reject"))
-        .when(F.col("_review") != "", F.col("_review")).otherwise("all_fix_types_approved")
+    unchanged = F.size("fix_types") == 0
+    case = (
+        F.when(unchanged & col("in_wave"), _verdict("REVIEW", F.lit("hire_date_wave")))
+        .when(unchanged, _verdict("APPROVE", F.lit("no_changes_detected")))
+        .when(col("_reject").isNotNull(), _verdict("REJECT_MATCH", col("_reject")))
+        .when(col("_review") != "", _verdict("REVIEW", col("_review")))
+        .otherwise(_verdict("APPROVE", F.lit("all_fix_types_approved")))
     )
-    rows = rows.withColumns({"action": action, "reason": reason, "salary_ratio": F.col("_ratio")})
-    return rows.drop("_ratio", "_conversion", "_reject", "_review")
+    rows = rows.withColumn("_case", case).withColumns({
+        "action": col("_case.action"), "reason": col("_case.reason"), "salary_ratio": col("_ratio"),
+    })
+    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+
+
+def _verdict(action: str, reason: Column) -> Column:
+    return F.struct(F.lit(action).alias("action"), reason.alias("reason"))
 
 
 def has_fix(name: str) -> Column:

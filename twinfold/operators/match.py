@@ -109,19 +109,22 @@ def tiered_match(
     tiers = tuple(t for t in tiers if all(c in old.columns and c in new.columns for c in t[1]))
     has_id = F.lit(True) if allow_blank_id else folded("worker_id") != ""
 
-    pools = [
-        stage(_tier_keys(side.where(has_id), tiers, row, require_all_parts), f"{name}-keys")
-        for name, side in (("old", old), ("new", new))
-    ]
+    pools = [_tier_keys(side.where(has_id), tiers, row, require_all_parts) for side in (old, new)]
     found: list[DataFrame] = []
     for i, (source, _) in enumerate(tiers):
         left, right = (p.select(row, f"_k{i}") for p in pools)
-        if found:
-            done = reduce(DataFrame.unionByName, found)
+        if found[1:]:
+            done = reduce(DataFrame.unionByName, found[1:])
             left = without_rows(left, done, "old_row", row)
             right = without_rows(right, done, "new_row", row)
         tier = link_unique_keys(left, right, f"_k{i}", source, row)
         found.append(stage(tier.withColumn("tier", F.lit(i)), f"links-{source}"))
+        if i == 0:
+            # The first tier links most rows; the later ones read only what it left.
+            pools = [
+                stage(without_rows(pool, found[0], f"{name}_row", row), f"{name}-keys")
+                for name, pool in zip(("old", "new"), pools)
+            ]
     links = reduce(DataFrame.unionByName, found)
 
     reason = F.when(has_id, "no_match_found").otherwise("no_id").alias("unmatched_reason")
