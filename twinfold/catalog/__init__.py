@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching", "gating")
+MODULES = ("matching", "gating", "audits")
 
 
 def _modules():

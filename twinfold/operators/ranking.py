@@ -20,6 +20,7 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column] | list[str], n:
 
 def examples(df: DataFrame, keys: list[str], value: str, order: str, n: int, name: str = "examples") -> DataFrame:
     """Per group, the ``value`` of its first ``n`` rows as an ordered array."""
-    few = first_n(df.select(*keys, value, order), keys, [order], n)
-    gathered = F.sort_array(F.collect_list(F.struct(order, value)))
-    return few.groupBy(*keys).agg(gathered[value].alias(name))
+    few = df.select(*keys, F.col(order).alias("_order"), F.col(value).alias("_value"))
+    few = first_n(few, keys, ["_order"], n)
+    gathered = F.sort_array(F.collect_list(F.struct("_order", "_value")))
+    return few.groupBy(*keys).agg(gathered["_value"].alias(name))
