@@ -175,13 +175,13 @@ def _add(name, query, sql=None):
         SQL[name] = sql
 
 
-def _cases(facts):
-    return checks.row_cases(facts, CONFIG, AS_OF)
+def _cases(facts, values=True):
+    return checks.row_cases(facts, CONFIG, AS_OF, values)
 
 
 def _row_findings(spark, sf_dir):
     facts = with_facts(people(spark, sf_dir))
-    return checks.row_findings(facts, _cases(facts)).select("check_key", "field", "severity", "value", "count", "pct")
+    return checks.row_findings(facts, _cases(facts, False)).select("check_key", "field", "severity", "value", "count", "pct")
 
 
 _add("audit_row_checks", _row_findings, people_sql(
@@ -285,8 +285,9 @@ _add("audit_combined_fields",
      lambda s, d: checks.combined_fields(
          people(s, d).join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("src_ord")).agg(
              F.min("o_orderpriority").alias("priority")), "src_ord")).select("field", "count", "pct"),
-     people_sql("select 'code' as field, count(*) as count, 100.0 as pct from people join p using (k) union all "
-                "select 'priority', count(*), 100.0 from people join p using (k)",
+     people_sql("select 'code' as field, count(*) as count, 100.0::double as pct from people join p using (k) union all "
+                "select 'priority', count(*), 100.0 from people join p using (k) union all "
+                "select 'termination_date', count(*), 100.0 from people join p using (k) where termination_date <> ''",
                 [("p", "select o_custkey as k, min(o_orderpriority) as priority from orders group by 1")]))
 _add("audit_salary_distribution", lambda s, d: checks.salary_distribution(people(s, d)),
      people_sql(f"select b as bucket, count(sal) as count, round(count(sal) / {_ROWCOUNT} * 100, 2) as pct from (select unnest(['Under $30k', '$30k-$60k', "

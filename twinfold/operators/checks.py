@@ -98,18 +98,24 @@ class Case:
     setting: str = ""
 
 
-def _labelled(**parts: Column) -> Column:
+def labelled(**parts: Column) -> Column:
     pieces = [F.concat(F.lit(name.replace("_", " ").title() + ": "), value) for name, value in parts.items()]
     return F.concat_ws(" | ", *pieces)
 
 
-def row_cases(df: DataFrame, config: dict, as_of: str, roles: dict[str, str] | None = None) -> list[Case]:
-    """All row checks whose columns the table has; ``df`` must carry the facts."""
-    roles = roles_of(df) if roles is None else roles
+def row_cases(df: DataFrame, config: dict, as_of: str, values: bool = True) -> list[Case]:
+    """All row checks whose columns the table has; ``df`` must carry the facts.
+
+    ``values=False`` leaves out the texts that show the offending values, which
+    a count does not need.
+    """
+    roles = roles_of(df)
+    blank = F.lit("")
+    _labelled = labelled if values else (lambda **parts: blank)
     has = lambda *names: all(n in roles for n in names)
     f = lambda name: F.col(f"f_{name}")
     val = lambda role, other="": (
-        F.coalesce(F.nullif(shown(roles[role]), F.lit("")), F.lit(other)) if role in roles else F.lit(other))
+        F.coalesce(F.nullif(shown(roles[role]), F.lit("")), F.lit(other)) if values and role in roles else F.lit(other))
     col = lambda role: roles.get(role, "")
     active, today = f("status") == "active", F.lit(as_of).cast("date")
     pay_known = f("pay").isin("hourly", "salaried")
@@ -767,7 +773,7 @@ def all_findings(df: DataFrame, as_of: str, policy: dict | None = None, raw: Dat
     facts = with_facts(df)
     threshold = config["high_blank_rate_threshold"]
     parts = [
-        row_findings(facts, row_cases(facts, config, as_of)),
+        row_findings(facts, row_cases(facts, config, as_of, values=False)),
         duplicate_findings(df, config["duplicate_check_fields"]),
         table_findings(df), combined_fields(df), blank_findings(completeness(df, threshold), threshold),
     ]
