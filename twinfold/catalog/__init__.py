@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching", "gating", "audits", "quality", "scalars")
+MODULES = ("matching", "gating", "audits", "quality", "scalars", "reviewing")
 
 
 def _modules():
