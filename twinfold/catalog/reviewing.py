@@ -178,6 +178,18 @@ _add("review_candidates_tiered",
               "union all select confidence, score, old_row, new_row, notes from tb"))
 
 
+_LIMIT = 4
+_add("crowded_candidates",
+     lambda s, d: review.crowded_candidates(_grouped_names(snap_old(s, d)), _grouped_names(snap_new(s, d)), _LIMIT).select(
+         "side", "confidence", "key", "row", "n_old", "n_new"),
+     with_sql(samples._snapshots_sql() + _TIERED, " union all ".join(
+         f"select '{side}' as side, '{level}' as confidence, key, row, n_old, n_new from (select *, {key.replace('#.', '')} as key from {me}) join "
+         f"(select key, n_old, n_new from (select {key.replace('#.', '')} as key, count(*) as n_old from {o} group by 1) join "
+         f"(select {key.replace('#.', '')} as key, count(*) as n_new from {n} group by 1) using (key) where n_old * n_new > {_LIMIT}) using (key)"
+         for level, key, o, n in (("HIGH", _key_a, "g_old", "g_new"), ("MED", _key_b, "rest_old", "rest_new"))
+         for side, me in (("old", o), ("new", n)))))
+
+
 def decided(spark, sf_dir):
     """A reviewed list: the pairs with reviewer words and scores."""
     return pairs(spark, sf_dir).select(

@@ -26,7 +26,9 @@ def norm_title(c: Column | str) -> Column:
 def load_bands(raw: DataFrame, order: str | None = None) -> DataFrame:
     """Band table with numeric limits, normalised title and state, and its file order."""
     names = [c.strip().lower() for c in raw.columns]
-    bands = raw.toDF(*[BAND_ALIASES.get(n, n) if BAND_ALIASES.get(n, n) not in names or n == BAND_ALIASES.get(n, n) else n for n in names])
+    renamed = [BAND_ALIASES.get(n, n) for n in names]
+    # A column that already has the standard name keeps it against a synonym.
+    bands = raw.toDF(*[r if n == r or r not in names else n for n, r in zip(names, renamed)])
     for needed in ("job_title", "band_min", "band_max"):
         if needed not in bands.columns:
             raise ValueError(f"band table is missing required column {needed!r}")
@@ -54,13 +56,24 @@ def _lead_tokens(title: str) -> Column:
     return F.slice(words, 1, F.greatest(n - F.ceil(n * SIMILAR).cast("int") + 1, F.lit(1)))
 
 
+def _sizes_near(title: str) -> Column:
+    """Word counts a similar title can have: from s * n to n / s."""
+    n = F.size(_tokens(title))
+    return F.sequence(F.ceil(n * SIMILAR).cast("int"), F.floor(n / SIMILAR).cast("int"))
+
+
 def similar_titles(keys: DataFrame, bands: DataFrame) -> DataFrame:
-    """(title_key, band columns, score) of titles that share enough words, by joining on words."""
-    titles = keys.select("title_key").distinct().withColumn("word", F.explode(_lead_tokens("title_key")))
-    known = bands.select(F.col("title_key").alias("band_title")).distinct().withColumn(
-        "word", F.explode(_lead_tokens("band_title"))
-    )
-    near = titles.join(known, "word").select("title_key", "band_title").distinct()
+    """(title_key, band_title, score) of titles that share enough words.
+
+    An equi-join on a lead word and the word count replaces comparing every
+    title with every band.
+    """
+    titles = keys.select("title_key").distinct().select(
+        "title_key", F.explode(_lead_tokens("title_key")).alias("word"), _sizes_near("title_key").alias("sizes"))
+    titles = titles.select("title_key", "word", F.explode("sizes").alias("size"))
+    known = bands.select(F.col("title_key").alias("band_title")).distinct().select(
+        "band_title", F.explode(_lead_tokens("band_title")).alias("word"), F.size(_tokens("band_title")).alias("size"))
+    near = titles.join(known, ["word", "size"]).select("title_key", "band_title").distinct()
     return near.withColumn("score", title_similarity(F.col("title_key"), F.col("band_title"))).where(
         F.col("score") >= SIMILAR
     )

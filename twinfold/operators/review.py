@@ -19,6 +19,8 @@ REVIEW_FIELDS = (
 )
 NAME_CLOSE = 0.90
 ROWS_PER_SIDE = 25
+# Keys with more pairs than this are listed by their members.
+PAIR_LIMIT = 1_000_000
 
 # Reviewer words that approve a pair.
 MATCH_WORDS = ("match", "matched", "yes", "y", "true", "1", "approve", "approved")
@@ -86,19 +88,44 @@ def _weighted_score(pairs: DataFrame, method: str) -> DataFrame:
 
 SCORES = {"signals": _signal_score, "weighted": _weighted_score}
 
-# Two agreeing fields beside the last four digits; every pair that reaches
-# MEDIUM under either score agrees on at least one of these sets.
-EVIDENCE = {
-    "signals": (("dob",), ("birth_year", "last_name_prefix3"), ("birth_year", "location_state"),
-                ("last_name_prefix3", "location_state")),
-    "weighted": (("dob",), ("birth_year", "last_name_prefix3"), ("birth_year", "full_name_norm"),
-                 ("last_name_prefix3",)),
-}
+# Fields that agree beside the last four digits; every pair of the ``signals``
+# score that reaches MEDIUM agrees on at least one of these sets.
+EVIDENCE = (
+    ("dob",), ("birth_year", "last_name_prefix3"), ("birth_year", "location_state"),
+    ("last_name_prefix3", "location_state"),
+)
+
+
+def group_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key on each side, for the keys both sides have."""
+    sides = [
+        side.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        for name, side in (("old", left), ("new", right))
+    ]
+    return sides[0].join(sides[1], keys)
+
+
+def _pairable(sizes: DataFrame, limit: int | None) -> DataFrame:
+    return sizes if limit is None else sizes.where(F.col("n_old") * F.col("n_new") <= limit)
+
+
+def crowded_members(left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT) -> DataFrame:
+    """The rows of keys with more than ``limit`` pairs, once each instead of as pairs.
+
+    Every old row of a key goes with every new row of it, so the two member
+    lists say the same as the pairs and grow with the rows, not their product.
+    """
+    crowded = group_sizes(left, right, keys).where(F.col("n_old") * F.col("n_new") > limit)
+    parts = [
+        side.select(*keys, "row").join(crowded, keys).select(F.lit(name).alias("side"), *keys, "row", "n_old", "n_new")
+        for name, side in (("old", left), ("new", right))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def review_pairs_last4(
     old: DataFrame, new: DataFrame, score: str = "signals", per_side: int | None = ROWS_PER_SIDE,
-    method: str = "sequence", row: str = ROW,
+    method: str = "sequence", row: str = ROW, pair_limit: int | None = PAIR_LIMIT,
 ) -> DataFrame:
     """Scored pairs of unmatched rows that share the last four digits.
 
@@ -106,6 +133,8 @@ def review_pairs_last4(
     defined review list. With None every MEDIUM or HIGH pair of the ``signals``
     score is found, without pairing whole groups: such a pair shares the digits
     and at least one evidence set, so it is reached by an equi-join on both.
+    Evidence keys with more than ``pair_limit`` pairs come whole from
+    ``crowded_evidence`` instead.
     """
     left, right = review_side(old, row), review_side(new, row)
     left, right = (s.where("last4_ssn <> ''") for s in (left, right))
@@ -115,16 +144,33 @@ def review_pairs_last4(
         return SCORES[score](pairs, method)
     if score != "signals":
         raise ValueError("the uncapped list is defined for the signals score")
-    return _pairs_by_evidence(left, right, method)
+    return _pairs_by_evidence(left, right, method, pair_limit)
+
+
+def _evidence_sides(left: DataFrame, right: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str]]:
+    present = reduce(lambda a, b: a & b, [F.col(f) != "" for f in fields])
+    return left.where(present), right.where(present), ["last4_ssn", *fields]
 
 
-def _pairs_by_evidence(left: DataFrame, right: DataFrame, method: str) -> DataFrame:
+def crowded_evidence(old: DataFrame, new: DataFrame, limit: int = PAIR_LIMIT, row: str = ROW) -> DataFrame:
+    """Members of the evidence keys that the uncapped list leaves out as pairs."""
+    sides = [review_side(s, row).where("last4_ssn <> ''") for s in (old, new)]
+    parts = []
+    for fields in EVIDENCE:
+        left, right, keys = _evidence_sides(*sides, fields)
+        members = crowded_members(left, right, keys, limit)
+        parts.append(members.select(
+            "side", F.lit("+".join(keys)).alias("evidence"), F.concat_ws("|", *keys).alias("key"), "row", "n_old", "n_new"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pairs_by_evidence(left: DataFrame, right: DataFrame, method: str, limit: int | None) -> DataFrame:
     parts, earlier = [], []
-    for fields in EVIDENCE["signals"]:
-        keys = ["last4_ssn", *fields]
-        present = reduce(lambda a, b: a & b, [F.col(f) != "" for f in fields])
-        o = left.where(present).select(*keys, *[F.col(c).alias(f"old_{c}") for c in left.columns if c != "last4_ssn"])
-        n = right.where(present).select(*keys, *[F.col(c).alias(f"new_{c}") for c in right.columns if c != "last4_ssn"])
+    for fields in EVIDENCE:
+        kept_left, kept_right, keys = _evidence_sides(left, right, fields)
+        allowed = _pairable(group_sizes(kept_left, kept_right, keys), limit).select(*keys)
+        o = kept_left.join(allowed, keys).select(*keys, *[F.col(c).alias(f"old_{c}") for c in left.columns if c != "last4_ssn"])
+        n = kept_right.select(*keys, *[F.col(c).alias(f"new_{c}") for c in right.columns if c != "last4_ssn"])
         pairs = o.join(n, keys).drop(*fields)
         if earlier:
             # A pair is reported under the first evidence set it agrees on.
@@ -140,22 +186,19 @@ def _keyed(side: DataFrame, parts: tuple[str, ...]) -> DataFrame:
     return side.where(present).withColumn("key", F.concat_ws("|", *parts))
 
 
-def _tier_pairs(left: DataFrame, right: DataFrame, parts: tuple[str, ...], level: str, score: int) -> DataFrame:
-    """All pairs with equal keys, with a note where a key repeats on a side."""
+def _tier_pairs(
+    left: DataFrame, right: DataFrame, parts: tuple[str, ...], level: str, score: int, limit: int | None
+) -> DataFrame:
+    """Pairs with equal keys, with a note where a key repeats on a side."""
     left, right = _keyed(left, parts), _keyed(right, parts)
-    counts = [
-        side.groupBy("key").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        for name, side in (("old", left), ("new", right))
-    ]
-    shared = counts[0].join(counts[1], "key")
+    shared = _pairable(group_sizes(left, right, ["key"]), limit)
     note = lambda side: F.when(
         F.col(f"n_{side}") > 1,
         F.concat(F.lit(f"dup_in_{side}("), F.col(f"n_{side}").cast("string"), F.lit(")")),
     )
     shared = shared.select("key", F.concat_ws("|", note("old"), note("new")).alias("notes"))
-    pairs = (
-        _as_side(left, "old", "key").join(_as_side(right, "new", "key"), "key").join(shared, "key")
-    )
+    # The sizes are joined first, so a crowded key is gone before any pairing.
+    pairs = _as_side(left, "old", "key").join(shared, "key").join(_as_side(right, "new", "key"), "key")
     return pairs.select(
         F.lit(level).alias("confidence"), F.lit(score).alias("score"),
         F.lit("1.0" if level == "HIGH" else "").alias("name_similarity"),
@@ -187,27 +230,42 @@ def prefer_id_pattern(pairs: DataFrame, pattern: str = r"^wdX\d+$") -> DataFrame
     return joined.where(kept).withColumn("notes", notes).drop("_owner", "_preferred", "_n", "_hits")
 
 
-def review_candidates_tiered(
-    old: DataFrame, new: DataFrame, pattern: str = r"^wdX\d+$", row: str = ROW
-) -> DataFrame:
-    """Tier A by name and birth date, tier B by name, birth year and name prefix.
+KEY_A, KEY_B = ("full_name_norm", "dob"), ("full_name_norm", "birth_year", "last_name_prefix3")
 
-    Tier B leaves out the rows whose tier A key is unique on both sides.
-    """
-    left, right = review_side(old, row), review_side(new, row)
-    key_a, key_b = ("full_name_norm", "dob"), ("full_name_norm", "birth_year", "last_name_prefix3")
-    tier_a = prefer_id_pattern(_tier_pairs(left, right, key_a, "HIGH", 2), pattern)
 
+def _tier_b_sides(left: DataFrame, right: DataFrame) -> list[DataFrame]:
+    """What is left for tier B: rows whose tier A key is not unique on both sides."""
     unique = [
-        _keyed(s, key_a).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias(f"{p}_row"))
+        _keyed(s, KEY_A).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias(f"{p}_row"))
         .where("n = 1").drop("n") for p, s in (("old", left), ("new", right))
     ]
     used = unique[0].join(unique[1], "key")
-    rest = [
+    return [
         s.join(used.select(F.col(f"{p}_row").alias("row")), "row", "left_anti")
         for p, s in (("old", left), ("new", right))
     ]
-    return tier_a.unionByName(_tier_pairs(rest[0], rest[1], key_b, "MED", 1))
+
+
+def review_candidates_tiered(
+    old: DataFrame, new: DataFrame, pattern: str = r"^wdX\d+$", row: str = ROW, pair_limit: int | None = PAIR_LIMIT
+) -> DataFrame:
+    """Tier A by name and birth date, tier B by name, birth year and name prefix.
+
+    Keys with more than ``pair_limit`` pairs come whole from ``crowded_candidates``.
+    """
+    left, right = review_side(old, row), review_side(new, row)
+    tier_a = prefer_id_pattern(_tier_pairs(left, right, KEY_A, "HIGH", 2, pair_limit), pattern)
+    return tier_a.unionByName(_tier_pairs(*_tier_b_sides(left, right), KEY_B, "MED", 1, pair_limit))
+
+
+def crowded_candidates(old: DataFrame, new: DataFrame, limit: int = PAIR_LIMIT, row: str = ROW) -> DataFrame:
+    """Members of the keys that ``review_candidates_tiered`` leaves out as pairs."""
+    left, right = review_side(old, row), review_side(new, row)
+    parts = []
+    for level, sides, key in (("HIGH", [left, right], KEY_A), ("MED", _tier_b_sides(left, right), KEY_B)):
+        members = crowded_members(*[_keyed(s, key) for s in sides], ["key"], limit)
+        parts.append(members.withColumn("confidence", F.lit(level)))
+    return parts[0].unionByName(parts[1])
 
 
 def approved(decision: str = "decision", words: tuple[str, ...] = MATCH_WORDS) -> Column:

@@ -57,7 +57,8 @@ def number_rows(df: DataFrame) -> DataFrame:
 
     Each input split is counted, the counts are summed over the splits in file
     order, and every row adds its place inside the split. The only table that
-    is ordered as a whole has one row per split.
+    is ordered as a whole has one row per split; it is joined without a hint,
+    so it is broadcast only while it is small.
     """
     placed = df.select(
         "*",
@@ -72,7 +73,7 @@ def number_rows(df: DataFrame) -> DataFrame:
     offsets = splits.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
-    numbered = placed.join(F.broadcast(offsets), ["_file", "_block"])
+    numbered = placed.join(offsets, ["_file", "_block"])
     position = F.col("_before") + F.col("_seq") - F.col("_first")
     return numbered.withColumn(ROW, position).drop("_file", "_block", "_seq", "_first", "_before")
 
