@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bands, diff, resolve, review, summaries
+from ..operators import outputs as out
 from ..operators.dedupe import dedupe_best
 from ..sources import sinks, snapshots
 from . import samples
@@ -361,3 +362,57 @@ _add("formula_safe_table", lambda s, d: sinks.formula_safe_table(table(s, d, "su
         "s_suppkey", F.concat(F.get(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "")]), (F.col("s_suppkey") % 5).cast("int")), F.col("s_name")).alias("cell"))),
      "select s_suppkey, case when s_suppkey % 5 = 4 then s_name else '''' || ['=', '+', '-', '@', ''][(s_suppkey % 5)::integer + 1] || s_name end as cell from supplier")
 
+
+
+_add("read_snapshot",
+     lambda s, d: snapshots.read_snapshot(s, f"{d}/customer.parquet", "parquet").drop("c_acctbal"),
+     "select c_custkey::varchar as c_custkey, c_name, c_nationkey::varchar as c_nationkey, c_mktsegment, "
+     "row_number() over (order by c_custkey) - 1 as src_ord from customer")
+
+
+def _to_clean(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k, F.expr("concat(if(c_custkey % 2 = 0, 'Mike', 'Ann'), ' ', c_mktsegment)").alias("name"),
+        F.expr("if(c_custkey % 3 = 0, string(20000 + c_custkey % 20000), '20200131')").alias("dob"),
+        F.expr("concat('Big Town, ', if(c_custkey % 2 = 0, 'Texas', 'NY'))").alias("location"),
+        F.expr("concat(c_custkey, ' Main Street')").alias("address"), F.expr("lpad(c_custkey % 10000, 4, '0')").alias("last4_ssn"),
+        F.lit("Full-Time").alias("worker_type"))
+
+
+_add("clean_columns", lambda s, d: snapshots.clean_columns(_to_clean(s, d)).select(
+        "c_custkey", "full_name_norm", "dob", "location_city", "location_state", "address_norm", "last4_ssn", "worker_type", "birth_year",
+        "last_name_prefix3", "recon_id"),
+     "select *, substr(dob, 1, 4) as birth_year, substr(split_part(full_name_norm, ' ', 2), 1, 3) as last_name_prefix3, "
+     "substr(sha1(full_name_norm || '|' || dob || '|' || last4_ssn), 1, 12) as recon_id from (select c_custkey, "
+     "case when c_custkey % 2 = 0 then 'michael ' else 'ann ' end || lower(c_mktsegment) as full_name_norm, "
+     "case when c_custkey % 3 = 0 then (date '1899-12-30' + (20000 + c_custkey % 20000)::integer)::varchar else '2020-01-31' end as dob, "
+     "'big town' as location_city, case when c_custkey % 2 = 0 then 'tx' else 'ny' end as location_state, c_custkey || ' main st' as address_norm, "
+     "lpad((c_custkey % 10000)::varchar, 4, '0') as last4_ssn, 'regular' as worker_type from customer)")
+_add("trim_empty_columns",
+     lambda s, d: out.trim_empty_columns(pairs(s, d).select("pair_id", "old_suffix", "new_suffix", "old_middle_name", "old_payrate"),
+                                         ["old_suffix", "new_suffix", "old_middle_name"]),
+     pairs_sql("select pair_id, old_middle_name, old_payrate from pairs"))
+_add("wave_table", lambda s, d: summaries.wave_table(gated(s, d)),
+     gated_sql("select new_hire_date, count(*) as count from gated group by 1 having count(*) >= greatest(2, floor((select count(*) from gated) * 0.01)) "
+               "order by count desc, new_hire_date limit 6"))
+
+
+def _run_stats(spark, sf_dir):
+    g = gated(spark, sf_dir)
+    old, new = snap_old(spark, sf_dir), snap_new(spark, sf_dir)
+    left = old.join(g.select(F.col("old_worker_id").alias("worker_id")), "worker_id", "left_anti")
+    right = new.join(g.select(F.col("new_worker_id").alias("worker_id")), "worker_id", "left_anti")
+    friendly = out.friendly_review(g)
+    identity = out.identity_conflicts(friendly, pairs(spark, sf_dir).limit(0))
+    return summaries.run_stats(g, friendly, identity, left, right, {"passed": True, "reasons": []}, "r1")
+
+
+_add("run_stats", _run_stats, gated_sql(
+    "select 'r1' as run_id, (select count(*) from gated) as total_matched_pairs, (select count(*) from gated where action = 'APPROVE') as auto_approved_pairs, "
+    "count(*) as review_required_pairs, (select count(*) from snap_old where k not in (select old_k from links)) as unmatched_from_old_system, "
+    "(select count(*) from snap_new where k not in (select new_k from links)) as unmatched_from_new_system, count(*) filter (f_salary or f_payrate) as salary_issues, "
+    "count(*) filter (f_status) as employee_status_issues, count(*) filter (f_hire_date) as hire_date_issues, count(*) filter (f_job_org) as job_and_organization_issues, "
+    "count(*) filter (match_source <> 'worker_id' or name_change_detected) as identity_conflicts, 'Yes' as gate_passed, '' as gate_reason, "
+    "(select count(*) from snap_old where k not in (select old_k from links)) + (select count(*) from snap_new where k not in (select new_k from links)) as total_unmatched "
+    "from gated where action = 'REVIEW'"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.blanks import blank_strict, folded
 from ..functions.dates import iso_date
 from ..functions.numbers import number
 from ..sources.snapshots import ROW, ensure_columns
+from ..sources.staging import materialize
 
 
 def row_rank(row: str = ROW) -> Column:
@@ -24,17 +27,28 @@ def row_rank(row: str = ROW) -> Column:
     )
 
 
-def dedupe_best(df: DataFrame, ids: tuple[str, ...] = ("worker_id", "recon_id"), row: str = ROW) -> DataFrame:
+def losing_rows(df: DataFrame, column: str, row: str = ROW) -> DataFrame:
+    """Row numbers that give way to a better row with the same non-blank id."""
+    df = ensure_columns(df, ["worker_status", "hire_date", "salary", "payrate", column])
+    keyed = df.where(~blank_strict(column)).select(row, folded(column).alias("_key"), row_rank(row).alias("_rank"))
+    best = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_best"))
+    winners = best.where("_n > 1").select("_key", (-F.col("_best.order")).alias("_winner"))
+    return keyed.select(row, "_key").join(winners, "_key").where(F.col(row) != F.col("_winner")).select(row)
+
+
+def dedupe_best(
+    df: DataFrame, ids: tuple[str, ...] = ("worker_id", "recon_id"), row: str = ROW,
+    stage: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
     """One row per non-blank id, for each id column in turn; blank ids never collapse.
 
-    The winner is picked by an aggregate, so every map task sends at most one
-    row per id and a repeated id cannot fill a single reducer.
+    Only ids and ranks are shuffled, combined on the map side. The wide rows
+    meet nothing but an anti join with the few losing row numbers, which needs
+    no shuffle of theirs while that list is small enough to broadcast.
     """
-    columns = df.columns
-    df = ensure_columns(df, ["worker_status", "hire_date", "salary", "payrate", *ids])
+    gone = None
     for column in ids:
-        own = F.concat(F.lit("\0"), F.col(row).cast("string"))
-        key = F.when(blank_strict(column), own).otherwise(folded(column))
-        best = F.max_by(F.struct(*df.columns), row_rank(row))
-        df = df.groupBy(key.alias("_key")).agg(best.alias("_best")).select("_best.*")
-    return df.select(*columns)
+        rest = df if gone is None else df.join(gone, row, "left_anti")
+        losers = stage(losing_rows(rest, column, row), f"losers-{column}")
+        gone = losers if gone is None else gone.unionByName(losers)
+    return df if gone is None else df.join(gone, row, "left_anti")

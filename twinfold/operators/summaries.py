@@ -423,3 +423,33 @@ def mismatch_totals(pairs: DataFrame) -> DataFrame:
         _count(changed_trimmed("old_worker_status", "new_worker_status")).alias("status"),
         _count(job).alias("job_org"), _count(changed_trimmed("old_hire_date", "new_hire_date")).alias("hire_date"),
         _count(folded("match_source") == "worker_id").alias("by_worker_id"))
+
+
+def wave_table(gated: DataFrame, n: int = 6) -> DataFrame:
+    """The most shared hire dates: at least 1% of the pairs and at least two."""
+    counts = gated.where(F.col("new_hire_date").isNotNull()).groupBy("new_hire_date").agg(_count().alias("count"))
+    total = gated.agg(_count()).scalar()
+    least = F.greatest(F.lit(2), F.floor(total * 0.01))
+    return _top(counts.withColumn("least", least).where("count >= least").drop("least"), "new_hire_date", n)
+
+
+def run_stats(
+    gated: DataFrame, review: DataFrame, identity: DataFrame, unmatched_old: DataFrame, unmatched_new: DataFrame,
+    verdict: dict, run_id: str = "",
+) -> DataFrame:
+    """One row for the run record; ``review`` and ``identity`` are the friendly tables."""
+    rows = lambda df: df.agg(_count()).scalar()
+    fixes = F.split("fix_types", r"\|")
+    topic = lambda *names: F.arrays_overlap(fixes, F.array(*[F.lit(n) for n in names]))
+    base = review.agg(
+        _count().alias("review_required_pairs"), _count(topic("salary", "payrate")).alias("salary_issues"),
+        _count(topic("status")).alias("employee_status_issues"), _count(topic("hire_date")).alias("hire_date_issues"),
+        _count(topic("job_org")).alias("job_and_organization_issues"))
+    return base.select(
+        F.lit(run_id).alias("run_id"), rows(gated).alias("total_matched_pairs"),
+        rows(gated.where("action = 'APPROVE'")).alias("auto_approved_pairs"), "review_required_pairs",
+        rows(unmatched_old).alias("unmatched_from_old_system"), rows(unmatched_new).alias("unmatched_from_new_system"),
+        "salary_issues", "employee_status_issues", "hire_date_issues", "job_and_organization_issues",
+        rows(identity).alias("identity_conflicts"), F.lit("Yes" if verdict["passed"] else "No").alias("gate_passed"),
+        F.lit(" | ".join(verdict["reasons"])).alias("gate_reason"),
+    ).withColumn("total_unmatched", F.col("unmatched_from_old_system") + F.col("unmatched_from_new_system"))

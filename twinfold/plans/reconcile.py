@@ -74,10 +74,10 @@ class ReconResult:
 
 
 def map_snapshot(raw: DataFrame, policy: dict, aliases: dict | None = None) -> DataFrame:
-    """Canonical columns, one row per id, stored because the match reads it several times."""
+    """Canonical columns, one row per id; stored because the later steps read it several times."""
     require_columns(raw, [ROW], "snapshot")
     mapped = map_columns(raw, extra_fields(policy), aliases).drop("salary_raw")
-    return materialize(dedupe_best(mapped), "mapped")
+    return dedupe_best(materialize(mapped, "mapped"))
 
 
 def reconcile(

@@ -28,11 +28,14 @@ MAPPED_COLUMNS = (
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, fmt: str = "csv", blank_as_null: bool = False, numbered: bool = True
+    spark: SparkSession, path: str, fmt: str = "csv", blank_as_null: bool = False, numbering: str = "file"
 ) -> DataFrame:
-    """Scan a file as text columns with trimmed headers, numbered in file order.
+    """Scan a file as text columns with trimmed headers and a ``src_ord`` number.
 
-    ``numbered=False`` leaves the ``src_ord`` column out.
+    ``numbering="file"`` gives the position in the files, which costs a second
+    scan and a join with the list of splits. ``"split"`` gives unique numbers
+    that follow the file order inside a split only, and costs nothing; use it
+    for very large inputs. ``"none"`` leaves the column out.
     """
     reader = spark.read.option("header", True)
     if fmt == "csv":
@@ -47,8 +50,10 @@ def read_snapshot(
     if blank_as_null:
         values = [F.nullif(v, F.lit("")) for v in values]
     columns = [v.alias(n) for v, n in zip(values, names)]
-    if not numbered:
+    if numbering == "none":
         return df.select(*columns)
+    if numbering == "split":
+        return df.select(*columns, F.monotonically_increasing_id().alias(ROW))
     return number_rows(df.select(*columns, F.col("_metadata")))
 
 
@@ -166,6 +171,28 @@ def map_columns(df: DataFrame, extras: list[str] | tuple[str, ...] = (), aliases
     )
 
 
+def clean_columns(df: DataFrame) -> DataFrame:
+    """The alternative cleaning: nicknames, flexible dates, city and state, address, blocking keys, a hashed id."""
+    source = next((c for c in ("full_name_norm", "full_name", "name") if c in df.columns), None)
+    has = lambda c, make: make(c) if c in df.columns else F.lit("")
+    name = F.lit("") if source is None else F.col(source) if source == "full_name_norm" else text.nickname_name(source)
+    place = text.split_location("location") if "location" in df.columns else None
+    address = F.col("address_norm") if "address_norm" in df.columns else has("address", text.norm_address)
+    cleaned = df.withColumns({
+        "full_name_norm": name,
+        "dob": has("dob", dates.parse_date_flexible), "hire_date": has("hire_date", dates.parse_date_flexible),
+        "location_city": F.lit("") if place is None else place["city"],
+        "location_state": has("location_state", text.norm_state) if place is None else place["state"],
+        "address_norm": address, "last4_ssn": has("last4_ssn", text.extract_last4_strict),
+        "worker_type": has("worker_type", text.norm_worker_type),
+    })
+    cleaned = cleaned.withColumns({
+        "last_name_norm": text.last_token("full_name_norm"), "birth_year": F.substring("dob", 1, 4),
+        "recon_id": text.recon_hash("full_name_norm", "dob", "last4_ssn"),
+    })
+    return cleaned.withColumn("last_name_prefix3", text.name_prefix("last_name_norm"))
+
+
 def mapping_report(mapped: DataFrame) -> DataFrame:
     """One row of null counts, duplicate ids and salary parse failures."""
     failed = F.col("salary").isNull()
