@@ -32,7 +32,8 @@ def _first_format(value: Column, formats: tuple[str, ...]) -> Column:
 def iso_date(c: Column | str) -> Column:
     """Date from exactly yyyy-MM-dd text, else NULL."""
     value = strip(c)
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value.try_cast("date"))
+    shaped = (F.length(value) == 10) & (F.substring(value, 5, 1) == "-") & (F.substring(value, 8, 1) == "-")
+    return F.when(shaped, value.try_cast("date"))
 
 
 def parse_date(c: Column | str, formats: tuple[str, ...] = LENIENT_FORMATS) -> Column:

@@ -89,18 +89,16 @@ def normal_source() -> Column:
     return F.coalesce(F.nullif(folded("match_source"), F.lit("")), F.lit("unknown"))
 
 
-def classify_field(
-    fix_type: str, policy: dict, source: Column | None = None, score: Column | None = None,
-    floor: Column | None = None,
-) -> Column:
-    """Struct (action, min_confidence, confidence, reason) for one field of a pair.
+def classify_field(fix_type: str, policy: dict) -> Column:
+    """Struct (action, min_confidence, confidence, reason) for one field of a pair."""
+    source = normal_source()
+    return classify_threshold(
+        _field_floor(fix_type, policy), policy, source, parse_confidence("confidence"), source_floor(source, policy))
 
-    ``source``, ``score`` and ``floor`` may be given as prepared columns.
-    """
-    source = normal_source() if source is None else source
-    score = parse_confidence("confidence") if score is None else score
-    floor = source_floor(source, policy) if floor is None else floor
-    needed = F.greatest(floor, F.lit(_field_floor(fix_type, policy)))
+
+def classify_threshold(field_floor: float, policy: dict, source: Column, score: Column, floor: Column) -> Column:
+    """The verdict for a field with this threshold, from prepared source, score and source threshold."""
+    needed = F.greatest(floor, F.lit(field_floor))
     low = float(policy["confidence_policy"]["low_confidence_floor"])
     auto = source.isin(*auto_approve_sources(policy))
     enough = F.coalesce(score >= needed, F.lit(False))
@@ -133,9 +131,9 @@ def _override(base: Column, test: Column, action: Column | str, reason: Column)
     return F.when(F.coalesce(test, F.lit(False)), replaced).otherwise(base)
 
 
-def _overridden() -> dict[str, Column]:
-    """The field verdicts (columns ``_b_<field>``) after the overrides of each field."""
-    ratio, base = F.col("_ratio"), {f: F.col(f"_b_{f}") for f in FIX_TYPES}
+def _overridden(base: dict[str, Column]) -> dict[str, Column]:
+    """The field verdicts after the overrides of each field."""
+    ratio = F.col("_ratio")
     extreme = (ratio < RATIO_LOW) | (ratio > RATIO_HIGH)
     extreme_reason = F.concat(
         F.lit("salary_ratio_extreme ("), fixed(ratio, 4),
@@ -226,13 +224,23 @@ def gate(
     })
     changes = {f: col(f"_f_{f}") for f in FIX_TYPES}
     others = reduce(lambda a, b: a | b, [t for f, t in changes.items() if f != "hire_date"])
+    # Fields with the same threshold share a verdict; rows without such a change need none.
+    floors = {f: _field_floor(f, policy) for f in FIX_TYPES}
+    shared = {v: f"_v{i}" for i, v in enumerate(sorted(set(floors.values())))}
+    verdicts = {
+        name: F.when(
+            reduce(lambda a, b: a | b, [changes[f] for f in FIX_TYPES if floors[f] == value]),
+            classify_threshold(value, policy, col("_source"), col("_score"), col("_floor")))
+        for value, name in shared.items()
+    }
     rows = rows.withColumns({
         "fix_types": _listed(changes),
         "conversion_type": F.when(changes["payrate"], col("_conversion")),
         "_pattern": pattern_of(col("_days"), col("_source"), others),
-        **{f"_b_{f}": classify_field(f, policy, col("_source"), col("_score"), col("_floor")) for f in FIX_TYPES},
+        **verdicts,
     })
-    rows = rows.withColumns({f"_g_{f}": g for f, g in _overridden().items()})
+    gates = _overridden({f: col(shared[v]) for f, v in floors.items()})
+    rows = rows.withColumns({f"_g_{f}": F.when(changes[f], g) for f, g in gates.items()})
     field_reasons = [
         F.when(changes[f] & (col(f"_g_{f}.action") == "REVIEW"), F.concat(F.lit(f + ":"), col(f"_g_{f}.reason")))
         for f in FIX_TYPES

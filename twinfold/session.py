@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JIT leaves methods above 8000 bytes interpreted; wide projections run faster in smaller pieces.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Recording the source line of every column call costs more than building the plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
