@@ -25,20 +25,38 @@ _CLOCK_SECONDS = r"\s+\d{1,2}:\d{2}:\d{2}.*$"
 _CLOCK_AMPM = r"(?i)\s+\d{1,2}:\d{2}\s*(AM|PM)$"
 
 
+def _could_be(value: Column, fmt: str) -> Column:
+    """A cheap look at the shape, because a failed parse is expensive."""
+    if fmt == "yyyyMMdd":
+        return F.length(value) == 8
+    separator = "-" if "-" in fmt else "/" if "/" in fmt else " "
+    at = F.instr(value, separator)
+    return at == 5 if fmt.startswith("yyyy") else at > 1 if separator == " " else at.between(2, 3)
+
+
+def _iso_shaped(value: Column) -> Column:
+    return (F.length(value) == 10) & (F.substring(value, 5, 1) == "-") & (F.substring(value, 8, 1) == "-")
+
+
 def _first_format(value: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_date(value, f) for f in formats])
+    tried = [F.when(_could_be(value, f), F.try_to_date(value, f)) for f in formats]
+    return (
+        F.when(value == "", F.lit(None).cast("date")).when(_iso_shaped(value), value.try_cast("date"))
+        .otherwise(F.coalesce(*tried))
+    )
 
 
 def iso_date(c: Column | str) -> Column:
     """Date from exactly yyyy-MM-dd text, else NULL."""
     value = strip(c)
-    shaped = (F.length(value) == 10) & (F.substring(value, 5, 1) == "-") & (F.substring(value, 8, 1) == "-")
-    return F.when(shaped, value.try_cast("date"))
+    return F.when(_iso_shaped(value), value.try_cast("date"))
 
 
 def parse_date(c: Column | str, formats: tuple[str, ...] = LENIENT_FORMATS) -> Column:
     """Date or NULL; a time of day after the date is ignored."""
-    return _first_format(F.regexp_replace(text(c), _CLOCK, ""), formats)
+    value = text(c)
+    day = F.when(value.contains(":"), F.regexp_replace(value, _CLOCK, "")).otherwise(value)
+    return _first_format(day, formats)
 
 
 def date_text(c: Column) -> Column:
