@@ -10,7 +10,7 @@ from twinfold.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", partitions=4, memory="4g")
+    session = local_session("tests", partitions=4, memory="4g", more={"spark.default.parallelism": "1"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

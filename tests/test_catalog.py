@@ -12,10 +12,9 @@ from compare import TABLES, canonical  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 NAMES = (
-    "tiered_match", "resolved_pairs", "classify_pairs", "classify_fields", "wide_compare", "corrections_manifest", "held_corrections",
-    "friendly_review", "salary_delta_buckets", "wave_rows", "suspicious_defaults", "run_overview", "dedupe_best", "diff_pairs",
-    "review_candidates_tiered", "crowded_candidates", "comp_band_annotate", "audit_row_checks", "issue_frame", "clean_data",
-    "split_first_middle", "date_parsing",
+    "resolved_pairs", "classify_pairs", "wide_compare", "corrections_manifest", "friendly_review", "salary_delta_buckets",
+    "wave_rows", "run_overview", "dedupe_best", "diff_pairs", "crowded_candidates", "comp_band_annotate", "audit_row_checks",
+    "issue_frame", "split_first_middle",
 )
 
 

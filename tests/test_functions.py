@@ -121,3 +121,19 @@ def test_slug_and_plan_tokens(one):
     assert one(text.slug, "***") == "unknown"
     assert one(text.plan_tokens, "Gold; silver|GOLD, waived") == ["gold", "silver"]
     assert re.fullmatch("[0-9a-f]{12}", one(text.pair_id, "a", "b"))
+
+
+def test_source_label(one):
+    assert one(labels.source_label, " PK ") == "Matched on name, date of birth, and last-4"
+    assert one(labels.source_label, "other") == "other"
+
+
+@pytest.mark.parametrize("raw, expected", [("0x1p3", None), ("NaN", None), ("Infinity", None), ("5.", 5.0), ("-", None), ("1e5", 1e5)])
+def test_number_takes_plain_numbers_only(one, raw, expected):
+    assert one(numbers.number, raw) == expected
+
+
+@pytest.mark.parametrize("raw, expected", [
+    ("2020-01-15", "2020-01-15"), ("2020-1-5", None), ("+020-01-01", None), ("2020-13-01", None), (" 2020-01-15 ", "2020-01-15")])
+def test_iso_date(one, raw, expected):
+    assert one(lambda c: dates.date_text(dates.iso_date(c)), raw) == expected

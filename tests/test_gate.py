@@ -4,6 +4,7 @@ from twinfold.operators import outputs
 from twinfold.operators.gate import explanation_text, gate, summary_text
 from twinfold.operators.sanity import evaluate_sanity_gate
 from twinfold.operators.waves import wave_dates
+from twinfold.sources.staging import materialize
 
 FIELDS = ("salary", "payrate", "worker_status", "hire_date", "position", "district", "location_state", "last_name_norm",
           "worker_id", "full_name_norm")
@@ -23,6 +24,11 @@ def frame(spark, cases):
     return spark.createDataFrame(rows, schema)
 
 
+def decided(pairs, **options):
+    """The stored decisions, which is what reports read."""
+    return materialize(gate(pairs, **options), "decided")
+
+
 CASES = [
     (dict(), "APPROVE", "no_changes_detected"),
     (dict(renamed=True, new=dict(last_name_norm="jones")), "APPROVE", "no_changes_detected"),
@@ -61,13 +67,13 @@ def test_wave_dates_force_review_even_without_changes(spark):
     pairs = frame(spark, [dict(old=dict(hire_date="2026-02-01"))] * 3 + [dict(old=dict(hire_date=f"2020-01-{i:02d}")) for i in range(1, 28)])
     waves = wave_dates(pairs, min_rate=0.05)
     assert [(r["new_hire_date"], r["wave_count"]) for r in waves.collect()] == [("2026-02-01", 3)]
-    rows = gate(pairs, waves=waves, min_rate=0.05).where("action = 'REVIEW'").collect()
+    rows = decided(pairs, waves=waves, min_rate=0.05).where("action = 'REVIEW'").collect()
     assert {r["reason"] for r in rows} == {"hire_date_wave"} and len(rows) == 3
     assert wave_dates(pairs, min_rate=0.05, min_count=4).count() == 0
 
 
 def test_texts(spark):
-    row = gate(frame(spark, [dict(new=dict(salary="48500.4", worker_status="", position="Lead"))])).select(
+    row = decided(frame(spark, [dict(new=dict(salary="48500.4", worker_status="", position="Lead"))])).select(
         summary_text().alias("s"), explanation_text().alias("e")).first()
     assert row["s"] == "salary:-1,500 | status:active->blank | job_org(position)"
     assert row["e"] == ("Matched on Worker ID. Salary decreased $1,500, Status changed active to unknown, "
@@ -77,7 +83,7 @@ def test_texts(spark):
 def test_corrections_hold_back_active_zero_pay(spark):
     cases = [dict(source="recon_id", new=dict(salary="51000")), dict(new=dict(salary="51000", worker_status="leave")),
              dict(new=dict(salary="100000"))]
-    g = gate(frame(spark, cases))
+    g = decided(frame(spark, cases))
     manifest = outputs.corrections_manifest(g)
     kinds = [outputs.corrections(g, k, "2026-01-01").count() for k in outputs.CORRECTIONS]
     assert manifest.count() == sum(kinds) == 3
@@ -86,7 +92,7 @@ def test_corrections_hold_back_active_zero_pay(spark):
 
 
 def test_review_queue_order_and_labels(spark):
-    g = gate(frame(spark, [dict(new=dict(salary="60000")), dict(new=dict(salary="100000")), dict(new=dict(worker_status="terminated"))]))
+    g = decided(frame(spark, [dict(new=dict(salary="60000")), dict(new=dict(salary="100000")), dict(new=dict(worker_status="terminated"))]))
     rows = outputs.review_queue(g).collect()
     assert [r["pair_id"] for r in rows] == ["p2", "p1", "p0"]
     assert rows[1]["priority_labels"] == "sal>=5k+30|sal>=1k+15"
@@ -108,7 +114,7 @@ def test_sanity_gate(health, suspicious, passed):
 
 
 def test_single_type_audit_uses_the_field_verdict_alone(spark):
-    g = gate(frame(spark, [dict(new=dict(salary="150000")), dict(source="pk", confidence=0.9, new=dict(salary="51000"))]))
+    g = decided(frame(spark, [dict(new=dict(salary="150000")), dict(source="pk", confidence=0.9, new=dict(salary="51000"))]))
     tables = outputs.single_type_audit(g, "salary")
     assert [r["pair_id"] for r in tables["corrections"].collect()] == ["p0"]
     assert [r["pair_id"] for r in tables["review"].collect()] == ["p1"]

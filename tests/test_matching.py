@@ -115,7 +115,7 @@ def sequential(edges):
     return kept
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_greedy_equals_the_sequential_rule(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randint(0, 3), i, f"o{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}") for i in range(150)]

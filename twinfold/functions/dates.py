@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .blanks import NULL_WORDS, as_col, folded, strip, text
+from .blanks import NULL_WORDS, folded, strip, text
 
 # Formats tried in this order; the first that parses wins.
 LENIENT_FORMATS = (
@@ -109,7 +109,3 @@ def hire_date_pattern(
     old: Column | str, new: Column | str, source: Column | str, has_other_fix: Column
 ) -> Column:
     return pattern_of(day_gap(old, new), folded(source), has_other_fix)
-
-
-def month_prefix(c: Column | str) -> Column:
-    return F.substring(as_col(c), 1, 7)

@@ -16,10 +16,12 @@ SETTINGS = {
 }
 
 
-def local_session(name: str = "twinfold", cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    name: str = "twinfold", cpus: str = "*", partitions: int = 8, memory: str = "8g", more: dict | None = None
+) -> SparkSession:
     """A session for tests and the local bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(more or {})}.items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
