@@ -3,8 +3,8 @@
 Documents are dealt into chunks by a hash. Each chunk sends its different
 n-grams with their counts to the count tables, which are partitioned by the
 n-gram's code; every partition adds the counts up and joins them back to the
-chunks that asked. A chunk then has the corpus counts of all its n-grams, and
-sums the scores of each document. So what is shuffled are the different
+chunks that asked, in the order they asked. A chunk then has the corpus counts
+of all its n-grams, and sums the scores of each document. So what is shuffled are the different
 n-grams of a chunk, not the places where they stand, and a very common n-gram
 is one entry per chunk.
 """
@@ -72,85 +72,75 @@ def _codes_in(data: bytes) -> np.ndarray:
     return np.cumsum(_wide(data), dtype=np.uint64)
 
 
-_ASKED = "bucket int, chunk int, part long, codes binary, counts binary"
+def chunk_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of some documents in the order of their codes, and how often each occurs."""
+    grams, _ = document_grams(texts, order)
+    codes, counts = np.unique(np.concatenate(grams), return_counts=True)
+    return (codes[1:], counts[1:]) if len(codes) and codes[0] == 0 else (codes, counts)
+
+
+_ASKED = "bucket int, chunk int, codes binary, counts binary"
 
 
 def _ask(order: int, bits: int):
-    """Per group of documents of one chunk: its n-grams and counts, cut by the first bits of the codes."""
+    """Rows come sorted by chunk: a chunk's n-grams and counts, cut by the first bits of the codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = 0
-        held: dict[int, list] = {}
-
-        def flush(chunk: int):
-            nonlocal part
-            grams, _ = document_grams(pa.concat_arrays(held.pop(chunk)), order)
-            codes, counts = np.unique(np.concatenate(grams), return_counts=True)
-            if len(codes) and codes[0] == 0:
-                codes, counts = codes[1:], counts[1:]
-            cuts = np.searchsorted(codes >> np.uint64(64 - bits) if bits else np.zeros(len(codes), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+        held: list[pa.Array] = []
+        chunk = None
+
+        def asked() -> pa.RecordBatch:
+            codes, counts = chunk_grams(pa.concat_arrays(held), order)
+            cuts = np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else 0, len(codes))
             some = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int32()), pa.array([part] * len(some), pa.int64()),
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int32()),
                  pa.array([_codes_out(codes[cuts[b]:cuts[b + 1]]) for b in some], pa.binary()),
                  pa.array([_narrow(counts[cuts[b]:cuts[b + 1]]) for b in some], pa.binary())],
-                ["bucket", "chunk", "part", "codes", "counts"])
-            part += 1
+                ["bucket", "chunk", "codes", "counts"])
 
-        size: dict[int, int] = {}
         for batch in batches:
             chunks = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), batch.num_rows]
             for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
-                chunk = int(chunks[low])
-                texts = batch.column(2).slice(low, high - low).fill_null("")
-                held.setdefault(chunk, []).append(texts)
-                size[chunk] = size.get(chunk, 0) + texts.nbytes
-                # Rows come sorted by chunk, so others are complete; a very large one is sent in parts.
-                for other in [c for c in held if c != chunk]:
-                    yield from flush(other)
-                    size.pop(other)
-                if size[chunk] > 3 * CHUNK_CHARS:
-                    yield from flush(chunk)
-                    size[chunk] = 0
-        for chunk in list(held):
-            yield from flush(chunk)
+                if low < high:
+                    if held and chunk != int(chunks[low]):
+                        yield asked()
+                        held = []
+                    chunk = int(chunks[low])
+                    held.append(batch.column(2).slice(low, high - low))
+        if held:
+            yield asked()
 
     return run
 
 
-_TOLD = "chunk int, codes binary, counts binary"
+_TOLD = "chunk int, bucket int, counts binary"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket: add up the counts of a bucket and give every asking chunk its own n-grams' counts."""
+    """Rows come sorted by bucket: add up a bucket's counts, and tell every asking chunk those of its n-grams, in their order."""
     held: list[tuple[int, bytes, bytes]] = []
     bucket = None
 
-    def done():
+    def told() -> Iterator[pa.RecordBatch]:
         codes = [_codes_in(c) for _, c, _ in held]
-        everything = np.concatenate(codes)
-        order = np.argsort(everything, kind="stable")
-        ranked = everything[order]
-        begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        totals = np.add.reduceat(np.concatenate([_wide(n) for _, _, n in held])[order], begins)
-        table = ranked[begins]
-        del everything, order, ranked
-        for (chunk, data, _), own in zip(held, codes):
+        table, place = np.unique(np.concatenate(codes), return_inverse=True)
+        totals = np.zeros(len(table), np.uint64)
+        np.add.at(totals, place, np.concatenate([_wide(n) for _, _, n in held]))
+        cuts = np.cumsum([len(c) for c in codes])[:-1]
+        for (chunk, _, _), own in zip(held, np.split(place, cuts)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int32()), pa.array([data], pa.binary()), pa.array([_narrow(totals[np.searchsorted(table, own)])], pa.binary())],
-                ["chunk", "codes", "counts"])
+                [pa.array([chunk], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_narrow(totals[own])], pa.binary())], ["chunk", "bucket", "counts"])
 
     for batch in batches:
-        for b, chunk, codes, counts in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
+        for b, chunk, codes, counts in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if held and b != bucket:
-                yield from done()
+                yield from told()
                 held = []
             bucket = b
             held.append((chunk, codes, counts))
     if held:
-        yield from done()
+        yield from told()
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -171,11 +161,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least_count
     asked = dealt.sortWithinPartitions("chunk").mapInArrow(_ask(order, bits), _ASKED)
     told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, _TOLD)
     def finish(own: pa.Table, counts: pa.Table) -> pa.Table:
-        tables = [(_codes_in(c), _wide(n)) for c, n in zip(counts["codes"].to_pylist(), counts["counts"].to_pylist())]
-        codes = np.concatenate([t[0] for t in tables] or [np.empty(0, np.uint64)])
-        count = np.concatenate([t[1] for t in tables] or [np.empty(0, np.uint64)])
-        sort = np.argsort(codes, kind="stable")
-        codes, count = codes[sort], count[sort]
+        codes, _ = chunk_grams(own["text"].combine_chunks(), order)
+        answers = sorted(zip(counts["bucket"].to_pylist(), counts["counts"].to_pylist()))
+        count = np.concatenate([_wide(n) for _, n in answers]) if answers else np.empty(0, np.uint64)
+        if len(count) != len(codes):
+            raise RuntimeError(f"a chunk of {len(codes)} n-grams was told {len(count)} counts")
         words, scores = [], []
         for batch in own.to_batches(max_chunksize=512):  # blocks of whole documents keep the arrays small
             grams, n = document_grams(batch.column(batch.schema.get_field_index("text")), order)
