@@ -25,6 +25,8 @@ from twinfold.llm.tables import column, new_path, stored
 ARCHIVE_BYTES = 64 << 20
 #: Ranges so close to each other are one read, of at most so many bytes (or one record).
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Archive bytes that one task reads, on average.
+TASK_BYTES = 32 << 20
 #: Winners of repeated payloads are broadcast up to so many rows of about 50 bytes, else joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -176,8 +178,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
         if ranges:
             yield rows(name, ranges)
 
-    places = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return places.mapInArrow(run, _READ)
+    places = index.select("archive", "offset", "length")
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    ranged = places.repartitionByRange(max(1, tasks), "archive", "offset").sortWithinPartitions("archive", "offset")
+    return ranged.mapInArrow(run, _READ)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, str]:
