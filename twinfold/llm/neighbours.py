@@ -89,12 +89,24 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
-    """(row, vec_id, vector) of the rows that take part: an id, and a finite vector that is not zero, in doubles."""
+    """(vec_id, vector) of the rows that take part, each pair once: an id, and a finite vector that is not zero, in doubles."""
     vector = column(embeddings, "embedding", "array<double>")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.select(column(embeddings, "vec_id", "long").alias("vec_id"), vector.alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
-    return stored(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector"), "vectors")
+    return stored(rows.distinct(), "vectors")
+
+
+def _classes(vectors: DataFrame, query_every: int, k: int) -> DataFrame:
+    """(row, vector, ids, asks): different vectors, the ``k`` + 1 smallest ids of each, and whether a query is among all its ids.
+
+    More ids of one vector can't be among the nearest, so copies are never compared.
+    """
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    few = vectors.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asking = vectors.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vector").distinct().withColumn("asks", F.lit(True))
+    found = few.join(asking, "vector", "left").select(F.monotonically_increasing_id().alias("row"), "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
+    return stored(found, "vector-classes")
 
 
 def _rank_rows(vectors: DataFrame, curves: Curves, n_curves: int) -> DataFrame:
@@ -127,35 +139,41 @@ def _rank_rows(vectors: DataFrame, curves: Curves, n_curves: int) -> DataFrame:
 
 
 def _nearest_in_units(k: int):
-    """Rows come sorted by (curve, unit, asks): the vectors of a unit, then the queries that meet it."""
-    def nearest(ids: np.ndarray, x: np.ndarray, ask_ids: np.ndarray, asks: np.ndarray):
+    """Rows come sorted by (curve, unit, asking): the vectors of a unit, then the queries that meet it."""
+    def nearest(members: pa.Array, x: np.ndarray, ask_rows: np.ndarray, asks: np.ndarray):
         squares = (x ** 2).sum(axis=1)
+        sizes = np.diff(members.offsets.to_numpy())
+        all_ids, first = members.flatten().to_numpy(), np.cumsum(sizes) - sizes
         out = ([], [], [])
         for at in range(0, len(asks), 256):
-            q, q_ids = asks[at:at + 256], ask_ids[at:at + 256]
+            q = asks[at:at + 256]
             rough = squares[None] + (q ** 2).sum(axis=1)[:, None] - 2 * q @ x.T
-            rough[ids[None] == q_ids[:, None]] = np.inf
             kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
             slack = 1e-9 * (squares.max() + (q ** 2).sum(axis=1)) + 1e-300
             for row in range(len(q)):
-                near = np.flatnonzero(rough[row] <= kth[row] + slack[row]) if np.isfinite(kth[row]) else np.flatnonzero(np.isfinite(rough[row]))
+                near = np.flatnonzero(rough[row] <= kth[row] + slack[row])
                 exact = np.sqrt(((x[near] - q[row]) ** 2).sum(axis=1))
-                first = np.lexsort((ids[near], exact))[:k]
-                out[0].append(np.full(len(first), q_ids[row]))
-                out[1].append(ids[near][first])
-                out[2].append(exact[first])
-        return [np.concatenate(o) if o else np.empty(0) for o in out]
+                n = sizes[near]
+                ids = all_ids[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[near], n)]
+                exact = np.repeat(exact, n)
+                best = np.lexsort((ids, exact))[:k]
+                out[0].append(np.full(len(best), ask_rows[at + row]))
+                out[1].append(ids[best])
+                out[2].append(exact[best])
+        return [np.concatenate(o) for o in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done():
             t = pa.Table.from_batches(held).combine_chunks()
-            asking = t["asks"].to_numpy(zero_copy_only=False)
+            asking = t["asking"].to_numpy(zero_copy_only=False)
             if asking.any() and not asking.all():
-                ids, x = t["vec_id"].to_numpy(), _matrix(t["vector"])
-                q, v, d = nearest(ids[~asking], x[~asking], ids[asking], x[asking])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
+                own = t.filter(pa.array(~asking)).combine_chunks()
+                members = own["ids"].combine_chunks()
+                members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+                q, v, d = nearest(members, _matrix(own["vector"]), t["row"].to_numpy()[asking], _matrix(t["vector"])[asking])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], ["row", "vec_id", "score"])
 
         key = None
         for batch in batches:
@@ -182,34 +200,39 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every vector whose id is divisible by ``query_every``.
 
-    A query meets at least ``window_share`` of all vectors (and ``window_least``) on each curve. Without any
-    structure in the vectors a smaller share finds fewer of the true neighbours. Nearness is the Euclidean distance in
-    doubles, ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components, vectors
-    without id, and vectors of another length than most of the sample take no part. Rows that repeat an id are met like
-    others; a neighbour's id is listed once, at its smallest distance, and never for a query of the same id. Other columns are ignored; an
-    empty table gives an empty one.
+    A query meets at least ``window_share`` of all different vectors (and ``window_least``) on each curve. Without any
+    structure in the vectors a smaller share finds fewer of the true neighbours. Nearness is the Euclidean distance
+    in doubles, ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components, vectors
+    without id, and vectors of another length than most of the sample take no part. Equal vectors are placed once and
+    listed by their ids. Of rows that repeat an id, a neighbour is listed once, at its smallest distance, and never for
+    a query of the same id. Other columns are ignored; an empty table gives an empty one.
     """
     spark = embeddings.sparkSession
-    vectors = usable_vectors(embeddings)
-    sample = [r["vector"] for r in vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("vector").collect()]
+    usable = usable_vectors(embeddings)
+    classes = _classes(usable, query_every, k)
+    sample = [r["vector"] for r in classes.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("vector").collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(v) for v in sample]
     dims = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    vectors = vectors.where(F.size("vector") == dims)
-    n = vectors.count()
+    classes = classes.where(F.size("vector") == dims)
+    n = classes.count()
     fitted = Curves(np.array([v for v in sample if len(v) == dims]), curves, DIRECTIONS, BITS)
     window = max(window_least, int(np.ceil(window_share * n)))
     unit = int(min(UNIT_ROWS, max(1, -(-window // 4))))
     reach, last = -(-window // (2 * unit)), (n - 1) // unit
-    places = _rank_rows(vectors, fitted, curves).select("row", "curve", F.floor(F.col("rank") / unit).cast("int").alias("unit"))
+    places = _rank_rows(classes, fitted, curves).select("row", "curve", F.floor(F.col("rank") / unit).cast("int").alias("unit"))
     met = F.sequence(F.greatest(F.col("unit") - reach, F.lit(0)), F.least(F.col("unit") + reach, F.lit(last)))
-    asks = F.when(F.pmod("vec_id", F.lit(query_every)) == 0, F.transform(met, lambda u: F.struct(u.alias("unit"), F.lit(True).alias("asks"))))
-    own = F.array(F.struct(F.col("unit").alias("unit"), F.lit(False).alias("asks")))
-    rows = places.join(vectors, "row").select("curve", "vec_id", "vector", F.explode(F.concat(own, F.coalesce(asks, F.array()))).alias("at"))
-    rows = rows.select("curve", F.col("at.unit").alias("unit"), F.col("at.asks").alias("asks"), "vec_id", "vector")
-    dealt = rows.repartition("curve", "unit").sortWithinPartitions("curve", "unit", "asks")
-    found = dealt.mapInArrow(_nearest_in_units(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    asks = F.when(F.col("asks"), F.transform(met, lambda u: F.struct(u.alias("unit"), F.lit(True).alias("asking"))))
+    own = F.array(F.struct(F.col("unit").alias("unit"), F.lit(False).alias("asking")))
+    rows = places.join(classes, "row").select("curve", "row", "vector", "ids", F.explode(F.concat(own, F.coalesce(asks, F.array()))).alias("at"))
+    rows = rows.select("curve", F.col("at.unit").alias("unit"), F.col("at.asking").alias("asking"), "row", "vector", F.when(~F.col("at.asking"), F.col("ids")).alias("ids"))
+    dealt = rows.repartition("curve", "unit").sortWithinPartitions("curve", "unit", "asking")
+    found = dealt.mapInArrow(_nearest_in_units(k + 1), "row long, vec_id long, score double")
+    best = found.groupBy("row", "vec_id").agg(F.min("score").alias("score"))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1)
+    queries = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0).select(F.col("vec_id").alias("query_id"), "vector")
+    queries = queries.join(classes.where("asks").select("row", "vector"), "vector").select("query_id", "row")
+    answers = queries.join(best.drop("place"), "row").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
