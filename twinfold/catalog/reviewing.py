@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bands, diff, resolve, review, summaries
 from ..operators import outputs as out
 from ..operators.dedupe import dedupe_best
+from ..operators.match import candidate_order
 from ..sources import sinks, snapshots
 from . import samples
 from .gating import gated, gated_sql
@@ -113,41 +114,62 @@ _SIDE = [(f"r_{s}", f"select k as row, trim(last4_ssn) as l4, recon_id, worker_i
                     f"substr(lower(last_name_norm), 1, 3) as p3, lower(location_state) as st from snap_{s}") for s in ("old", "new")]
 _agree = lambda f: f"(o.{f} <> '' and o.{f} = n.{f})"
 _sim = "(case when o.nm = '' or n.nm = '' then 0.0 when o.nm = n.nm then 1.0 else 1 - levenshtein(o.nm, n.nm) / greatest(length(o.nm), length(n.nm)) end)"
-_capped = ("(select * from (select *, row_number() over (partition by l4 order by row) as rn from r_{s} where l4 <> '') where rn <= 25)")
 _signal = f"({_agree('dob')}::int + {_agree('yr')}::int + {_agree('p3')}::int + {_agree('st')}::int + ({_sim} >= 0.9)::int)"
+_weighted = (f"(case when {_agree('dob')} then 3 when {_agree('yr')} then 2 else 0 end + case when {_agree('p3')} then 2 else 0 end + "
+             f"case when {_agree('st')} then 1 else 0 end + case when {_sim} >= 0.9 then 2 else 0 end)")
 _SHOWN = ["last4_ssn", "old_row", "new_row", "score", "confidence", "name_similarity"]
+_SHORT = {"dob": "dob", "birth_year": "yr", "last_name_prefix3": "p3", "location_state": "st"}
+
+
+def _evidence_side(side, fields):
+    """Rows with all of the fields, and how many rows of the side share them."""
+    keys = ", ".join(["l4", *fields])
+    present = " and ".join(f"{f} <> ''" for f in ["l4", *fields])
+    return f"(select *, count(*) over (partition by {keys}) as c from r_{side} where {present})"
 
 
-def _review_sql(score, levels, join=None):
-    source = join or f"{_capped.format(s='old')} o join {_capped.format(s='new')} n using (l4)"
+def _review_sql(name, score, high, medium):
+    """Every MEDIUM or HIGH pair under the first evidence set it agrees on, for keys that are unique on a side."""
+    parts, earlier = [], []
+    for fields in ([_SHORT[f] for f in e] for e in review.EVIDENCE[name]):
+        before = "".join(f" and not ({e})" for e in earlier)
+        same = " and ".join(f"o.{f} = n.{f}" for f in ["l4", *fields])
+        parts.append(f"select o.l4, o.row as old_row, n.row as new_row, {score} as score, {_sim} as sim from {_evidence_side('old', fields)} o "
+                     f"join {_evidence_side('new', fields)} n on {same} where (o.c = 1 or n.c = 1){before}")
+        earlier.append(" and ".join(_agree(f) for f in fields))
     return with_sql(samples._snapshots_sql() + _SIDE,
-                    f"select l4 as last4_ssn, old_row, new_row, score::integer as score, {levels} as confidence, round(sim, 3) as name_similarity from (select l4, "
-                    f"o.row as old_row, n.row as new_row, {score} as score, {_sim} as sim from {source})")
+                    f"select l4 as last4_ssn, old_row, new_row, score::integer as score, case when score >= {high} then 'HIGH' else 'MEDIUM' end as confidence, "
+                    f"round(sim, 3) as name_similarity from ({' union all '.join(parts)}) where score >= {medium}")
 
 
-_add("review_pairs_signals",
-     lambda s, d: review.review_pairs_last4(snap_old(s, d), snap_new(s, d), method="edit").select(*_SHOWN),
-     _review_sql(_signal, "case when score >= 4 then 'HIGH' when score = 3 then 'MEDIUM' else 'LOW' end"))
-_weighted = (f"(case when {_agree('dob')} then 3 when {_agree('yr')} then 2 else 0 end + case when {_agree('p3')} then 2 else 0 end + "
-             f"case when {_agree('st')} then 1 else 0 end + case when {_sim} >= 0.9 then 2 else 0 end)")
-_add("review_pairs_weighted",
-     lambda s, d: review.review_pairs_last4(snap_old(s, d), snap_new(s, d), score="weighted", method="edit").select(*_SHOWN),
-     _review_sql(_weighted, "case when score >= 7 then 'HIGH' when score >= 4 then 'MEDIUM' else 'LOW' end"))
-_add("review_pairs_uncapped",
-     lambda s, d: review.review_pairs_last4(snap_old(s, d), snap_new(s, d), per_side=None, method="edit").select(*_SHOWN),
-     _review_sql(_signal, "case when score >= 4 then 'HIGH' else 'MEDIUM' end",
-                 "r_old o join r_new n using (l4) where l4 <> ''").replace("from r_old o", "from r_old o") + " where score >= 3")
+def _review_pairs(score):
+    return lambda s, d: review.review_pairs_last4(snap_old(s, d), snap_new(s, d), score=score, method="edit").select(*_SHOWN)
+
+
+_add("review_pairs_signals", _review_pairs("signals"), _review_sql("signals", _signal, 4, 3))
+_add("review_pairs_weighted", _review_pairs("weighted"), _review_sql("weighted", _weighted, 7, 4))
+_add("review_pairs_uncapped", _review_pairs("signals"), _review_sql("signals", _signal, 4, 3))
 QUERIES["review_pairs_sequence"] = lambda s, d: review.review_pairs_last4(snap_old(s, d), snap_new(s, d)).select(*_SHOWN)
+for _score in ("signals", "weighted"):
+    _add(f"grouped_evidence_{_score}",
+         lambda s, d, n=_score: review.grouped_evidence(snap_old(s, d), snap_new(s, d), n),
+         with_sql(samples._snapshots_sql() + _SIDE, " union all ".join(
+             f"select '{me}' as side, '{'+'.join(['last4_ssn', *e])}' as evidence, concat_ws('|', l4, {', '.join(_SHORT[f] for f in e)}) as key, row, "
+             f"n_old, n_new from {_evidence_side(me, [_SHORT[f] for f in e])} join (select l4, {', '.join(_SHORT[f] for f in e)}, o.c as n_old, n.c as n_new from "
+             f"(select distinct l4, {', '.join(_SHORT[f] for f in e)}, c from {_evidence_side('old', [_SHORT[f] for f in e])}) o join "
+             f"(select distinct l4, {', '.join(_SHORT[f] for f in e)}, c from {_evidence_side('new', [_SHORT[f] for f in e])}) n "
+             f"using (l4, {', '.join(_SHORT[f] for f in e)}) where o.c > 1 and n.c > 1) using (l4, {', '.join(_SHORT[f] for f in e)})"
+             for e in review.EVIDENCE[_score] for me in ("old", "new"))))
 
 
 def _grouped_names(df):
     return df.withColumns({
-        "full_name_norm": F.concat(F.lit("p"), F.col("k") % 300), "last_name_norm": F.concat(F.lit("ln"), F.col("k") % 3),
-        "dob": F.date_format(F.expr("date_add(date'1950-01-01', int(k % 600))"), "yyyy-MM-dd"),
+        "full_name_norm": F.concat(F.lit("p"), F.col("k") % 500), "last_name_norm": F.concat(F.lit("ln"), F.col("k") % 3),
+        "dob": F.date_format(F.expr("date_add(date'1950-01-01', int(k % 1000))"), "yyyy-MM-dd"),
         "recon_id": F.concat(F.lit("R"), F.col("k"))})
 
 
-_GROUPED = [(f"g_{s}", f"select k as row, 'p' || (k % 300) as nm, (date '1950-01-01' + (k % 600)::integer)::varchar as dob, 'ln' || (k % 3) as ln, worker_id, "
+_GROUPED = [(f"g_{s}", f"select k as row, 'p' || (k % 500) as nm, (date '1950-01-01' + (k % 1000)::integer)::varchar as dob, 'ln' || (k % 3) as ln, worker_id, "
                        f"'R' || k as rid from snap_{s}") for s in ("old", "new")]
 
 
@@ -156,7 +178,8 @@ def _tier_sql(key, level, score, old, new):
             "case when co.c > 1 then 'dup_in_old(' || co.c || ')' end, case when cn.c > 1 then 'dup_in_new(' || cn.c || ')' end) as notes "
             f"from {old} o join {new} n on {key.replace('#', 'o')} = {key.replace('#', 'n')} "
             f"join (select {key.replace('#.', '')} as x, count(*) as c from {old} group by 1) co on co.x = {key.replace('#', 'o')} "
-            f"join (select {key.replace('#.', '')} as x, count(*) as c from {new} group by 1) cn on cn.x = {key.replace('#', 'o')}")
+            f"join (select {key.replace('#.', '')} as x, count(*) as c from {new} group by 1) cn on cn.x = {key.replace('#', 'o')} "
+            "where co.c = 1 or cn.c = 1")
 
 
 _key_a, _key_b = "#.nm || '|' || #.dob", "#.nm || '|' || substr(#.dob, 1, 4) || '|' || substr(#.ln, 1, 3)"
@@ -179,14 +202,13 @@ _add("review_candidates_tiered",
               "union all select confidence, score, old_row, new_row, notes from tb"))
 
 
-_LIMIT = 4
 _add("crowded_candidates",
-     lambda s, d: review.crowded_candidates(_grouped_names(snap_old(s, d)), _grouped_names(snap_new(s, d)), _LIMIT).select(
+     lambda s, d: review.grouped_candidates(_grouped_names(snap_old(s, d)), _grouped_names(snap_new(s, d))).select(
          "side", "confidence", "key", "row", "n_old", "n_new"),
      with_sql(samples._snapshots_sql() + _TIERED, " union all ".join(
          f"select '{side}' as side, '{level}' as confidence, key, row, n_old, n_new from (select *, {key.replace('#.', '')} as key from {me}) join "
          f"(select key, n_old, n_new from (select {key.replace('#.', '')} as key, count(*) as n_old from {o} group by 1) join "
-         f"(select {key.replace('#.', '')} as key, count(*) as n_new from {n} group by 1) using (key) where n_old * n_new > {_LIMIT}) using (key)"
+         f"(select {key.replace('#.', '')} as key, count(*) as n_new from {n} group by 1) using (key) where n_old > 1 and n_new > 1) using (key)"
          for level, key, o, n in (("HIGH", _key_a, "g_old", "g_new"), ("MED", _key_b, "rest_old", "rest_new"))
          for side, me in (("old", o), ("new", n)))))
 
@@ -237,9 +259,9 @@ _add("suspicious_matches",
                "old_last4_ssn <> '' and old_last4_ssn = new_last4_ssn and old_dob = new_dob and (case when old_full_name_norm = lower(nn) then 1 else "
                "1 - levenshtein(old_full_name_norm, lower(nn)) / greatest(length(old_full_name_norm), length(nn)) end) < 0.6"))
 QUERIES["resolve_conflicting_candidates"] = lambda s, d: resolve.resolve_one_to_one(
-    review.review_pairs_last4(snap_old(s, d), snap_new(s, d), per_side=None, method="edit").select(
+    review.review_pairs_last4(snap_old(s, d), snap_new(s, d), method="edit").select(
         "old_worker_id", "new_worker_id", F.lit("last4_dob").alias("match_source"),
-        (F.col("old_row") * 100000000 + F.col("new_row")).alias("cand_ord"))).pairs.select("old_worker_id", "new_worker_id", "pair_id")
+        candidate_order(F.col("old_row"), F.col("new_row")).alias("cand_ord"))).pairs.select("old_worker_id", "new_worker_id", "pair_id")
 
 # ---------------------------------------------------------------- differences
 
@@ -268,7 +290,7 @@ _DIFF_SQL = " union all ".join(
     f"select k as old_row_id, k as new_row_id, '{f}' as field, o.{f} as old_value, n.{f} as new_value, {_severity_sql(f)} as severity "
     f"from snap_old o join snap_new n using (k) where lower(trim(o.{f})) <> lower(trim(n.{f}))" for f in _FIELDS)
 _add("diff_pairs", _diff, snapshots_sql(f"select * from ({_DIFF_SQL}) where severity <> 'green'"))
-_TREND_ROWS = f"(select field, old_value, new_value, lpad(old_row_id::varchar, 9, '0') as rk from ({_DIFF_SQL}) where severity <> 'green')"
+_TREND_ROWS = f"(select field, old_value, new_value, lpad(old_row_id::varchar, 19, '0') as rk from ({_DIFF_SQL}) where severity <> 'green')"
 _TOTAL = f"(select count(distinct rk) from {_TREND_ROWS})"
 
 
@@ -281,7 +303,7 @@ def _trend_sql(kind, keys, delta, where):
 
 
 _add("trends", lambda s, d: diff.trends(_diff(s, d).withColumn(
-        "record_key", F.lpad(F.col("old_row_id").cast("string"), 9, "0"))).drop("possible_reason"),
+        "record_key", F.lpad(F.col("old_row_id").cast("string"), 19, "0"))).drop("possible_reason"),
      snapshots_sql(_trend_sql("repeated_numeric_difference", "field, delta", True, "field in ('salary', 'payrate') and delta is not null")
                    + " union all " + _trend_sql("repeated_value_change", "field, old_value, new_value", False, "true")))
 _KEYS = {"worker_id": ("worker_id",), "recon_id": ("recon_id",), "name_dob": ("full_name_norm", "dob"), "last4_dob": ("last4_ssn", "dob")}
@@ -320,7 +342,7 @@ def positioned(spark, sf_dir):
     types = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("pk"), F.expr("case p_partkey % 4 when 0 then p_type when 1 then array_join(reverse(split(p_type, ' ')), '  ') "
                                                "when 2 then concat(p_type, ' EXTRA') else '' end").alias("t"))
-    rows = gated(spark, sf_dir).withColumn("pk", F.substring("old_worker_id", 2, 6).cast("int"))
+    rows = gated(spark, sf_dir).withColumn("pk", F.expr("substring(old_worker_id, 2)").cast("int"))
     return rows.join(types, "pk").withColumns({
         "new_position": F.col("t"), "old_position": F.lit(""),
         "new_location_state": F.expr("if(pk % 2 = 0, 'tx', '')"), "old_location_state": F.lit("")})

@@ -18,9 +18,6 @@ REVIEW_FIELDS = (
     "last_name_prefix3", "location_state",
 )
 NAME_CLOSE = 0.90
-ROWS_PER_SIDE = 25
-# Keys with more pairs than this are listed by their members.
-PAIR_LIMIT = 1_000_000
 
 # Reviewer words that approve a pair.
 MATCH_WORDS = ("match", "matched", "yes", "y", "true", "1", "approve", "approved")
@@ -88,12 +85,15 @@ def _weighted_score(pairs: DataFrame, method: str) -> DataFrame:
 
 SCORES = {"signals": _signal_score, "weighted": _weighted_score}
 
-# Fields that agree beside the last four digits; every pair of the ``signals``
-# score that reaches MEDIUM agrees on at least one of these sets.
-EVIDENCE = (
-    ("dob",), ("birth_year", "last_name_prefix3"), ("birth_year", "location_state"),
-    ("last_name_prefix3", "location_state"),
-)
+# Fields that agree beside the last four digits. Every pair that reaches MEDIUM
+# agrees on at least one of these sets.
+EVIDENCE = {
+    "signals": (
+        ("dob",), ("birth_year", "last_name_prefix3"), ("birth_year", "location_state"),
+        ("last_name_prefix3", "location_state"),
+    ),
+    "weighted": (("dob",), ("birth_year",), ("last_name_prefix3",)),
+}
 
 
 def group_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,36 +105,36 @@ def group_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return sides[0].join(sides[1], keys)
 
 
-def _pairable(sizes: DataFrame, limit: int | None) -> DataFrame:
-    return sizes if limit is None else sizes.where(F.col("n_old") * F.col("n_new") <= limit)
+# A key is listed as pairs if it is unique on a side, which is linear in rows,
+# and by its members if it repeats on both, whatever its size.
+_PAIRED, _LISTED = "n_old = 1 or n_new = 1", "n_old > 1 and n_new > 1"
 
 
-def crowded_members(left: DataFrame, right: DataFrame, keys: list[str], limit: int = PAIR_LIMIT) -> DataFrame:
-    """The rows of keys with more than ``limit`` pairs, once each instead of as pairs.
+def group_members(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of keys that repeat on both sides, once each instead of as pairs.
 
     Every old row of a key goes with every new row of it, so the two member
     lists say the same as the pairs and grow with the rows, not their product.
     """
-    crowded = group_sizes(left, right, keys).where(F.col("n_old") * F.col("n_new") > limit)
+    repeated = group_sizes(left, right, keys).where(_LISTED)
     parts = [
-        side.select(*keys, "row").join(crowded, keys).select(F.lit(name).alias("side"), *keys, "row", "n_old", "n_new")
+        side.select(*keys, "row").join(repeated, keys).select(F.lit(name).alias("side"), *keys, "row", "n_old", "n_new")
         for name, side in (("old", left), ("new", right))
     ]
     return parts[0].unionByName(parts[1])
 
 
 def review_pairs_last4(
-    old: DataFrame, new: DataFrame, score: str = "signals", per_side: int | None = ROWS_PER_SIDE,
-    method: str = "sequence", row: str = ROW, pair_limit: int | None = PAIR_LIMIT,
+    old: DataFrame, new: DataFrame, score: str = "signals", per_side: int | None = None,
+    method: str = "sequence", row: str = ROW,
 ) -> DataFrame:
     """Scored pairs of unmatched rows that share the last four digits.
 
-    With ``per_side`` the first rows per key and side are paired, which is the
-    defined review list. With None every MEDIUM or HIGH pair of the ``signals``
-    score is found, without pairing whole groups: such a pair shares the digits
-    and at least one evidence set, so it is reached by an equi-join on both.
-    Evidence keys with more than ``pair_limit`` pairs come whole from
-    ``crowded_evidence`` instead.
+    Every MEDIUM or HIGH pair is reached by an equi-join on the digits and an
+    evidence set, without pairing whole groups; evidence keys that repeat on
+    both sides come whole from ``grouped_evidence`` instead. ``per_side`` is a
+    feature for a short list: it pairs the first rows per digits and side, LOW
+    pairs included.
     """
     left, right = review_side(old, row), review_side(new, row)
     left, right = (s.where("last4_ssn <> ''") for s in (left, right))
@@ -142,9 +142,7 @@ def review_pairs_last4(
         left, right = (first_n(s, ["last4_ssn"], ["row"], per_side) for s in (left, right))
         pairs = _as_side(left, "old", "last4_ssn").join(_as_side(right, "new", "last4_ssn"), "last4_ssn")
         return SCORES[score](pairs, method)
-    if score != "signals":
-        raise ValueError("the uncapped list is defined for the signals score")
-    return _pairs_by_evidence(left, right, method, pair_limit)
+    return _pairs_by_evidence(left, right, score, method)
 
 
 def _evidence_sides(left: DataFrame, right: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -152,23 +150,22 @@ def _evidence_sides(left: DataFrame, right: DataFrame, fields: tuple[str, ...])
     return left.where(present), right.where(present), ["last4_ssn", *fields]
 
 
-def crowded_evidence(old: DataFrame, new: DataFrame, limit: int = PAIR_LIMIT, row: str = ROW) -> DataFrame:
-    """Members of the evidence keys that the uncapped list leaves out as pairs."""
+def grouped_evidence(old: DataFrame, new: DataFrame, score: str = "signals", row: str = ROW) -> DataFrame:
+    """Members of the evidence keys that the list of pairs leaves out."""
     sides = [review_side(s, row).where("last4_ssn <> ''") for s in (old, new)]
     parts = []
-    for fields in EVIDENCE:
+    for fields in EVIDENCE[score]:
         left, right, keys = _evidence_sides(*sides, fields)
-        members = crowded_members(left, right, keys, limit)
-        parts.append(members.select(
+        parts.append(group_members(left, right, keys).select(
             "side", F.lit("+".join(keys)).alias("evidence"), F.concat_ws("|", *keys).alias("key"), "row", "n_old", "n_new"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _pairs_by_evidence(left: DataFrame, right: DataFrame, method: str, limit: int | None) -> DataFrame:
+def _pairs_by_evidence(left: DataFrame, right: DataFrame, score: str, method: str) -> DataFrame:
     parts, earlier = [], []
-    for fields in EVIDENCE:
+    for fields in EVIDENCE[score]:
         kept_left, kept_right, keys = _evidence_sides(left, right, fields)
-        allowed = _pairable(group_sizes(kept_left, kept_right, keys), limit).select(*keys)
+        allowed = group_sizes(kept_left, kept_right, keys).where(_PAIRED).select(*keys)
         o = kept_left.join(allowed, keys).select(*keys, *[F.col(c).alias(f"old_{c}") for c in left.columns if c != "last4_ssn"])
         n = kept_right.select(*keys, *[F.col(c).alias(f"new_{c}") for c in right.columns if c != "last4_ssn"])
         pairs = o.join(n, keys).drop(*fields)
@@ -177,7 +174,7 @@ def _pairs_by_evidence(left: DataFrame, right: DataFrame, method: str, limit: in
             pairs = pairs.where(~reduce(lambda a, b: a | b, earlier))
         earlier.append(reduce(lambda a, b: a & b, [_agree(f) for f in fields]))
         parts.append(pairs)
-    scored = _signal_score(reduce(DataFrame.unionByName, parts), method)
+    scored = SCORES[score](reduce(DataFrame.unionByName, parts), method)
     return scored.where("confidence <> 'LOW'")
 
 
@@ -187,17 +184,17 @@ def _keyed(side: DataFrame, parts: tuple[str, ...]) -> DataFrame:
 
 
 def _tier_pairs(
-    left: DataFrame, right: DataFrame, parts: tuple[str, ...], level: str, score: int, limit: int | None
+    left: DataFrame, right: DataFrame, parts: tuple[str, ...], level: str, score: int
 ) -> DataFrame:
-    """Pairs with equal keys, with a note where a key repeats on a side."""
+    """Pairs with equal keys that are unique on a side, with a note where one repeats on the other."""
     left, right = _keyed(left, parts), _keyed(right, parts)
-    shared = _pairable(group_sizes(left, right, ["key"]), limit)
+    shared = group_sizes(left, right, ["key"]).where(_PAIRED)
     note = lambda side: F.when(
         F.col(f"n_{side}") > 1,
         F.concat(F.lit(f"dup_in_{side}("), F.col(f"n_{side}").cast("string"), F.lit(")")),
     )
     shared = shared.select("key", F.concat_ws("|", note("old"), note("new")).alias("notes"))
-    # The sizes are joined first, so a crowded key is gone before any pairing.
+    # The sizes are joined first, so a key of members is gone before any pairing.
     pairs = _as_side(left, "old", "key").join(shared, "key").join(_as_side(right, "new", "key"), "key")
     return pairs.select(
         F.lit(level).alias("confidence"), F.lit(score).alias("score"),
@@ -247,23 +244,23 @@ def _tier_b_sides(left: DataFrame, right: DataFrame) -> list[DataFrame]:
 
 
 def review_candidates_tiered(
-    old: DataFrame, new: DataFrame, pattern: str = r"^wdX\d+$", row: str = ROW, pair_limit: int | None = PAIR_LIMIT
+    old: DataFrame, new: DataFrame, pattern: str = r"^wdX\d+$", row: str = ROW
 ) -> DataFrame:
     """Tier A by name and birth date, tier B by name, birth year and name prefix.
 
-    Keys with more than ``pair_limit`` pairs come whole from ``crowded_candidates``.
+    Keys that repeat on both sides come whole from ``grouped_candidates``.
     """
     left, right = review_side(old, row), review_side(new, row)
-    tier_a = prefer_id_pattern(_tier_pairs(left, right, KEY_A, "HIGH", 2, pair_limit), pattern)
-    return tier_a.unionByName(_tier_pairs(*_tier_b_sides(left, right), KEY_B, "MED", 1, pair_limit))
+    tier_a = prefer_id_pattern(_tier_pairs(left, right, KEY_A, "HIGH", 2), pattern)
+    return tier_a.unionByName(_tier_pairs(*_tier_b_sides(left, right), KEY_B, "MED", 1))
 
 
-def crowded_candidates(old: DataFrame, new: DataFrame, limit: int = PAIR_LIMIT, row: str = ROW) -> DataFrame:
+def grouped_candidates(old: DataFrame, new: DataFrame, row: str = ROW) -> DataFrame:
     """Members of the keys that ``review_candidates_tiered`` leaves out as pairs."""
     left, right = review_side(old, row), review_side(new, row)
     parts = []
     for level, sides, key in (("HIGH", [left, right], KEY_A), ("MED", _tier_b_sides(left, right), KEY_B)):
-        members = crowded_members(*[_keyed(s, key) for s in sides], ["key"], limit)
+        members = group_members(*[_keyed(s, key) for s in sides], ["key"])
         parts.append(members.withColumn("confidence", F.lit(level)))
     return parts[0].unionByName(parts[1])
 
@@ -337,8 +334,10 @@ def finalize(
     flags = []
     for column in ("old_worker_id", "new_worker_id"):
         if column in matches.columns:
-            counts = matches.groupBy(column).agg((F.count(F.lit(1)) > 1).alias(f"_dup_{column}"))
-            matches = matches.join(counts, column)
+            # Only ids that repeat are joined back. A missing id equals no other.
+            counts = matches.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+            counts = counts.where("_n > 1").select(column, F.lit(True).alias(f"_dup_{column}"))
+            matches = matches.join(counts, column, "left").withColumn(f"_dup_{column}", F.coalesce(f"_dup_{column}", F.lit(False)))
             flags.append(f"_dup_{column}")
     repeated = reduce(lambda a, b: a | b, [F.col(f) for f in flags]) if flags else F.lit(False)
     return matches.where(~repeated).drop(*flags), matches.where(repeated).drop(*flags)
