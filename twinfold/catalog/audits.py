@@ -51,8 +51,8 @@ for _group, _fields in pa.PAIR_GROUPS.items():
     _blank = " or ".join(f"coalesce(trim(old_{f}), '') <> coalesce(trim(new_{f}), '')" for f in _fields)
     _add(f"mismatch_{_group}", lambda s, d, g=_group: pa.mismatches(pairs(s, d), g),
          pairs_sql(f"select {_lead}, {_two(_fields)} from pairs where {_both}"))
-    _add(f"mismatch_{_group}_listing", lambda s, d, g=_group: pa.mismatches(pairs(s, d), g, limit=pa.LIST_LIMIT),
-         pairs_sql(f"select {_lead}, {_two(_fields)} from pairs where {_both} order by pair_id limit 200"))
+    _add(f"mismatch_{_group}_listing", lambda s, d, g=_group: pa.mismatches(pairs(s, d), g),
+         pairs_sql(f"select {_lead}, {_two(_fields)} from pairs where {_both}"))
     _add(f"mismatch_{_group}_blanks", lambda s, d, g=_group: pa.mismatches(pairs(s, d), g, "blank_counts"),
          pairs_sql(f"select {_lead}, {_two(_fields)} from pairs where {_blank}"))
 _add("mismatch_pay_numeric", lambda s, d: pa.mismatches(pairs(s, d), "pay", "numeric"),
@@ -66,9 +66,9 @@ _add("hire_date_mismatch_by_prefix", lambda s, d: pa.hire_date_mismatch_by_prefi
 _variance = (f"select pair_id, old_worker_id, new_worker_id, old_full_name_norm, {_os} as old_salary_num, "
              f"{_ns} as new_salary_num, {_ns} - {_os} as salary_delta, case when {_share} > 0.1 then 'high' "
              f"when {_share} > 0.03 then 'medium' else 'low' end as severity_band from pairs where {_moved}")
-_add("salary_variance", lambda s, d: pa.salary_variance(pairs(s, d), None), pairs_sql(_variance))
+_add("salary_variance", lambda s, d: pa.salary_variance(pairs(s, d)), pairs_sql(_variance))
 _add("salary_variance_listing", lambda s, d: pa.salary_variance(pairs(s, d)),
-     pairs_sql(_variance + " order by pair_id limit 500"))
+     pairs_sql(_variance))
 
 _add("salary_delta_distribution", lambda s, d: pa.salary_delta_distribution(pairs(s, d)),
      pairs_sql(f"select case when {_share} >= 0.5 then '>=50%' when {_share} >= 0.25 then '25-49%' "
@@ -76,19 +76,18 @@ _add("salary_delta_distribution", lambda s, d: pa.salary_delta_distribution(pair
                f"count(*) as cnt from pairs where {_moved} group by 1"))
 _add("salary_ratio_clusters", lambda s, d: pa.salary_ratio_clusters(pairs(s, d)),
      pairs_sql(f"select round({_ratio}, 2) as ratio_rounded, count(*) as cnt from pairs where {_moved} group by 1 "
-               "having count(*) > 50 order by cnt desc, ratio_rounded limit 50"))
+               "having count(*) > 50"))
 
 _extreme_sql = (f"select pair_id, old_worker_id, new_worker_id, old_full_name_norm, old_salary, new_salary, "
                 f"round({_ratio}, 3) as ratio, {_two(('worker_status', 'worker_type'))} from pairs where {_extreme}")
-_add("extreme_salary_shifts", lambda s, d: pa.extreme_shifts(pairs(s, d), None), pairs_sql(_extreme_sql))
+_add("extreme_salary_shifts", lambda s, d: pa.extreme_shifts(pairs(s, d)), pairs_sql(_extreme_sql))
 _add("extreme_salary_shifts_listing", lambda s, d: pa.extreme_shifts(pairs(s, d)),
-     pairs_sql(_extreme_sql + " order by pair_id limit 300"))
+     pairs_sql(_extreme_sql))
 _add("extreme_ratio_bins", lambda s, d: pa.extreme_ratio_bins(pairs(s, d)),
-     pairs_sql(f"select round({_ratio}, 2) as ratio_bin, count(*) as cnt from pairs where {_extreme} group by 1 "
-               "order by cnt desc, ratio_bin limit 50"))
+     pairs_sql(f"select round({_ratio}, 2) as ratio_bin, count(*) as cnt from pairs where {_extreme} group by 1"))
 _add("roles_with_extremes", lambda s, d: pa.roles_with_extremes(pairs(s, d)),
      pairs_sql(f"select old_position, new_position, count(*) as cnt, round(avg({_ratio}), 3) as avg_ratio from pairs "
-               f"where {_extreme} group by 1, 2 order by cnt desc, old_position, new_position limit 50"))
+               f"where {_extreme} group by 1, 2"))
 _aligned = lambda s: (
     f"old_{s} <> ''" if False else f"{s}_payrate <> '' and abs({num(s + '_salary')} - {num(s + '_payrate')} * 2080) "
     f"/ nullif({num(s + '_salary')}, 0) < 0.05")
@@ -96,7 +95,7 @@ _add("payrate_alignment", lambda s, d: pa.payrate_alignment(pairs(s, d)),
      pairs_sql(f"select count(*) as total_extreme, count(*) filter ({_aligned('old')}) as old_matches_hourly_2080, "
                f"count(*) filter ({_aligned('new')}) as new_matches_hourly_2080 from pairs where {_extreme}"))
 _same = f"{_extreme} and old_position = new_position"
-_add("same_role_extremes", lambda s, d: pa.same_role_extremes(pairs(s, d), None),
+_add("same_role_extremes", lambda s, d: pa.same_role_extremes(pairs(s, d)),
      pairs_sql(f"select pair_id, old_worker_id, new_worker_id, old_full_name_norm, {_two(('position', 'salary'))}, "
                f"round({_ratio}, 3) as ratio from pairs where {_same}"))
 _add("same_role_ratio", lambda s, d: pa.same_role_ratio(pairs(s, d)),

@@ -233,7 +233,7 @@ _add("audit_same_name_other_id",
      lambda s, d: checks.same_name_other_id(people(s, d)).select("src_ord", "worker_id", "name"),
      people_sql(f"select k as src_ord, worker_id, name from (select k, trim(worker_id) as worker_id, first_name || ' ' || last_name as name, "
                 f"row_number() over (partition by {_name} order by k) as rn, min(trim(worker_id)) over (partition by {_name}) as a, "
-                f"max(trim(worker_id)) over (partition by {_name}) as b from people where trim(worker_id) <> '') where a <> b and rn <= 5"))
+                f"max(trim(worker_id)) over (partition by {_name}) as b from people where trim(worker_id) <> '') where a <> b"))
 _plan_sql = ("select trim(worker_id) as w, unnest(list_filter(list_transform(string_split_regex(benefit_plan, '[;,|]'), lambda x: lower(trim(x))), "
              "lambda x: x not in ('', 'none', 'no plan', 'not enrolled', 'waived', 'waive', 'declined', 'decline'))) as p from people where trim(worker_id) <> ''")
 _add("audit_multiple_plans", lambda s, d: checks.multiple_plan_rows(people(s, d)).select("src_ord", "benefit_plan"),
@@ -352,7 +352,7 @@ _dup_sql = " union all ".join(
     f"sum(n)::bigint as count from (select count(*) as n from people where trim({f}) <> '' group by trim({f}) having count(*) > 1)"
     for f in ("worker_id", "email", "last4_ssn"))
 _name_rows = ("select k from (select k, row_number() over (partition by {n} order by k) as rn, min(trim(worker_id)) over (partition by {n}) as a, "
-              "max(trim(worker_id)) over (partition by {n}) as b from people where trim(worker_id) <> '') where a <> b and rn <= 5").format(n=_name)
+              "max(trim(worker_id)) over (partition by {n}) as b from people where trim(worker_id) <> '') where a <> b").format(n=_name)
 _outlier_rows = ("select k from facts f join g on trim(f.department) = g.department where g.n >= 5 and med > 0 and (sal > med * 2.5 or sal < med * 0.3)")
 _equity_rows = ("select 1 from facts where sal is not null and trim(department) <> '' group by job_title, department having count(*) >= 3 and median(sal) > 0 "
                 "and (max(sal) - min(sal)) / median(sal) > 0.3")

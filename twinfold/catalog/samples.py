@@ -20,12 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _padded(key: str, digits: int) -> tuple[str, str]:
+    """A key with leading zeros, never cut, for Spark and DuckDB."""
+    return (f"lpad({key}, greatest({digits}, length({key})), '0')", f"lpad(({key})::varchar, greatest({digits}, length(({key})::varchar))::integer, '0')")
+
+
+_K6, _S6, _S4 = _padded("k", 6), _padded("s_suppkey", 6), _padded("s_suppkey", 4)
+# Row numbers of new-only rows follow those of any number of customers.
+HIRED_FROM = 1_000_000_000_000
+
 # Column -> (Spark expression, DuckDB expression) over customer joined with nation, k = c_custkey.
 _SAME = object()
 OLD = {
-    "worker_id": ("concat('W', lpad(k, 6, '0'))", "'W' || lpad(k::varchar, 6, '0')"),
-    "recon_id": ("if(k % 5 = 0, concat('R', lpad(k, 6, '0')), '')",
-                 "case when k % 5 = 0 then 'R' || lpad(k::varchar, 6, '0') else '' end"),
+    "worker_id": (f"concat('W', {_K6[0]})", f"'W' || {_K6[1]}"),
+    "recon_id": (f"if(k % 5 = 0, concat('R', {_K6[0]}), '')", f"case when k % 5 = 0 then 'R' || {_K6[1]} else '' end"),
     "full_name_norm": ("lower(c_name)", _SAME),
     "first_name_norm": ("concat('fn', k % 90)", "'fn' || (k % 90)"),
     "last_name_norm": ("concat('ln', k % 800)", "'ln' || (k % 800)"),
@@ -97,11 +105,11 @@ NEW = {
 }
 # New-only rows, one per supplier.
 HIRED_ONLY = {
-    "worker_id": ("concat('S', lpad(s_suppkey, 6, '0'))", "'S' || lpad(s_suppkey::varchar, 6, '0')"),
+    "worker_id": (f"concat('S', {_S6[0]})", f"'S' || {_S6[1]}"),
     "full_name_norm": ("lower(s_name)", _SAME),
     "last_name_norm": ("concat('sup', s_suppkey % 800)", "'sup' || (s_suppkey % 800)"),
     "dob": ("'1980-01-01'", _SAME), "hire_date": ("'2015-01-01'", _SAME),
-    "last4_ssn": ("lpad(s_suppkey, 4, '0')", "lpad(s_suppkey::varchar, 4, '0')"),
+    "last4_ssn": _S4,
     "salary": ("'50000'", _SAME), "location_state": ("'ZZ'", _SAME),
     "worker_status": ("'active'", _SAME), "worker_type": ("'regular'", _SAME),
     "district": ("'SUPPLY'", _SAME),
@@ -128,7 +136,7 @@ def snap_new(spark: SparkSession, sf_dir: str) -> DataFrame:
         "src_ord", "k", *[F.expr(_pick(NEW[c], False)).alias(c) if c in NEW else F.col(c) for c in OLD]
     )
     hired = table(spark, sf_dir, "supplier").select(
-        F.expr("10000000 + s_suppkey").alias("src_ord"), F.expr("10000000 + s_suppkey").alias("k"),
+        F.expr(f"{HIRED_FROM} + s_suppkey").alias("src_ord"), F.expr(f"{HIRED_FROM} + s_suppkey").alias("k"),
         *[F.expr(_pick(HIRED_ONLY[c], False) if c in HIRED_ONLY else "''").alias(c) for c in OLD],
     )
     return moved.unionByName(hired)
@@ -146,7 +154,7 @@ def _snapshots_sql() -> list[tuple[str, str]]:
         ("snap_old", f"select k, {old} from (select c_custkey as k, * from customer "
                      "join nation on c_nationkey = n_nationkey)"),
         ("snap_new", f"select k, {new} from snap_old where k % 41 <> 0 union all by name "
-                     f"select 10000000 + s_suppkey as k, {hired} from supplier"),
+                     f"select {HIRED_FROM} + s_suppkey as k, {hired} from supplier"),
     ]
 
 

@@ -177,3 +177,10 @@ def completeness_status(filled_pct: Column) -> Column:
     return _steps(
         filled_pct, ((99, "Complete"), (95, "Acceptable"), (80, "Needs Attention")), "Critical Gap"
     )
+
+
+def plain_text(c: Column) -> Column:
+    """A double as text without an exponent: at least one decimal, no needless zeros."""
+    value = c.cast("double")
+    digits = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,10)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.coalesce(digits, value.cast("string"))

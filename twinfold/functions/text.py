@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -65,13 +66,13 @@ def norm_id(c: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+def _fold_table() -> tuple[str, str, str]:
     """Compatibility folds generated from the Unicode database.
 
     Characters that fold to one ASCII character go into one ``translate``;
-    the Latin ones that fold to several are replaced one by one.
+    those that fold to several are looked up in a map, which is given as JSON.
     """
-    source, target, several = [], [], []
+    source, target, several = [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -80,9 +81,9 @@ def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(plain) == 1:
             source.append(ch)
             target.append(plain)
-        elif len(plain) > 1 and (code <= 0x24F or 0xFB00 <= code <= 0xFB06):
-            several.append((ch, plain))
-    return "".join(source), "".join(target), tuple(several)
+        elif len(plain) > 1:
+            several[ch] = plain
+    return "".join(source), "".join(target), json.dumps(several)
 
 
 def ascii_fold(c: Column | str) -> Column:
@@ -90,9 +91,12 @@ def ascii_fold(c: Column | str) -> Column:
     source, target, several = _fold_table()
     value = as_col(c)
     folded_value = F.translate(value, source, target)
-    for ch, plain in several:
-        folded_value = F.replace(folded_value, F.lit(ch), F.lit(plain))
-    folded_value = F.regexp_replace(folded_value, r"[^\x00-\x7F]", "")
+    # One constant map; only characters still outside ASCII are looked up.
+    table = F.from_json(F.lit(several), "map<string,string>")
+    characters = F.regexp_extract_all(folded_value, F.lit(r"([\s\S])"), F.lit(1))
+    spelled = F.array_join(F.transform(
+        characters, lambda ch: F.when(ch.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, ch), F.lit(""))).otherwise(ch)), "")
+    folded_value = F.when(folded_value.rlike(r"[^\x00-\x7F]"), spelled).otherwise(folded_value)
     return F.when(value.rlike(r"[^\x00-\x7F]"), folded_value).otherwise(value)
 
 

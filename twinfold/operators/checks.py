@@ -421,8 +421,8 @@ def duplicates_table(df: DataFrame, fields: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def same_name_other_id(df: DataFrame, per_name: int | None = 5) -> DataFrame:
-    """Rows whose name occurs with more than one id: the first rows per name, or all with None.
+def same_name_other_id(df: DataFrame, per_name: int | None = None) -> DataFrame:
+    """Rows whose name occurs with more than one id: all, or the first ``per_name`` of each name.
 
     The least and greatest id of a name differ exactly when it has several ids,
     so the aggregate keeps two values per name however common the name is.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blanks import as_col, changed, folded, text
 from ..functions.dates import day_gap, pattern_of
-from ..functions.numbers import conversion_of, money_delta, parse_confidence, parse_money
+from ..functions.numbers import conversion_of, money_delta, parse_confidence, parse_money, plain_text
 from ..policy import auto_approve_sources, load_policy
 from .waves import flag_waves
 
@@ -441,4 +441,4 @@ def priority_labels(policy: dict | None = None) -> Column:
 
 def as_text(c: Column | str, digits: int) -> Column:
     """Rounded number as text, '' for NULL."""
-    return F.coalesce(F.bround(as_col(c), digits).cast("string"), F.lit(""))
+    return F.coalesce(plain_text(F.bround(as_col(c), digits)), F.lit(""))

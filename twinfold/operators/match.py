@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as tx
 from ..functions.blanks import folded, text
+from ..functions.numbers import plain_text
 from ..sources.snapshots import ROW, ensure_columns
 from ..sources.staging import materialize
 
@@ -200,6 +202,11 @@ def name_change_detected(old: str = "old_last_name_norm", new: str = "new_last_n
     return (o != "") & (n != "") & (o != n)
 
 
+def candidate_order(first: Column, second: Column) -> Column:
+    """One number that orders by ``first``, then by ``second``; unique if the two are, for all non-negative longs."""
+    return first.cast("decimal(38,0)") * F.lit(Decimal(10) ** 19).cast("decimal(38,0)") + second
+
+
 def pair_rows(
     result: MatchResult, old: DataFrame, new: DataFrame, extras: list[str] | tuple[str, ...] = (),
     row: str = ROW, method: str = "sequence",
@@ -209,11 +216,14 @@ def pair_rows(
     sides = []
     for prefix, side in (("old", old), ("new", new)):
         side = ensure_columns(side, fields)
-        renamed = [F.col(f).cast("string").alias(f"{prefix}_{f}") for f in fields]
+        kinds = dict(side.dtypes)
+        renamed = [
+            (plain_text(F.col(f)) if kinds[f] in ("double", "float") else F.col(f).cast("string")).alias(f"{prefix}_{f}") for f in fields
+        ]
         sides.append(side.select(F.col(row).alias(f"{prefix}_row"), *renamed))
     wide = result.links.join(sides[0], "old_row").join(sides[1], "new_row")
     # Order of the candidates: tier first, then position in the old snapshot.
-    order = (F.col("tier").cast("long") * F.lit(10**15) + F.col("old_row")).alias("cand_ord")
+    order = candidate_order(F.col("tier"), F.col("old_row")).cast("decimal(38,0)").alias("cand_ord")
     paired = [f"{p}_{f}" for f in fields for p in ("old", "new")]
     wide = wide.select(order, *paired, name_change_detected().alias("name_change_detected"), "match_source")
     return wide.withColumn("confidence", confidence(method))

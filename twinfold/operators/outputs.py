@@ -55,6 +55,9 @@ def _extra_columns(fields: list[str], policy: dict) -> list[Column]:
     return columns
 
 
+BAND_COLUMNS = tuple(f"comp_band_{c}" for c in ("status", "min", "mid", "max", "match"))
+
+
 def wide_compare(gated: DataFrame, policy: dict | None = None) -> DataFrame:
     """One row per pair: keys, decision, both records, deltas and change flags."""
     policy = load_policy(policy)
@@ -73,7 +76,7 @@ def wide_compare(gated: DataFrame, policy: dict | None = None) -> DataFrame:
         differs("worker_status").alias("status_changed"), differs("hire_date").alias("hire_date_changed"),
         has_fix("job_org").alias("job_org_changed"), pattern.alias("hire_date_pattern"),
         (F.col("action") == "REVIEW").alias("needs_review"), F.col("action").alias("suggested_action"),
-        *[F.lit("").alias(f"comp_band_{c}") for c in ("status", "min", "mid", "max", "match")],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in BAND_COLUMNS],
         *_extra_columns(extras, policy),
     )
 

@@ -19,8 +19,8 @@ PAIR_GROUPS = {
     "job_org": ("position", "district", "location_state"),
     "hire_date": ("hire_date",),
 }
-# Row limits of the listing reports.
-LIST_LIMIT, VARIANCE_LIMIT, EXTREME_LIMIT, CLUSTER_LIMIT, CLUSTER_MIN = 200, 500, 300, 50, 50
+# Fixed value: a ratio listed as a cluster occurs more often than this.
+CLUSTER_MIN = 50
 
 
 def old_salary() -> Column:
@@ -75,7 +75,7 @@ def match_source_summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(source.alias("match_source")).agg(F.count(F.lit(1)).alias("pair_count"))
 
 
-def mismatches(pairs: DataFrame, group: str, mode: str = "both_present", limit: int | None = None) -> DataFrame:
+def mismatches(pairs: DataFrame, group: str, mode: str = "both_present", top: int | None = None) -> DataFrame:
     """Pairs whose fields of a group differ.
 
     ``both_present`` compares texts when both sides have one; ``blank_counts``
@@ -89,7 +89,7 @@ def mismatches(pairs: DataFrame, group: str, mode: str = "both_present", limit:
     }
     test = reduce(lambda a, b: a | b, [tests[mode](f) for f in fields])
     rows = pairs.where(test).select(*LEAD, *both(fields))
-    return rows.orderBy("pair_id").limit(limit) if limit else rows
+    return rows.orderBy("pair_id").limit(top) if top else rows
 
 
 def hire_date_mismatch_by_prefix(pairs: DataFrame) -> DataFrame:
@@ -102,14 +102,14 @@ def _salary_changed(pairs: DataFrame) -> DataFrame:
     return pairs.where(changed_both_present("old_salary", "new_salary"))
 
 
-def salary_variance(pairs: DataFrame, limit: int | None = VARIANCE_LIMIT) -> DataFrame:
+def salary_variance(pairs: DataFrame, top: int | None = None) -> DataFrame:
     rows = _salary_changed(pairs).select(
         "pair_id", "old_worker_id", "new_worker_id", "old_full_name_norm",
         old_salary().alias("old_salary_num"), new_salary().alias("new_salary_num"),
         (new_salary() - old_salary()).alias("salary_delta"),
         severity_band(F.col("old_salary"), F.col("new_salary")).alias("severity_band"),
     )
-    return rows.orderBy("pair_id").limit(limit) if limit else rows
+    return rows.orderBy("pair_id").limit(top) if top else rows
 
 
 def salary_delta_distribution(pairs: DataFrame) -> DataFrame:
@@ -117,29 +117,30 @@ def salary_delta_distribution(pairs: DataFrame) -> DataFrame:
     return _salary_changed(pairs).groupBy(band.alias("delta_band")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def salary_ratio_clusters(pairs: DataFrame, more_than: int = CLUSTER_MIN, limit: int = CLUSTER_LIMIT) -> DataFrame:
+def salary_ratio_clusters(pairs: DataFrame, more_than: int = CLUSTER_MIN, top: int | None = None) -> DataFrame:
     ratio = F.round(salary_multiple(), 2).alias("ratio_rounded")
     counts = _salary_changed(pairs).groupBy(ratio).agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.where(F.col("cnt") > more_than).orderBy(F.desc("cnt"), "ratio_rounded").limit(limit)
+    counts = counts.where(F.col("cnt") > more_than)
+    return counts.orderBy(F.desc("cnt"), "ratio_rounded").limit(top) if top else counts
 
 
-def extreme_shifts(pairs: DataFrame, limit: int | None = EXTREME_LIMIT) -> DataFrame:
+def extreme_shifts(pairs: DataFrame, top: int | None = None) -> DataFrame:
     rows = pairs.where(extreme_shift()).select(
         "pair_id", "old_worker_id", "new_worker_id", "old_full_name_norm", "old_salary", "new_salary",
         F.round(salary_multiple(), 3).alias("ratio"), *both(["worker_status", "worker_type"]))
-    return rows.orderBy("pair_id").limit(limit) if limit else rows
+    return rows.orderBy("pair_id").limit(top) if top else rows
 
 
-def extreme_ratio_bins(pairs: DataFrame, limit: int = CLUSTER_LIMIT) -> DataFrame:
+def extreme_ratio_bins(pairs: DataFrame, top: int | None = None) -> DataFrame:
     ratio = F.round(salary_multiple(), 2).alias("ratio_bin")
     counts = pairs.where(extreme_shift()).groupBy(ratio).agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.orderBy(F.desc("cnt"), "ratio_bin").limit(limit)
+    return counts.orderBy(F.desc("cnt"), "ratio_bin").limit(top) if top else counts
 
 
-def roles_with_extremes(pairs: DataFrame, limit: int = CLUSTER_LIMIT) -> DataFrame:
+def roles_with_extremes(pairs: DataFrame, top: int | None = None) -> DataFrame:
     counts = pairs.where(extreme_shift()).groupBy("old_position", "new_position").agg(
         F.count(F.lit(1)).alias("cnt"), F.round(F.avg(salary_multiple()), 3).alias("avg_ratio"))
-    return counts.orderBy(F.desc("cnt"), "old_position", "new_position").limit(limit)
+    return counts.orderBy(F.desc("cnt"), "old_position", "new_position").limit(top) if top else counts
 
 
 def payrate_alignment(pairs: DataFrame) -> DataFrame:
@@ -158,11 +159,11 @@ def _same_role(pairs: DataFrame) -> DataFrame:
     return pairs.where(extreme_shift() & (F.col("old_position") == F.col("new_position")))
 
 
-def same_role_extremes(pairs: DataFrame, limit: int | None = LIST_LIMIT) -> DataFrame:
+def same_role_extremes(pairs: DataFrame, top: int | None = None) -> DataFrame:
     rows = _same_role(pairs).select(
         "pair_id", "old_worker_id", "new_worker_id", "old_full_name_norm", *both(["position", "salary"]),
         F.round(salary_multiple(), 3).alias("ratio"))
-    return rows.orderBy("pair_id").limit(limit) if limit else rows
+    return rows.orderBy("pair_id").limit(top) if top else rows
 
 
 def same_role_ratio(pairs: DataFrame) -> DataFrame:
