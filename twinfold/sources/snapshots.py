@@ -28,10 +28,16 @@ MAPPED_COLUMNS = (
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, fmt: str = "csv", blank_as_null: bool = False, numbering: str = "file"
+    spark: SparkSession, path: str, fmt: str = "csv", blank_as_null: bool = False, numbering: str = "file",
+    multi_line: bool = True
 ) -> DataFrame:
     """Scan a file as text columns with trimmed headers and a ``src_ord`` number.
 
+    Quotes may hold separators, line breaks and doubled quotes; a backslash is
+    a character like any other. A file with line breaks in quotes is read by
+    one task. ``multi_line=False`` splits large files, for inputs without such
+    line breaks; a record of the wrong width is then an error.
+
     ``numbering="file"`` gives the position in the files, which costs a second
     scan and a join with the list of splits. ``"split"`` gives unique numbers
     that follow the file order inside a split only, and costs nothing; use it
@@ -41,6 +47,8 @@ def read_snapshot(
     if fmt == "csv":
         # An empty cell stays an empty string unless the caller wants NULL.
         df = reader.option("inferSchema", False).option("nullValue", None if blank_as_null else "\0")
+        df = df.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        df = df.option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
         df = df.option("emptyValue", "").csv(path)
         df = df.fillna("") if not blank_as_null else df
     else:

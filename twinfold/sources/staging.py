@@ -7,25 +7,22 @@ an executor, keeps column pruning, and gives the optimizer real sizes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+#: Only for a local master without the setting.
+LOCAL_FOLDER = "file:///tmp/checkpoints/twinfold"
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only for local masters."""
+    """The session's ``spark.checkpoint.dir``; a fixed folder only where a local master leaves it unset."""
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="twinfold-")
-    return _LOCAL_FOLDERS[app]
+    return LOCAL_FOLDER
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
