@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-``resolved_pairs`` and ``audit_findings`` run from the raw tables. The reports
+``resolved_pairs`` runs from the raw tables. The reports
 read the stored pair and decision tables; building those is timed on its own
 (``store_pairs``, ``store_decisions``), so nothing is hidden in a warm cache.
 """

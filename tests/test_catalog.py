@@ -28,7 +28,7 @@ def duck():
 
 def test_every_query_is_registered_once():
     modules = entry_module.catalog._modules()
-    assert sum(len(m.QUERIES) for m in modules) == len(entry_module.queries())
+    assert sum(len(m.QUERIES) for m in modules) == len(entry_module.catalog.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 

@@ -137,3 +137,22 @@ def test_number_takes_plain_numbers_only(one, raw, expected):
     ("2020-01-15", "2020-01-15"), ("2020-1-5", None), ("+020-01-01", None), ("2020-13-01", None), (" 2020-01-15 ", "2020-01-15")])
 def test_iso_date(one, raw, expected):
     assert one(lambda c: dates.date_text(dates.iso_date(c)), raw) == expected
+
+
+def test_every_character_folds_as_its_compatibility_form(one):
+    import unicodedata
+
+    from twinfold.functions import text as tx
+
+    for value in ("Henry Ⅳ ㎏", "ﬁn ½ Ĳ 🄐 x", "Ångström №5 ㋿", "plain", "日本"):
+        assert one(tx.ascii_fold, value) == unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode()
+
+
+def test_numbers_as_text_have_no_exponent(spark):
+    from pyspark.sql import functions as F
+
+    from twinfold.functions.numbers import plain_text
+
+    cases = {12345678.0: "12345678.0", 0.0001: "0.0001", 2.0: "2.0", 1500.5: "1500.5", 1e9 + 0.25: "1000000000.25", -3.0: "-3.0", 0.0: "0.0"}
+    rows = spark.createDataFrame([(k,) for k in cases], "v double").select("v", plain_text(F.col("v")).alias("t")).collect()
+    assert {r["v"]: r["t"] for r in rows} == cases

@@ -168,21 +168,57 @@ def test_uncapped_review_pairs_equal_brute_force(spark):
                                last_name_norm=rng.choice(["smith", "smythe", "jones"]), location_state=rng.choice(["TX", "CA"]),
                                full_name_norm=rng.choice(["ann smith", "ann smyth", "bob jones"])) for i in range(n)]
     old, new = people(40), people(40)
-    got = review.review_pairs_last4(snapshot(spark, old), snapshot(spark, new), per_side=None)
-    assert {(r["old_row"], r["new_row"], r["score"]) for r in got.collect()} == brute_pairs(old, new)
-
-
-def test_crowded_keys_and_pairs_together_are_whole(spark):
+    o, n = snapshot(spark, old), snapshot(spark, new)
+    got = {(r["old_row"], r["new_row"], r["score"]) for r in review.review_pairs_last4(o, n).collect()}
+    members = {}
+    for r in review.grouped_evidence(o, n).collect():
+        members.setdefault((r["evidence"], r["key"]), {"old": [], "new": []})[r["side"]].append(r["row"])
+    assert all(len(m["old"]) > 1 and len(m["new"]) > 1 for m in members.values())
+    listed = {(a, b) for m in members.values() for a in m["old"] for b in m["new"]}
+    expected = brute_pairs(old, new)
+    assert got <= expected and {p for p in expected if p[:2] not in listed} <= got
+
+
+def test_weighted_pairs_and_groups_are_whole(spark):
+    rng = random.Random(6)
+    people = lambda n: [person(i, last4_ssn=rng.choice(["1", "2"]), dob=f"19{rng.randint(50, 80)}-0{rng.randint(1, 9)}-01",
+                               last_name_norm=rng.choice(["smith", "smythe", "jones", "poe", "ray"]), location_state=rng.choice(["TX", "CA"]),
+                               full_name_norm=rng.choice(["ann smith", "ann smyth", "bob jones"])) for i in range(n)]
+    o, n = snapshot(spark, people(40)), snapshot(spark, people(40))
+    key = lambda r: (r["old_row"], r["new_row"], r["score"], r["confidence"])
+    every = {key(r) for r in review.review_pairs_last4(o, n, "weighted", per_side=1000).where("confidence <> 'LOW'").collect()}
+    got = {key(r) for r in review.review_pairs_last4(o, n, "weighted").collect()}
+    members = {}
+    for r in review.grouped_evidence(o, n, "weighted").collect():
+        members.setdefault((r["evidence"], r["key"]), {"old": [], "new": []})[r["side"]].append(r["row"])
+    listed = {(a, b) for m in members.values() for a in m["old"] for b in m["new"]}
+    assert got <= every and {p for p in every if p[:2] not in listed} <= got
+
+
+def test_groups_and_pairs_together_are_whole(spark):
     hot = dict(full_name_norm="a b", dob="1990-01-01", recon_id="r")
     old = [person(i, **(hot if i < 20 else {}), ) for i in range(40)]
     new = [person(i, worker_id=f"n{i}", **(hot if i < 20 else {})) for i in range(40)]
     o, n = snapshot(spark, old), snapshot(spark, new)
-    every = review.review_candidates_tiered(o, n, pair_limit=None).where("confidence = 'HIGH'")
-    some = review.review_candidates_tiered(o, n, pair_limit=100).where("confidence = 'HIGH'")
-    members = review.crowded_candidates(o, n, limit=100).where("confidence = 'HIGH'")
+    some = review.review_candidates_tiered(o, n).where("confidence = 'HIGH'")
+    members = review.grouped_candidates(o, n).where("confidence = 'HIGH'")
     sides = {s: {r["row"] for r in members.where(F.col("side") == s).collect()} for s in ("old", "new")}
     pairs = lambda d: {(r["old_row"], r["new_row"]) for r in d.collect()}
-    assert pairs(every) == pairs(some) | {(a, b) for a in sides["old"] for b in sides["new"]}
+    same = {(a, b) for a, x in enumerate(old) for b, y in enumerate(new) if all(x[f] == y[f] for f in ("full_name_norm", "dob"))}
+    assert same == pairs(some) | {(a, b) for a in sides["old"] for b in sides["new"]}
+
+
+def test_finalize_keeps_rows_without_an_id(spark):
+    rows = [(None, "x", "match", "high", "1"), (None, "y", "match", "high", "1"), ("a", None, "match", "high", "1"), ("b", "y", "match", "high", "1")]
+    df = spark.createDataFrame(rows, "old_worker_id string, new_worker_id string, decision string, confidence string, score string")
+    done, unclear = review.finalize(df)
+    assert sorted(str(r["new_worker_id"]) for r in done.collect()) == ["None", "x"] and unclear.count() == 2
+
+
+def test_candidate_order_of_very_large_row_numbers(spark):
+    df = spark.createDataFrame([(0, 2**62), (1, 0), (1, 2**62), (2, 10**15 + 1), (2, 10**15 + 2)], "tier int, old_row long")
+    rows = df.select("tier", "old_row", match.candidate_order(F.col("tier"), F.col("old_row")).alias("o")).orderBy("o").collect()
+    assert [(r["tier"], r["old_row"]) for r in rows] == [(0, 2**62), (1, 0), (1, 2**62), (2, 10**15 + 1), (2, 10**15 + 2)] and len({r["o"] for r in rows}) == 5
 
 
 def test_finalize_splits_ambiguous_ids(spark):

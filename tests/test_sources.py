@@ -21,11 +21,23 @@ def test_csv_is_read_as_text_in_file_order(spark, tmp_path):
     assert nulls[1]["Salary"] is None
 
 
+def test_quoted_text_is_read_as_written(spark, tmp_path):
+    import pandas as pd
+
+    text = 'id,note,more\n1,"line one\nline two",a\n2,"He said ""hi"", twice",b\n3,"end\\\\",c\n4,back\\\\slash,"x,y"\n'
+    path = write(tmp_path / "q.csv", text)
+    expected = pd.read_csv(path, dtype=str).to_dict("records")
+    got = snapshots.read_snapshot(spark, path).orderBy("src_ord").drop("src_ord").collect()
+    assert [r.asDict() for r in got] == expected
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED|malformed"):
+        snapshots.read_snapshot(spark, path, multi_line=False).collect()
+
+
 def test_numbering_covers_many_splits(spark, tmp_path):
     spark.range(5000).select(F.col("id").cast("string").alias("v")).coalesce(1).write.csv(str(tmp_path / "t"), header=True)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        df = snapshots.read_snapshot(spark, str(tmp_path / "t"))
+        df = snapshots.read_snapshot(spark, str(tmp_path / "t"), multi_line=False)
         assert df.rdd.getNumPartitions() > 1
         rows = df.collect()
     finally:
