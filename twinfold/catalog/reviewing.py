@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import bands, diff, resolve, review, summaries
@@ -9,6 +11,7 @@ from ..operators import outputs as out
 from ..operators.dedupe import dedupe_best
 from ..operators.match import candidate_order
 from ..sources import sinks, snapshots
+from ..sources.staging import stage_folder
 from . import samples
 from .gating import gated, gated_sql
 from .samples import pairs, pairs_sql, snap_new, snap_old, snapshots_sql, table, with_sql
@@ -107,6 +110,52 @@ _add("safe_column_names", lambda s, d: snapshots.safe_column_names(
         table(s, d, "region").toDF(*[f'"{c};' for c in table(s, d, "region").columns])),
      "select * from region")
 
+
+
+def quoted_csv(spark, sf_dir):
+    """Documents written as quoted CSV, with line breaks, quotes and backslashes in their texts, and read as a snapshot."""
+    path = _new_folder(spark, "quoted")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat(F.lit('"'), "source", F.lit('", \\')).alias("source"), F.lit("").alias("blank"))
+    rows.write.options(**sinks.CSV_OPTIONS).csv(path)
+    return snapshots.read_snapshot(spark, path, numbering="none")
+
+
+_add("read_quoted_csv", quoted_csv, "select doc_id::varchar as doc_id, text, '\"' || source || '\", \\' as source, '' as blank from documents")
+
+
+
+def _new_folder(spark, name):
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written_table(spark, sf_dir):
+    """Pairs written by the CSV sink and read as a snapshot."""
+    path = _new_folder(spark, "written")
+    sinks.write_table(pairs(spark, sf_dir).select("pair_id", "old_worker_id", "new_full_name_norm", "old_salary"), path, "csv")
+    return snapshots.read_snapshot(spark, path, numbering="none")
+
+
+def written_queue(spark, sf_dir):
+    """Pairs written with one folder per department and read back."""
+    path = _new_folder(spark, "queue")
+    sinks.write_partitioned_queue(pairs(spark, sf_dir).select("pair_id", "old_district", "new_district"), path)
+    return spark.read.parquet(path).select("pair_id", "department", "dept_slug")
+
+
+def run_history(spark, sf_dir):
+    """Two runs appended to a history, with the pairs each of them had."""
+    path = _new_folder(spark, "history")
+    for run, rows in (("first", pairs(spark, sf_dir)), ("second", pairs(spark, sf_dir).where("match_source = 'pk'"))):
+        sinks.append_run_history(spark, {"run_id": run, "pairs": rows.count()}, path)
+    return spark.read.parquet(path).select("run_id", F.col("pairs").cast("bigint").alias("pairs"))
+
+
+_add("written_table", written_table, pairs_sql("select pair_id, old_worker_id, new_full_name_norm, old_salary from pairs"))
+_add("written_queue", written_queue, pairs_sql("select pair_id, old_district as department, lower(old_district) as dept_slug from pairs"))
+_add("run_history", run_history, pairs_sql("select 'first' as run_id, count(*) as pairs from pairs union all "
+                                           "select 'second', count(*) from pairs where match_source = 'pk'"))
+
 # ---------------------------------------------------------------- review lists
 
 _YEAR = "substr(dob, 1, 4)"

@@ -15,11 +15,15 @@ def formula_safe_table(df: DataFrame) -> DataFrame:
     return df.withColumns({n: formula_safe(F.col(f"`{n}`")) for n in names})
 
 
+# Quotes inside a value are doubled, and spaces stay.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write a table; an empty CSV still gets its header."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        formula_safe_table(df).write.mode(mode).option("header", True).csv(path)
+        formula_safe_table(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
     else:
         writer.format(fmt).save(path)
 
@@ -45,7 +49,8 @@ def write_partitioned_queue(queue: DataFrame, path: str, fmt: str = "parquet") -
     """One folder per department of the review queue."""
     rows = with_department(queue)
     named = rows.join(department_slugs(rows), "department")
-    named.write.mode("overwrite").partitionBy("dept_slug").option("header", True).format(fmt).save(path)
+    options = CSV_OPTIONS if fmt == "csv" else {}
+    named.write.mode("overwrite").partitionBy("dept_slug").options(**options).format(fmt).save(path)
 
 
 def append_run_history(spark: SparkSession, row: dict, path: str) -> None:
