@@ -104,7 +104,7 @@ def test_links_lose_no_pair(spark, distance, group_rows):
     for f in list(fps)[:80]:
         fps.add(f ^ sum(1 << b for b in random.sample(range(64), distance + random.randint(0, 1))))
     signed = [(f - 2 ** 64 if f >= 2 ** 63 else f,) for f in fps]
-    nodes = spark.createDataFrame(signed, "fp long")
+    nodes = spark.createDataFrame([(f, f) for f, in signed], "node long, fp long")
     from twinfold.llm.tables import components
     edges = simhash.links(nodes, distance, group_rows)
     got = {r["node"] % 2 ** 64: r["root"] % 2 ** 64 for r in components(edges).collect()}
@@ -113,6 +113,56 @@ def test_links_lose_no_pair(spark, distance, group_rows):
     assert same(got) == same(expected)
 
 
+@pytest.mark.parametrize("group_rows", [16, 8192])
+def test_links_of_several_fingerprints(spark, group_rows):
+    random.seed(group_rows)
+    flipped = lambda f, most: f ^ sum(1 << b for b in random.sample(range(64), random.randint(0, most)))
+    centre = [random.getrandbits(64) for _ in range(3)]
+    texts = [[flipped(f, 6) for f in centre] for _ in range(120)]  # a crowd in which only some are near
+    for _ in range(60):
+        one = [random.getrandbits(64) for _ in range(3)]
+        texts += [one, [flipped(f, 14) for f in one], [flipped(f, 7) for f in one]]
+    names = ("x", "y", "z")
+    signed = [(k, *(f - 2 ** 64 if f >= 2 ** 63 else f for f in t)) for k, t in enumerate(texts)]
+    from twinfold.llm.tables import components
+    edges = simhash.links(spark.createDataFrame(signed, "node long, x long, y long, z long"), 3, group_rows, names, 15)
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            apart = [(x ^ y).bit_count() for x, y in zip(texts[a], texts[b])]
+            if min(apart) <= 3 and sum(apart) <= 15 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) < len(texts) and [got.get(k, k) for k in range(len(texts))] == root
+
+
+def test_mixed_fingerprints(spark):
+    texts = EDGE + prose(20, 8)
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in simhash.fingerprints(docs, names=("p", "q")).collect()}
+    assert {k: r["p"] % 2 ** 64 for k, r in got.items()} == {k: fingerprint(t) for k, t in enumerate(texts)}
+    apart = [((r["p"] ^ r["q"]) % 2 ** 64).bit_count() for k, r in got.items() if texts[k] and texts[k].strip()]
+    assert min(apart) > 10 and {r["q"] for k, r in got.items() if not (texts[k] or "").strip()} == {0}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    random.seed(11)
+    some = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8))) for _ in range(3000)]
+    texts, copies = [], set()
+    for k in range(60):
+        words_ = random.choices(some, k=random.randint(200, 500))
+        texts.append(" ".join(words_))
+        other = list(words_)
+        for at in range(len(words_) // 120):  # about 1 word in 120: similarity about 0.92
+            other[at * 120 + random.randrange(100)] = random.choice(some)
+        copies.add(len(texts))
+        texts.append(" ".join(other))
+        texts.append(" ".join(words_[:len(words_) // 2] + random.choices(some, k=len(words_) // 2)))  # half of it: similarity about 1 in 3
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, texts)).collect()}
+    assert set(range(len(texts))) - copies <= kept and len(copies & kept) <= 2
+
+
 def test_thresholds_cover_every_pair():
     random.seed(3)
     fps = np.array([random.getrandbits(64) for _ in range(200)], np.uint64)

@@ -7,11 +7,17 @@ fingerprints within ``max_distance`` must then differ in at most t_i bits of
 some part. Thresholds come from dynamic programming over the candidates and
 probes each part is expected to cost. A fingerprint is stored under its value
 in every used part, and probes all values within t_i of it.
+
+One fingerprint of 64 bits is too coarse to tell near copies from others at a
+larger distance. ``deduplicated`` therefore takes several, of shingle hashes
+mixed anew: two texts are near copies if some fingerprint of theirs differs in
+at most ``max_distance`` bits and all of them together in at most ``total``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -32,13 +38,25 @@ SAMPLE = 2000
 GROUP_ROWS = 8192
 #: Row numbers of removed rows are broadcast up to so many (8 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Near copies: fingerprints, bits in which one of them may differ, and bits in which all may differ together.
+COPY_FINGERPRINTS, COPY_DISTANCE, COPY_TOTAL = 8, 4, 72
 _SPACE = np.uint8(32)
 
 
-def block_fingerprints(data: np.ndarray, offsets: np.ndarray, n_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Fingerprint of each text of a block as unsigned 64-bit numbers."""
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several independent hashes of the same shingles; number 0 is the hash itself."""
+    if not k:
+        return hashes
+    h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2 ** 64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def block_fingerprints(data: np.ndarray, offsets: np.ndarray, n_words: int = SHINGLE_WORDS, count: int = 1) -> np.ndarray:
+    """``count`` fingerprints of each text of a block as unsigned 64-bit numbers, one row per text."""
     n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, count), np.uint64)
     lowered = LOWER[data]
     starts, ends, doc = word_spans(lowered, offsets, SOLID)
     if not len(starts):
@@ -59,27 +77,30 @@ def block_fingerprints(data: np.ndarray, offsets: np.ndarray, n_words: int = SHI
     at = np.arange(int(shingles.sum())) - np.repeat(base, shingles) + np.repeat(first, shingles)
     last = np.minimum(at + n_words, np.repeat(first + words, shingles)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(buffer[s:e], 42) for s, e in zip(places[at].tolist(), stops[last].tolist())], ">u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    hashes = np.array([digest(buffer[s:e], 42) for s, e in zip(places[at].tolist(), stops[last].tolist())], np.uint64)
     some = np.flatnonzero(shingles)
-    ones = np.add.reduceat(bits, base[some], axis=0, dtype=np.int64)
-    set_bits = (2 * ones > shingles[some, None]).astype(np.uint8)
-    out[some] = np.packbits(set_bits, axis=1).view(">u8").reshape(-1)
+    for k in range(count):
+        ones = np.add.reduceat(_bit_matrix(_mixed(hashes, k)), base[some], axis=0, dtype=np.int64)
+        set_bits = (2 * ones > shingles[some, None]).astype(np.uint8)
+        out[some, k] = np.packbits(set_bits, axis=1).view(">u8").reshape(-1)
     return out
 
 
-def fingerprints(docs: DataFrame, n_words: int = SHINGLE_WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the ``carried`` long columns, and fp: the fingerprint of every row's whole text as a signed long. A null text is empty: zero."""
+def fingerprints(docs: DataFrame, n_words: int = SHINGLE_WORDS, carried: tuple[str, ...] = (), names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """doc_id, the ``carried`` long columns, and one column per name: fingerprints of every row's whole text as signed longs.
+
+    The first is that of the shingle hashes, the others are of the same hashes mixed anew. A null text is empty: zero.
+    """
     ids = ["doc_id", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [block_fingerprints(data, offsets, n_words) for _, _, data, offsets in text_blocks(batch.column(len(ids)))]
-            fp = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*ids, "fp"])
+            parts = [block_fingerprints(data, offsets, n_words, len(names)) for _, _, data, offsets in text_blocks(batch.column(len(ids)))]
+            fps = np.concatenate(parts) if parts else np.empty((0, len(names)), np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(f.view(np.int64)) for f in fps.T.copy())], [*ids, *names])
 
     slim = docs.select(*[column(docs, c, "long").alias(c) for c in ids], column(docs, "text", "string").alias("text"))
-    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, "fp"]))
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, *names]))
 
 
 # -- parts and thresholds ----------------------------------------------------
@@ -107,9 +128,11 @@ def group_bits(fps: np.ndarray, parts: int) -> list[list[int]]:
 
 def _within(fps: np.ndarray, group: list[int], most: int) -> list[float]:
     """Share of pairs of the sample that differ in at most 0, 1, ..., ``most`` bits of the group."""
-    values = _bit_matrix(fps)[:, group].astype(np.int32)
+    values = _bit_matrix(fps)[:, group].astype(np.float32)
     ones = values.sum(axis=1)
-    apart = (ones[:, None] + ones[None, :] - 2 * (values @ values.T))[np.triu_indices(len(fps), 1)]
+    apart = np.bincount((ones[:, None] + ones[None, :] - 2 * (values @ values.T)).astype(np.int64).ravel(), minlength=most + 1)
+    apart[0] -= len(fps)  # each with itself
+    pairs = max(1, len(fps) * (len(fps) - 1))
     # Too rare for the sample: as if bits agreed independently.
     share = values.mean(axis=0)
     chance = np.zeros(len(group) + 1)
@@ -117,7 +140,7 @@ def _within(fps: np.ndarray, group: list[int], most: int) -> list[float]:
     for p in 2 * share * (1 - share):
         chance[1:] = chance[1:] * (1 - p) + chance[:-1] * p
         chance[0] *= 1 - p
-    return [max(float((apart <= t).mean()) if len(apart) else 0.0, float(chance[:t + 1].sum())) for t in range(most + 1)]
+    return [max(float(apart[:t + 1].sum()) / pairs, float(chance[:t + 1].sum())) for t in range(most + 1)]
 
 
 def plan(fps: np.ndarray, rows: int, max_distance: int) -> list[tuple[list[int], int]]:
@@ -147,26 +170,33 @@ def plan(fps: np.ndarray, rows: int, max_distance: int) -> list[tuple[list[int],
     return best
 
 
-def index_rows(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, value, fp, probe): each fingerprint under its own value and, as a probe, under the values near it."""
+def index_rows(nodes: DataFrame, plans: list[list[tuple[list[int], int]]], names: tuple[str, ...]) -> DataFrame:
+    """(turn, part, value, node, probe) and the fingerprints: each node under the values of its parts and, as a probe, under those near them.
+
+    ``turn`` numbers the fingerprint that a part belongs to.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column_ = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(column_), 16384):
-                fp = column_[at:at + 16384].view(np.uint64)
-                for k, (group, t) in enumerate(parts):
-                    if t < 0:
-                        continue
-                    value = np.zeros(len(fp), np.int64)
-                    for bit in group:
-                        value = (value << 1) | ((fp >> np.uint64(63 - bit)) & np.uint64(1)).astype(np.int64)
-                    flips = [sum(1 << b for b in c) for r in range(t + 1) for c in combinations(range(len(group)), r)]
-                    for flip in flips:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(fp), k, np.int32)), pa.array(value ^ np.int64(flip)), pa.array(fp.view(np.int64)),
-                             pa.array(np.full(len(fp), flip != 0))], ["part", "value", "fp", "probe"])
-
-    return fps.select("fp").mapInArrow(run, "part int, value long, fp long, probe boolean")
+            node, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for at in range(0, len(node), 16384):
+                cut = slice(at, at + 16384)
+                own, n = [pa.array(x[cut]) for x in (node, *fps)], len(node[cut])
+                for turn, parts in enumerate(plans):
+                    fp = fps[turn][cut].view(np.uint64)
+                    for k, (group, t) in enumerate(parts):
+                        if t < 0:
+                            continue
+                        value = np.zeros(n, np.int64)
+                        for bit in group:
+                            value = (value << 1) | ((fp >> np.uint64(63 - bit)) & np.uint64(1)).astype(np.int64)
+                        flips = [sum(1 << b for b in c) for r in range(t + 1) for c in combinations(range(len(group)), r)]
+                        for flip in flips:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(value ^ np.int64(flip)),
+                                 own[0], pa.array(np.full(n, flip != 0)), *own[1:]], ["turn", "part", "value", "node", "probe", *names])
+
+    kinds = "turn int, part int, value long, node long, probe boolean, " + ", ".join(f"{f} long" for f in names)
+    return nodes.select("node", *names).mapInArrow(run, kinds)
 
 
 # -- links -------------------------------------------------------------------
@@ -189,61 +219,78 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def forest(fp: np.ndarray, probe: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what lies within ``max_distance`` in one group, each node to its component's first: never all pairs."""
-    nodes, place = np.unique(fp, return_inverse=True)
-    stored_ = np.unique(place[~probe])
+@dataclass
+class Rows:
+    """Index rows: node, the node's fingerprints (one row each), whether it is a probe, and the turn."""
+
+    node: np.ndarray
+    fps: np.ndarray
+    probe: np.ndarray
+    turn: np.ndarray
+
+    def take(self, which) -> Rows:
+        return Rows(self.node[which], self.fps[which], self.probe[which], self.turn[which])
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        return Rows(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("node", "fps", "probe", "turn")))
+
+
+def forest(rows: Rows, max_distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the near nodes of one group, each node to its component's first: never all pairs."""
+    nodes, first, place = np.unique(rows.node, return_index=True, return_inverse=True)
+    stored_ = np.unique(place[~rows.probe])
     if len(nodes) < 2 or not len(stored_):
-        return fp[:0], fp[:0]
+        return rows.node[:0], rows.node[:0]
     root = np.arange(len(nodes))
-    keys = nodes.view(np.uint64)
-    step = max(1, 2_000_000 // len(stored_))
+    keys = rows.fps[first]
+    own = np.ascontiguousarray(keys[:, rows.turn[0]])
+    step = max(1, 2_000_000 // (len(stored_) * keys.shape[1]))
     for at in range(0, len(nodes), step):
-        apart = np.bitwise_count(keys[at:at + step, None] ^ keys[None, stored_])
-        x, y = np.nonzero(apart <= max_distance)
-        x, y = root[x + at], root[stored_[y]]
+        x, y = np.nonzero(np.bitwise_count(own[at:at + step, None] ^ own[None, stored_]) <= max_distance)
+        x, y = x + at, stored_[y]
+        near = np.bitwise_count(keys[x] ^ keys[y]).sum(axis=1) <= total
+        x, y = root[x[near]], root[y[near]]
         if (x != y).any():
             root = _roots(len(nodes), np.concatenate([np.arange(len(nodes)), x]), np.concatenate([root, y]))
     moved = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[moved], nodes[root[moved]]
 
 
-def _small_groups(size: np.ndarray, fp: np.ndarray, probe: np.ndarray, max_distance: int):
+def _small_groups(size: np.ndarray, rows: Rows, max_distance: int, total: int):
     """The same links for many small groups at once: rows d apart in one group are compared together."""
     group = np.repeat(np.arange(len(size)), size)
-    keys = fp.view(np.uint64)
+    own = rows.fps[np.arange(len(rows.turn)), rows.turn]
     ones, others = [], []
     for d in range(1, int(size.max(initial=1))):
-        one, other = np.arange(len(fp) - d), np.arange(d, len(fp))
-        same = (group[one] == group[other]) & ~(probe[one] & probe[other])
-        one, other = one[same], other[same]
-        near = np.bitwise_count(keys[one] ^ keys[other]) <= max_distance
-        ones.append(one[near])
-        others.append(other[near])
+        one = np.flatnonzero((group[:-d] == group[d:]) & ~(rows.probe[:-d] & rows.probe[d:]) & (np.bitwise_count(own[:-d] ^ own[d:]) <= max_distance))
+        one = one[np.bitwise_count(rows.fps[one] ^ rows.fps[one + d]).sum(axis=1) <= total]
+        ones.append(one)
+        others.append(one + d)
     if not ones:
-        return fp[:0], fp[:0]
-    root = _roots(len(fp), np.concatenate(ones), np.concatenate(others))
-    moved = np.flatnonzero(fp != fp[root])
-    return fp[moved], fp[root[moved]]
+        return rows.node[:0], rows.node[:0]
+    root = _roots(len(rows.node), np.concatenate(ones), np.concatenate(others))
+    moved = np.flatnonzero(rows.node != rows.node[root])
+    return rows.node[moved], rows.node[root[moved]]
 
 
-def _link_groups(max_distance: int):
-    """Rows come sorted by (part, value, one, other); a group may run on into the next batch."""
-    def links(fp, probe, bounds):
+_GROUP = ("turn", "part", "value", "one", "other")
+
+
+def _link_groups(max_distance: int, total: int, names: tuple[str, ...]):
+    """Rows come sorted by group; a group may run on into the next batch."""
+    def links(rows: Rows, bounds):
         size = np.diff(bounds)
         small = size <= 32
-        pick = np.repeat(small, size)
         out = []
         if small.any():
-            out.append(_small_groups(size[small], fp[pick], probe[pick], max_distance))
+            out.append(_small_groups(size[small], rows.take(np.repeat(small, size)), max_distance, total))
         for k in np.flatnonzero(~small):
-            s = slice(bounds[k], bounds[k + 1])
-            out.append(forest(fp[s], probe[s], max_distance))
+            out.append(forest(rows.take(slice(bounds[k], bounds[k + 1])), max_distance, total))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("part", "value", "one", "other")
-        held: list[list[np.ndarray]] = []
+        held: list[Rows] = []
         held_key = None
 
         def emit(found):
@@ -254,67 +301,65 @@ def _link_groups(max_distance: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-            fp = batch.column(batch.schema.get_field_index("fp")).to_numpy(zero_copy_only=False)
-            probe = batch.column(batch.schema.get_field_index("probe")).to_numpy(zero_copy_only=False).astype(bool)
-            change = np.zeros(len(fp), bool)
+            array = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            keys = [array(n) for n in _GROUP]
+            rows = Rows(array("node"), np.stack([array(f) for f in names], axis=1).view(np.uint64), array("probe").astype(bool), keys[0])
+            change = np.zeros(batch.num_rows, bool)
             for k in keys:
                 change[1:] |= k[1:] != k[:-1]
-            cuts = np.concatenate([[0], np.flatnonzero(change), [len(fp)]])
+            cuts = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
             first_key, last_key = tuple(int(k[0]) for k in keys), tuple(int(k[-1]) for k in keys)
             if held and held_key != first_key:
-                yield from emit([forest(*(np.concatenate(x) for x in zip(*held)), max_distance)])
+                yield from emit([forest(Rows.joined(held), max_distance, total)])
                 held = []
             if len(cuts) == 2:
-                held.append([fp, probe])
+                held.append(rows)
             else:
                 begin = 0
                 if held:
-                    held.append([fp[:cuts[1]], probe[:cuts[1]]])
-                    yield from emit([forest(*(np.concatenate(x) for x in zip(*held)), max_distance)])
+                    yield from emit([forest(Rows.joined([*held, rows.take(slice(0, cuts[1]))]), max_distance, total)])
                     begin = 1
                 if len(cuts) - 1 > begin + 1:
                     low, high = cuts[begin], cuts[-2]
-                    yield from emit(links(fp[low:high], probe[low:high], cuts[begin:-1] - low))
-                held = [[fp[cuts[-2]:], probe[cuts[-2]:]]]
+                    yield from emit(links(rows.take(slice(low, high)), cuts[begin:-1] - low))
+                held = [rows.take(slice(cuts[-2], None))]
             held_key = last_key
         if held:
-            yield from emit([forest(*(np.concatenate(x) for x in zip(*held)), max_distance)])
+            yield from emit([forest(Rows.joined(held), max_distance, total)])
 
     return run
 
 
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b) between different fingerprints: enough of those within ``max_distance`` to connect all of them.
+def links(
+    nodes: DataFrame, max_distance: int = MAX_DISTANCE, group_rows: int = GROUP_ROWS, names: tuple[str, ...] = ("fp",), total: int | None = None,
+) -> DataFrame:
+    """(a, b) between different nodes: enough of the near ones to connect all of them.
 
-    A value with more than ``group_rows`` rows is cut into blocks by a hash, and every two blocks
-    meet in a task of their own, so no pair is lost and no task holds the whole group.
+    ``nodes`` holds node (a long) and its fingerprints ``names``. Two nodes are near if some fingerprint differs in at most
+    ``max_distance`` bits and all of them in at most ``total`` (by default any number). A value with more than
+    ``group_rows`` rows is cut into blocks by a hash, and every two blocks meet in a task of their own, so no pair is
+    lost and no task holds the whole group.
     """
-    sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    parts = plan(np.array(sample, np.int64).view(np.uint64), fps.count(), max_distance)
-    rows = index_rows(fps, parts)
-    key = ["part", "value"]
+    total = 64 * len(names) if total is None else total
+    sample = nodes.select(*names).orderBy(F.xxhash64(*names), *names).limit(SAMPLE).collect()
+    n = nodes.count()
+    plans = [plan(np.array([r[f] for r in sample], np.int64).view(np.uint64), n, max_distance) for f in names]
+    rows = index_rows(nodes, plans, names)
+    key = list(_GROUP[:3])
     counts = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
     crowded = stored(counts.select(*key, F.ceil(F.col("n") / (group_rows // 2)).cast("int").alias("blocks")), "crowded")
+    carried = ["node", "probe", *names]
     if crowded.isEmpty():
-        dealt = rows.select(*key, F.lit(0).alias("one"), F.lit(0).alias("other"), "fp", "probe")
+        dealt = rows.select(*key, F.lit(0).alias("one"), F.lit(0).alias("other"), *carried)
     else:
         blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
         dealt = (
-            rows.join(crowded, key, "left").select(*key, "fp", "probe", own.alias("own"), blocks.alias("blocks"))
-            .select(*key, "fp", "probe", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
-            .select(*key, F.least("own", "met").alias("one"), F.greatest("own", "met").alias("other"), "fp", "probe")
+            rows.join(crowded, key, "left").select(*key, *carried, own.alias("own"), blocks.alias("blocks"))
+            .select(*key, *carried, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+            .select(*key, F.least("own", "met").alias("one"), F.greatest("own", "met").alias("other"), *carried)
         )
-    order = [*key, "one", "other"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_link_groups(max_distance), "a long, b long")
-
-
-def _components(marked: DataFrame, max_distance: int) -> DataFrame:
-    """(fp, root): equal fingerprints are one node, so copies are never paired."""
-    nodes = stored(marked.select("fp").distinct(), "nodes")
-    roots = stored(components(links(nodes, max_distance)), "roots")
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_link_groups(max_distance, total, names), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -324,23 +369,31 @@ def near_duplicates(docs: DataFrame, n_words: int = SHINGLE_WORDS, max_distance:
     only such rows has a null ``component_id``. Other columns are ignored. An empty table gives an empty one.
     """
     marked = stored(fingerprints(docs, n_words), "fingerprints")
-    roots = stored(_components(marked, max_distance), "components")
+    nodes = stored(marked.select("fp", F.col("fp").alias("node")).distinct(), "nodes")  # equal fingerprints are one node: copies are never paired
+    linked = stored(components(links(nodes, max_distance)), "roots")
+    roots = stored(nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "components")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, n_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id, of equal ones the first stored.
+def deduplicated(
+    docs: DataFrame, n_words: int = SHINGLE_WORDS, count: int = COPY_FINGERPRINTS, max_distance: int = COPY_DISTANCE, total: int = COPY_TOTAL,
+) -> DataFrame:
+    """``docs`` with one row of each component of near copies: the one with the smallest doc_id, of equal ones the first stored.
 
-    Rows without doc_id come after those with one. Edge cases are those of ``near_duplicates``.
+    Rows without doc_id come after those with one. Texts whose ``count`` fingerprints are all equal are one node. Other
+    edge cases are those of ``near_duplicates``.
     """
+    names = tuple(f"fp{k}" for k in range(count))
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    marked = stored(fingerprints(rows, n_words, ("_row",)), "fingerprints")
-    roots = stored(_components(marked, max_distance), "components")
+    marked = stored(fingerprints(rows, n_words, ("_row",), names), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    of_fp = marked.groupBy("fp").agg(F.min(place).alias("first"))
-    first = of_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    alike = marked.groupBy(*names).agg(F.min(place).alias("first"))
+    nodes = stored(alike.select(F.col("first._row").alias("node"), "first", *names), "nodes")
+    linked = stored(components(links(nodes, max_distance, names=names, total=total)), "roots")
+    roots = nodes.select("node", "first").join(linked, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     gone = stored(marked.select("_row").join(first, "_row", "left_anti"), "duplicates")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
