@@ -40,6 +40,8 @@ GROUP_ROWS = 8192
 BROADCAST_ROWS = 1_000_000
 #: Near copies: fingerprints, bits in which one of them may differ, and bits in which all may differ together.
 COPY_FINGERPRINTS, COPY_DISTANCE, COPY_TOTAL = 8, 4, 72
+#: Shingles whose hashes and bits are in memory at a time.
+SLICE = 1 << 15
 _SPACE = np.uint8(32)
 
 
@@ -56,11 +58,10 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 def block_fingerprints(data: np.ndarray, offsets: np.ndarray, n_words: int = SHINGLE_WORDS, count: int = 1) -> np.ndarray:
     """``count`` fingerprints of each text of a block as unsigned 64-bit numbers, one row per text."""
     n = len(offsets) - 1
-    out = np.zeros((n, count), np.uint64)
     lowered = LOWER[data]
     starts, ends, doc = word_spans(lowered, offsets, SOLID)
     if not len(starts):
-        return out
+        return np.zeros((n, count), np.uint64)
     lengths = ends - starts
     # One buffer of all words, each followed by one space.
     places = np.cumsum(lengths + 1) - (lengths + 1)
@@ -74,16 +75,21 @@ def block_fingerprints(data: np.ndarray, offsets: np.ndarray, n_words: int = SHI
     # A text of fewer words than a shingle has one shingle of all of them.
     shingles = np.where(words == 0, 0, np.maximum(1, words - n_words + 1))
     base = np.cumsum(shingles) - shingles
-    at = np.arange(int(shingles.sum())) - np.repeat(base, shingles) + np.repeat(first, shingles)
-    last = np.minimum(at + n_words, np.repeat(first + words, shingles)) - 1
+    stop = base + shingles
+    total = int(shingles.sum())
+    ones = np.zeros((n, count, 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(buffer[s:e], 42) for s, e in zip(places[at].tolist(), stops[last].tolist())], np.uint64)
-    some = np.flatnonzero(shingles)
-    for k in range(count):
-        ones = np.add.reduceat(_bit_matrix(_mixed(hashes, k)), base[some], axis=0, dtype=np.int64)
-        set_bits = (2 * ones > shingles[some, None]).astype(np.uint8)
-        out[some, k] = np.packbits(set_bits, axis=1).view(">u8").reshape(-1)
-    return out
+    for low in range(0, total, SLICE):  # a slice may hold parts of texts
+        at = np.arange(low, min(low + SLICE, total))
+        of = np.searchsorted(stop, at, side="right")
+        word = at - base[of] + first[of]
+        last = np.minimum(word + n_words, first[of] + words[of]) - 1
+        hashes = np.array([digest(buffer[s:e], 42) for s, e in zip(places[word].tolist(), stops[last].tolist())], np.uint64)
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        for k in range(count):
+            ones[of[begins], k] += np.add.reduceat(_bit_matrix(_mixed(hashes, k)), begins, axis=0, dtype=np.int32)
+    set_bits = (2 * ones > shingles[:, None, None]).astype(np.uint8)
+    return np.packbits(set_bits, axis=2).view(">u8").reshape(n, count).astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, n_words: int = SHINGLE_WORDS, carried: tuple[str, ...] = (), names: tuple[str, ...] = ("fp",)) -> DataFrame:
