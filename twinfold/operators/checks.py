@@ -19,6 +19,7 @@ from ..functions.text import plan_tokens
 from ..policy import load_policy
 from ..sources.snapshots import ROW, audit_sources
 from .audit_facts import roles_of, row_number_text, shown, with_facts
+from .quantiles import exact_quantiles, quantile_struct
 from .ranking import first_n
 
 # Every check with its display name and headline severity.
@@ -455,9 +456,8 @@ def multiple_plan_rows(df: DataFrame) -> DataFrame:
 def median_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, least, greatest and median per group, from counts per distinct value."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    return counted.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
-        F.percentile(value, 0.5, F.col("_c")).alias("median"))
+    spread = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return spread.join(exact_quantiles(counted, keys, value, "_c", {"median": 0.5}), keys)
 
 
 def salary_outliers(df: DataFrame, config: dict) -> DataFrame:
@@ -724,8 +724,8 @@ def salary_statistics(df: DataFrame) -> DataFrame:
     stats = rows.agg(
         n(s.isNotNull()).alias("count"), n(s.isNull()).alias("missing"), F.min("s").alias("min"), F.max("s").alias("max"),
         F.bround(F.sum(s * F.col("n")) / n(s.isNotNull()), 2).alias("mean"),
-        F.percentile(s, 0.5, F.col("n")).alias("median"),
         n(s < 50000).alias("under_50k"), n(s > 150000).alias("over_150k"))
+    stats = stats.withColumn("median", quantile_struct(rows, "s", "n", {"median": 0.5})["median"])
     share = lambda a, b: F.coalesce(F.bround(F.try_divide(a, b) * 100, 1), F.lit(0.0))
     return stats.withColumns({
         "missing_pct": share(F.col("missing"), F.col("missing") + F.col("count")),

@@ -14,6 +14,7 @@ from ..functions.numbers import (
 from ..policy import load_policy
 from .gate import fixed
 from .outputs import active_zero
+from .quantiles import exact_quantiles
 from .ranking import examples, first_n
 from .waves import wave_dates
 
@@ -34,7 +35,7 @@ def _labels(df: DataFrame, buckets, name: str) -> DataFrame:
 def salary_delta_buckets(pairs: DataFrame) -> DataFrame:
     """Per bucket of the absolute change: count, direction, mean, median and 90th percentile.
 
-    Equal deltas are counted before the percentiles are taken, so a bucket that
+    Equal deltas are counted before the quantiles are taken, so a bucket that
     holds most pairs sends one row per distinct delta and task.
     """
     delta = parse_money("new_salary") - parse_money("old_salary")
@@ -42,14 +43,15 @@ def salary_delta_buckets(pairs: DataFrame) -> DataFrame:
         pairs.select(delta.alias("d")).where("d <> 0").groupBy("d").agg(F.count(F.lit(1)).alias("n"))
         .withColumns({"size": F.abs("d"), "bucket_label": bucket_salary_delta(F.abs("d"))})
     )
-    quantile = lambda p: F.percentile("size", p, F.col("n"))
     stats = counted.groupBy("bucket_label").agg(
         F.sum("n").alias("count"),
         F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("increase_count"),
         F.sum(F.when(F.col("d") < 0, F.col("n")).otherwise(0)).alias("decrease_count"),
         F.bround(F.sum(F.col("size") * F.col("n")) / F.sum("n"), 2).alias("avg_abs_delta"),
-        F.bround(quantile(0.5), 2).alias("p50_abs_delta"), F.bround(quantile(0.9), 2).alias("p90_abs_delta"),
     )
+    shares = {"p50_abs_delta": 0.5, "p90_abs_delta": 0.9}
+    ranked = exact_quantiles(counted, ["bucket_label"], "size", "n", shares)
+    stats = stats.join(ranked, "bucket_label").withColumns({name: F.bround(name, 2) for name in shares})
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("count", "increase_count", "decrease_count")}
     zero |= {c: F.coalesce(c, F.lit(0.0)) for c in ("avg_abs_delta", "p50_abs_delta", "p90_abs_delta")}
     labels = _labels(pairs, SALARY_BUCKETS, "bucket_label")

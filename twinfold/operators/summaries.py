@@ -14,6 +14,7 @@ from ..functions.numbers import (
 from .gate import FIX_TYPES, differs, has_fix, priority_score
 from .outputs import active_zero, both
 from .pair_audits import extreme_shift
+from .quantiles import quantile_struct
 from .ranking import first_n
 
 ACTIONS = ("APPROVE", "REVIEW", "REJECT_MATCH")
@@ -46,7 +47,7 @@ def source_shares(pairs: DataFrame) -> DataFrame:
 def salary_change_stats(pairs: DataFrame) -> DataFrame:
     """One row: parseable pairs, mismatches, direction and spread of the changes.
 
-    Equal deltas are counted first; the percentiles are weighted by the counts.
+    Equal deltas are counted first; the quantiles rank only the values near the wanted places.
     """
     delta = parse_money("new_salary") - parse_money("old_salary")
     counted = pairs.select(delta.alias("d")).where("d is not null").groupBy("d").agg(_count().alias("n"))
@@ -57,12 +58,12 @@ def salary_change_stats(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(weight), F.lit(0)).alias("both_valid"), total(F.col("d") != 0).alias("mismatches"),
         total(F.col("d") > 0).alias("increases"), total(F.col("d") < 0).alias("decreases"),
         F.min(moved).alias("min_delta"),
-        F.percentile(moved, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), weight).alias("p"),
         F.bround(F.sum(moved * weight) / F.sum(F.when(F.col("d") != 0, weight)), 2).alias("avg_delta"),
         F.max(moved).alias("max_delta"),
     )
-    parts = {n: F.bround(F.get("p", i), 2) for i, n in enumerate(("p10_delta", "median_delta", "p90_delta"))}
-    return stats.withColumns(parts).drop("p")
+    shares = {"p10_delta": 0.1, "median_delta": 0.5, "p90_delta": 0.9}
+    found = quantile_struct(counted.where("d <> 0"), "d", "n", shares)
+    return stats.withColumns({name: F.bround(found[name], 2) for name in shares})
 
 
 def gate_by_fix_type(gated: DataFrame) -> DataFrame:
@@ -92,14 +93,15 @@ def salary_report(gated: DataFrame) -> DataFrame:
     zero = active_zero(("active",))
     rows = gated.where(has_fix("salary"))
     delta = F.when(~zero & (F.col("salary_delta") != 0), F.col("salary_delta"))
+    counted = rows.select(delta.alias("d")).groupBy("d").agg(_count().alias("n"))
+    median = quantile_struct(counted, "d", "n", {"median": 0.5})["median"]
     return rows.agg(
         _count().alias("total"), _count(zero).alias("n_excluded_active_zero"), _count(~zero).alias("n_included"),
         _count(delta > 0).alias("n_increase"), _count(delta < 0).alias("n_decrease"),
         F.coalesce(F.bround(F.avg(delta), 2), F.lit(0.0)).alias("mean_delta"),
-        F.coalesce(F.bround(F.median(delta), 2), F.lit(0.0)).alias("median_delta"),
         F.coalesce(F.max(delta), F.lit(0.0)).alias("max_increase"),
         F.coalesce(F.min(delta), F.lit(0.0)).alias("max_decrease"),
-    )
+    ).withColumn("median_delta", F.coalesce(F.bround(median, 2), F.lit(0.0)))
 
 
 def _top(counts: DataFrame, name: str, n: int) -> DataFrame:
