@@ -88,6 +88,13 @@ def test_audit_end_to_end(table):
     assert set(counts) == set(checks.CATALOG) and counts["active_zero_salary"] == 2
     needed = {r["row_number"] for r in tables["review_required"].collect()}
     assert 3 in needed
+    rest = {name: tables[name].collect() for name in (
+        "grouped_findings", "issue_strings", "completeness_groups", "overall_completeness", "quality_score", "canonical_conflicts",
+        "conflict_summary", "duplicate_worker_rows", "same_name_other_id", "multiple_plan_rows", "manager_loops", "salary_outliers",
+        "status_distribution", "salary_statistics")}
+    assert len(rest["issue_strings"]) == result.findings.count() and len(rest["salary_statistics"]) == 1
+    assert rest["duplicate_worker_rows"] == [] and sum(r["count"] for r in rest["status_distribution"]) == len(CASES)
+    assert {r["metric"] for r in rest["quality_score"]} >= {"Total Records", "Completeness %", "Gate Status"}
 
 
 def test_zero_pay_replaces_what_it_causes(table):

@@ -230,9 +230,7 @@ _add("approval_metrics", lambda s, d: sanity.approval_metrics(gated(s, d)),
 def _gate_result(spark, sf_dir):
     rows = pairs(spark, sf_dir)
     verdict = sanity.evaluate_sanity_gate(sanity.collect_metrics(rows, gated(spark, sf_dir)))
-    # One line per reason; the verdict itself is a few values.
-    lines = [(verdict["passed"], r) for r in verdict["reasons"]] or [(True, "")]
-    return spark.createDataFrame(lines, "passed boolean, reason string")
+    return sanity.verdict_table(spark, verdict)
 
 
 _add("sanity_gate", _gate_result, gated_sql(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.blanks import folded, text
@@ -207,6 +207,12 @@ def evaluate_sanity_gate(metrics: dict, policy: dict | None = None) -> dict:
             "health_checks": checks}
 
 
+def verdict_table(spark: SparkSession, verdict: dict) -> DataFrame:
+    """One line per reason of a verdict, or a single line without one; the verdict itself is a few values."""
+    lines = [(verdict["passed"], r) for r in verdict["reasons"]] or [(verdict["passed"], "")]
+    return spark.createDataFrame(lines, "passed boolean, reason string")
+
+
 def _default_month_rows(pairs: DataFrame, months: list[str]) -> DataFrame:
     """Hire date mismatches with a default month on either side, one row per month."""
     old, new = text("old_hire_date"), text("new_hire_date")
