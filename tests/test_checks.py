@@ -1,6 +1,7 @@
 import pytest
 
 from twinfold.operators import checks, issues
+from twinfold.operators.advice import ADVICE, DEFAULT_ACTION, DEFAULT_IMPACT, advice
 from twinfold.operators.audit_facts import with_facts
 from twinfold.plans.audit import audit
 from twinfold.policy import load_policy
@@ -127,3 +128,15 @@ def test_canonical_conflicts(spark):
         0: ("duplicate_same_value", "identical_values"), 1: ("duplicate_blank_vs_value", "identical_values"),
         2: ("duplicate_blank_vs_value", "first_non_blank"), 3: ("duplicate_conflicting_values", "conflict_primary_wins"),
         4: ("duplicate_same_value", "identical_values")}
+
+
+def test_findings_carry_their_own_advice(spark):
+    rows = [("salaried_implausible_salary", "HIGH", "salary"), ("benefits_waiting_period_violation", "MEDIUM", "start"),
+            ("duplicate_canonical_conflict", "HIGH", "email"), ("phone_invalid", "HIGH", "phone"), (None, None, None)]
+    df = spark.createDataFrame(rows, "check_key string, severity string, field string").withColumns(advice(CONFIG))
+    got = [(r["impact"], r["recommended_action"]) for r in df.collect()]
+    assert got[0][1].endswith(f"{CONFIG['salaried_salary_min']:g} to {CONFIG['salaried_salary_max']:g}.")
+    assert got[1][1].endswith("at least 30 days.") and "'email'" in got[2][1]
+    assert got[3] == got[4] == (DEFAULT_IMPACT, DEFAULT_ACTION)
+    assert {k for k, _ in ADVICE} <= set(checks.CATALOG)
+    assert not any("{" in text for pair in got for text in pair)

@@ -18,6 +18,7 @@ from ..functions.numbers import SALARY_RANGES, completeness_status, number, sala
 from ..functions.text import plan_tokens
 from ..policy import load_policy
 from ..sources.snapshots import ROW, audit_sources
+from .advice import DEFAULT_ACTION, advice
 from .audit_facts import roles_of, row_number_text, shown, with_facts
 from .quantiles import exact_quantiles, quantile_struct
 from .ranking import first_n
@@ -72,8 +73,6 @@ CATALOG = {
     "high_blank_rate": ("High blank rate", "MEDIUM"),
 }
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
-DEFAULT_IMPACT = "This issue may affect data integrity and should be reviewed before downstream use."
-DEFAULT_ACTION = "Review and correct the flagged records before production use."
 # Words of the status and leave checks.
 LEAVE_ACTIVE = ("active", "open", "working")
 LEAVE_INACTIVE = ("terminated", "inactive", "leave", "leave_of_absence", "loa", "suspended")
@@ -784,7 +783,7 @@ def all_findings(df: DataFrame, as_of: str, policy: dict | None = None, raw: Dat
         total = df.agg(F.count(F.lit(1))).scalar()
         parts.append(conflict_findings(canonical_conflicts(raw), total))
     found = reduce(DataFrame.unionByName, [p.select(*FINDING_COLUMNS) for p in parts])
-    return found.withColumns({"impact": F.lit(DEFAULT_IMPACT), "recommended_action": F.lit(DEFAULT_ACTION)})
+    return found.withColumns(advice(config))
 
 
 def flagged_rows(facts: DataFrame, cases: list[Case]) -> DataFrame:
