@@ -163,6 +163,49 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(len(texts))) - copies <= kept and len(copies & kept) <= 2
 
 
+def shingles(text, n=5):
+    some = text.translate(LOWER).split()
+    return {tuple(some[k:k + n]) for k in range(max(1, len(some) - n + 1))}
+
+
+def jaccard(x, y):
+    return len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+
+
+def test_near_copies_are_those_of_the_shingles(spark):
+    random.seed(12)
+    some = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8))) for _ in range(2000)]
+    texts = []
+    for length in [20, 25, 30, 40, 60, 100, 200, 400] * 12:
+        words_ = random.choices(some, k=length)
+        texts.append(" ".join(words_))
+        for changed in (1, 2, 4, 8):  # similarities on both sides of 0.8
+            other = list(words_)
+            for at in random.sample(range(length), min(changed, length // 20)):
+                other[at] = random.choice(some)
+            texts.append(" ".join(other))
+        texts.append(" ".join([*words_, *random.choices(some, k=length // 5)]))
+    root = list(range(len(texts)))
+    for low in range(0, len(texts), 6):
+        for _ in range(6):
+            for i in range(low, low + 6):
+                for j in range(low, low + 6):
+                    if jaccard(texts[i], texts[j]) >= 0.8:
+                        root[i] = root[j] = min(root[i], root[j])
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, texts)).collect()}
+    assert kept == {k for k in range(len(texts)) if root[k] == k}
+
+
+def test_pairs_across_the_components_of_a_band_are_verified(spark):
+    some = [f"w{k}" for k in range(400)]
+    # One band value holds all four; only the last two are near, and the smallest is near to none.
+    texts = [" ".join(some[:100]), " ".join(some[100:200]), " ".join(some[200:300]), " ".join([*some[200:299], "other"])]
+    rows = frame(spark, texts).withColumn("_row", simhash.F.col("doc_id"))
+    nodes = spark.createDataFrame([(k, 7) for k in range(4)], "node long, band0 long")
+    got = simhash.copy_roots(rows, nodes, ["band0"], 5, 0.8).collect()
+    assert {(r["node"], r["root"]) for r in got} == {(2, 2), (3, 2)}
+
+
 def test_thresholds_cover_every_pair():
     random.seed(3)
     fps = np.array([random.getrandbits(64) for _ in range(200)], np.uint64)

@@ -8,10 +8,12 @@ some part. Thresholds come from dynamic programming over the candidates and
 probes each part is expected to cost. A fingerprint is stored under its value
 in every used part, and probes all values within t_i of it.
 
-One fingerprint of 64 bits is too coarse to tell near copies from others at a
-larger distance. ``deduplicated`` therefore takes several, of shingle hashes
-mixed anew: two texts are near copies if some fingerprint of theirs differs in
-at most ``max_distance`` bits and all of them together in at most ``total``.
+Fingerprints estimate a similarity; ``deduplicated`` counts it. Two texts are
+near copies if the sets of their five-word shingles agree by 0.8 or more
+(Jaccard). At 0.8 a fingerprint differs in about 10 of its 64 bits, where the
+pigeonhole index would meet nearly every pair, so candidates come from bands of
+minima of the same shingles' hashes instead. Each candidate link is verified on
+the whole sets before components are made.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.tables import column, components, stored
-from twinfold.llm.words import LOWER, SOLID, text_blocks, word_spans
+from twinfold.llm.words import LOWER, SOLID, extend, mix, text_blocks, word_codes, word_spans
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -38,8 +40,12 @@ SAMPLE = 2000
 GROUP_ROWS = 8192
 #: Row numbers of removed rows are broadcast up to so many (8 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Near copies: fingerprints, bits in which one of them may differ, and bits in which all may differ together.
-COPY_FINGERPRINTS, COPY_DISTANCE, COPY_TOTAL = 8, 4, 72
+#: Near copies: words of a shingle, and the share of all shingles of two texts that both must have.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: Candidates agree in all minima of some band: of pairs at 0.8, all but 2 in 10,000 do.
+BANDS, MINIMA = 28, 6
+#: Pairs whose shingles are in memory at a time.
+VERIFIED_PAIRS = 256
 #: Shingles whose hashes and bits are in memory at a time.
 SLICE = 1 << 15
 _SPACE = np.uint8(32)
@@ -383,22 +389,146 @@ def near_duplicates(docs: DataFrame, n_words: int = SHINGLE_WORDS, max_distance:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(
-    docs: DataFrame, n_words: int = SHINGLE_WORDS, count: int = COPY_FINGERPRINTS, max_distance: int = COPY_DISTANCE, total: int = COPY_TOTAL,
-) -> DataFrame:
+# -- near copies ---------------------------------------------------------------
+
+_SEEDS = mix(np.arange(1, BANDS * MINIMA + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS = mix(_SEEDS) | np.uint64(1)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int = COPY_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of the different shingles of each text of a block, in order; a text of fewer words has one of all of them."""
+    lowered = LOWER[data]
+    starts, ends, doc = word_spans(lowered, offsets, SOLID)
+    codes = word_codes(lowered, starts, ends)
+    words = np.bincount(doc, minlength=len(offsets) - 1)
+    first = np.cumsum(words) - words
+    n = np.where(words == 0, 0, np.maximum(1, words - n_words + 1))
+    of = np.repeat(np.arange(len(n)), n)
+    word = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+    last = first[of] + words[of] - 1
+    found = mix(codes[word])
+    for k in range(1, n_words):
+        found = np.where(word + k <= last, extend(found, codes[np.minimum(word + k, last)]), found)
+    order = np.lexsort((found, of))
+    of, found = of[order], found[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
+    return of[new], found[new]
+
+
+def block_sketches(data: np.ndarray, offsets: np.ndarray, n_words: int = COPY_WORDS) -> np.ndarray:
+    """One row per text of a block: two codes of its whole set of shingles, then one of the minima of each band."""
+    of, found = shingle_sets(data, offsets, n_words)
+    out = np.zeros((len(offsets) - 1, 2 + BANDS), np.uint64)
+    if not len(of):
+        return out
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    texts = of[begins]
+    for k in range(2):
+        out[texts, k] = np.add.reduceat(mix(found ^ _SEEDS[BANDS * MINIMA + k]), begins)
+    for band in range(BANDS):
+        code = np.full(len(texts), band, np.uint64)
+        for k in range(band * MINIMA, (band + 1) * MINIMA):
+            code = extend(code, np.minimum.reduceat((found ^ _SEEDS[k]) * _FACTORS[k], begins))
+        out[texts, 2 + band] = code
+    return out
+
+
+def _sketches(rows: DataFrame, n_words: int, names: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in text_blocks(batch.column(2)):
+                codes = block_sketches(data, offsets, n_words).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k).slice(low, high - low) for k in (0, 1)] + [pa.array(c) for c in codes.T.copy()], ["doc_id", "_row", *names])
+
+    slim = rows.select(column(rows, "doc_id", "long").alias("doc_id"), "_row", column(rows, "text", "string").alias("text"))
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "_row", *names]))
+
+
+def similarities(ones: pa.Array, others: pa.Array, n_words: int = COPY_WORDS) -> np.ndarray:
+    """Of each pair of texts, how many of the different shingles of both are in both, as a share."""
+    def sets(texts):
+        found = [(low, *shingle_sets(data, offsets, n_words)) for low, _, data, offsets in text_blocks(texts)]
+        return [low + of for low, of, _ in found], [codes for _, _, codes in found]
+
+    n = len(ones)
+    if not n:
+        return np.zeros(0)
+    (a, x), (b, y) = sets(ones), sets(others)
+    pair, code = np.concatenate([*a, *b]), np.concatenate([*x, *y])
+    order = np.lexsort((code, pair))
+    pair, code = pair[order], code[order]
+    twice = (pair[1:] == pair[:-1]) & (code[1:] == code[:-1])
+    both = np.bincount(pair[1:][twice], minlength=n)
+    return both / np.maximum(1, np.bincount(pair, minlength=n) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose ``texts`` agree by ``least`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, VERIFIED_PAIRS):
+                a, b, one, other = batch.slice(at, VERIFIED_PAIRS).columns
+                near = pa.array(similarities(one, other, n_words) >= least - 1e-12)
+                yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], ["a", "b"])
+
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def copy_roots(rows: DataFrame, nodes: DataFrame, bands: list[str], n_words: int, least: float) -> DataFrame:
+    """(node, root) of the nodes with a near copy; ``root`` is the smallest node that verified links reach.
+
+    First every node is verified against the smallest of each of its bands' values. Where that leaves the nodes of a
+    value in several components, every pair across them is verified too: the components are those of all verified
+    candidates, but a large group of near copies costs about as many pairs as it has members.
+    """
+    banded = nodes.select("node", F.explode(F.array(*bands)).alias("key"))
+    keys = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
+    members = stored(banded.join(keys, "key"), "bands")
+    wanted = stored(members.select("node").distinct(), "candidates")
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = rows.select(F.col("_row").alias("node"), column(rows, "text", "string").alias("text"))
+    texts = stored(texts.join(chosen, "node", "left_semi"), "texts")
+    first = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = stored(_verified(first, texts, n_words, least), "verified")
+    roots = stored(components(near), "roots")
+
+    members = stored(_rooted(members, roots), "rooted")
+    shares = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    split = shares.agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main")).where("parts > 1").select("key", "main")
+    left = stored(members.join(split, "key"), "split")
+    # The smallest node has been compared with all others of the value.
+    one = left.where("root <> main and node <> hub").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    other = left.where("node <> hub").select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), "main")
+    across = one.join(other, "key").where("x_root <> y_root and (y_root = main or x < y)")
+    across = stored(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    more = stored(_verified(across.join(first, ["a", "b"], "left_anti"), texts, n_words, least), "verified")
+    if more.isEmpty():
+        return roots
+    return stored(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+
+
+def deduplicated(docs: DataFrame, n_words: int = COPY_WORDS, least: float = COPY_SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the smallest doc_id, of equal ones the first stored.
 
-    Rows without doc_id come after those with one. Texts whose ``count`` fingerprints are all equal are one node. Other
-    edge cases are those of ``near_duplicates``.
+    Near copies share ``least`` or more of their different shingles. Rows without doc_id come after those with one. Texts
+    with the same set of shingles are one node, as are texts without words. Other edge cases are those of ``near_duplicates``.
     """
-    names = tuple(f"fp{k}" for k in range(count))
+    whole, bands = ["set0", "set1"], [f"band{k}" for k in range(BANDS)]
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    marked = stored(fingerprints(rows, n_words, ("_row",), names), "fingerprints")
+    marked = stored(_sketches(rows, n_words, [*whole, *bands]), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    alike = marked.groupBy(*names).agg(F.min(place).alias("first"))
-    nodes = stored(alike.select(F.col("first._row").alias("node"), "first", *names), "nodes")
-    linked = stored(components(links(nodes, max_distance, names=names, total=total)), "roots")
-    roots = nodes.select("node", "first").join(linked, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    alike = marked.groupBy(*whole).agg(F.min(place).alias("first"), *[F.min(b).alias(b) for b in bands])
+    nodes = stored(alike.select(F.col("first._row").alias("node"), "first", *bands), "nodes")
+    linked = copy_roots(rows, nodes, bands, n_words, least)
+    roots = _rooted(nodes.select("node", "first"), linked)
     first = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     gone = stored(marked.select("_row").join(first, "_row", "left_anti"), "duplicates")
     if gone.count() <= BROADCAST_ROWS:
