@@ -448,6 +448,11 @@ def test_perplexity_is_that_of_the_model(spark):
         assert math.isclose(joined[r["doc_id"]]["perplexity"], expected, rel_tol=1e-6)
 
 
+def test_sample_holds_all_trusted_documents_up_to_its_bound(spark):
+    docs = spark.range(1300).selectExpr("id AS doc_id", "'a b c' AS text", "'en' AS lang")
+    assert kneser_ney.training_sample(docs, docs.select("doc_id")).count() == 1300
+
+
 def test_quality_keeps_the_clean(spark):
     clean = prose(200, 15)
     random.seed(5)
