@@ -453,6 +453,22 @@ def test_sample_holds_all_trusted_documents_up_to_its_bound(spark):
     assert kneser_ney.training_sample(docs, docs.select("doc_id")).count() == 1300
 
 
+@pytest.mark.parametrize("words_", [8_000_000, 0])
+def test_every_language_has_a_threshold(spark, monkeypatch, words_):
+    monkeypatch.setattr(kneser_ney, "BROADCAST_WORDS", words_)
+    clean = prose(12, 16, 20)
+    rows = [(100 * k + i, t, f"l{k}", "s", 0) for k in range(40) for i, t in enumerate(clean)]
+    rows += [(100 * k + 50, "QX$ #ZZ 9&& " * 40, f"l{k}", "s", 0) for k in range(40)] + [(9999, "QX$ " * 40, None, "s", 0)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] % 100 < 12], "doc_id long, quality int, toxic int")
+    got = kneser_ney.judged(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert len(got) == len(rows) and {r["doc_id"] for r in got if not r["kept"]} == {100 * k + 50 for k in range(40)}
+    assert all((r["threshold"] is None) == (r["lang"] is None) for r in got)
+    by_place = defaultdict(set)
+    for r in got:
+        by_place[r["doc_id"] % 100].add(None if r["perplexity"] is None else round(r["perplexity"], 3))
+    assert all(len(by_place[i]) == 1 for i in range(12))  # the same text in every language
+
+
 def test_quality_keeps_the_clean(spark):
     clean = prose(200, 15)
     random.seed(5)
