@@ -318,6 +318,18 @@ def test_planted_items_are_found(spark):
 
 # -- licences -----------------------------------------------------------------
 
+def test_an_item_is_found_behind_its_question_alone(spark):
+    question, answer = [f"q{k}" for k in range(64)], [f"a{k}" for k in range(20)]
+    noise = [f"n{k}" for k in range(640)]
+    item = spark.createDataFrame([(1, " ".join(question), " ".join(answer))], "item_id long, question string, answer string")
+    texts = [[*question, *noise, *question, *answer], [*question, *noise, *noise, *answer], [*noise, *question, *noise, *question, *noise, *question, *answer]]
+    docs = frame(spark, [" ".join(t) for t in texts])
+    got = {r["doc_id"]: r for r in decontaminate.matches(docs, item).collect()}
+    assert got.keys() == {0, 2} and got[0]["first_word"] >= 640 and got[2]["first_word"] >= 1984 - 64
+    assert all(r["question_overlap"] == r["answer_overlap"] == 1 for r in got.values())
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, item).collect()] == [1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=20))
 def test_matching_statistics(texts, stream):

@@ -6,7 +6,7 @@ holds the whole item scores 1 and one threshold serves all items. All items at
 or above it are retrieved: a passage whose bound stays below is skipped, and
 within the others whole blocks of postings are skipped by their maxima. A
 retrieved item counts only if its question and its answer both overlap the text
-around the passage.
+around a passage that retrieved it; where such texts overlap, they are one.
 """
 
 from __future__ import annotations
@@ -197,23 +197,32 @@ def block_matches(index: Index, data: np.ndarray, offsets: np.ndarray, passage:
     row = np.repeat(np.arange(len(words)), n)
     low = first[row] + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * stride
     high = np.minimum(low + passage, first[row] + words[row])
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    places: dict[tuple[int, int], list[tuple[int, float]]] = {}
     for at in range(0, len(low), 8192):
         place = low[at:at + 8192, None] + np.arange(passage)
         some = np.where(place < high[at:at + 8192, None], term[np.minimum(place, len(term) - 1)], len(index.codes))
         for p in index.may_match(some).tolist():
             terms = np.unique(some[p])
             for piece, score in index.search(terms[terms < len(index.codes)].tolist()):
-                key = (int(row[at + p]), index.item[piece])
-                if key not in best or score > best[key][0]:
-                    best[key] = (score, int(low[at + p]))
+                places.setdefault((int(row[at + p]), index.item[piece]), []).append((int(low[at + p]), score))
     out = []
-    for (r, item), (score, at) in best.items():
+    for (r, item), found in places.items():
         margin = index.lengths[item]
-        text = codes[max(first[r], at - margin):min(first[r] + words[r], at + passage + margin)]
-        question, answer = (overlap(side, text) for side in index.sides[item])
-        if question >= OVERLAP and answer >= OVERLAP:
-            out.append((r, item, score, question, answer, at - int(first[r])))
+        windows: list[list] = []  # begin, end, best score and its first place; places come in order
+        for at, score in found:
+            begin, end = max(int(first[r]), at - margin), min(int(first[r] + words[r]), at + passage + margin)
+            if not windows or begin > windows[-1][1]:
+                windows.append([begin, end, score, at])
+                continue
+            windows[-1][1] = end
+            if score > windows[-1][2]:
+                windows[-1][2:] = score, at
+        # The best window in which both sides overlap, the first of equal ones.
+        for begin, end, score, at in sorted(windows, key=lambda w: (-w[2], w[0])):
+            question, answer = (overlap(side, codes[begin:end]) for side in index.sides[item])
+            if question >= OVERLAP and answer >= OVERLAP:
+                out.append((r, item, score, question, answer, at - int(first[r])))
+                break
     return out
 
 
