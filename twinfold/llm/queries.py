@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import backoff, decontaminate, html, kneser_ney, licenses, neighbours, packing, simhash, urls, warc
+from twinfold.llm import backoff, decontaminate, html, kneser_ney, licenses, neighbours, packing, runs, simhash, urls, warc
 from twinfold.llm.tables import table
 
 
@@ -55,11 +55,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.outcomes_by_document(pages, table(spark, sf_dir, "labels")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.run_digests(runs.periodic_runs(docs, text=runs.with_planted_runs(docs)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_decontamination, op3_license_scan, op4_simhash, op5_hilbert_neighbours, op6_html_extraction,
-        op7_stupid_backoff, op8_packing, op9_warc, op10_url_filter,
+        op7_stupid_backoff, op8_packing, op9_warc, op10_url_filter, op13_periodic_runs,
     )
 }
 
