@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import backoff, decontaminate, html, kneser_ney, licenses, neighbours, packing, runs, simhash, urls, warc
+from twinfold.llm import backoff, decontaminate, html, kneser_ney, licenses, neighbours, packing, products, runs, simhash, urls, warc
 from twinfold.llm.tables import table
 
 
@@ -55,6 +55,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.outcomes_by_document(pages, table(spark, sf_dir, "labels")))
 
 
+def op12_largest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.largest_products(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return runs.run_digests(runs.periodic_runs(docs, text=runs.with_planted_runs(docs)))
@@ -64,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_decontamination, op3_license_scan, op4_simhash, op5_hilbert_neighbours, op6_html_extraction,
-        op7_stupid_backoff, op8_packing, op9_warc, op10_url_filter, op13_periodic_runs,
+        op7_stupid_backoff, op8_packing, op9_warc, op10_url_filter, op12_largest_products, op13_periodic_runs,
     )
 }
 
@@ -144,5 +148,15 @@ select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when bound > 0.5 then 'block' else 'allow' end as verdict,
   coalesce(hn, 0)::bigint as host_labelled, coalesce(hk, 0)::bigint as host_bad
 from judged
+""",
+    "op12_largest_products": """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(256 * x::double))) = 0),
+scored as (
+  select q.r, q.vec_id as query_id, c.vec_id, c.r as other, case when len(c.x) = 0 then 0 else list_dot_product(q.x, c.x) end::bigint as score
+  from v q join v c on c.r <> q.r and len(c.x) = len(q.x) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id nulls last, other)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
 """,
 }
