@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import backoff, decontaminate, html, kneser_ney, licenses, neighbours, packing, products, runs, simhash, urls, warc
+from twinfold.llm import backoff, decontaminate, html, kneser_ney, licenses, neighbours, packing, products, runs, simhash, spelling, urls, warc
 from twinfold.llm.tables import table
 
 
@@ -55,6 +55,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.outcomes_by_document(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.planted_slips)
+
+
 def op12_largest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.largest_products(table(spark, sf_dir, "embeddings"))
 
@@ -68,7 +72,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_decontamination, op3_license_scan, op4_simhash, op5_hilbert_neighbours, op6_html_extraction,
-        op7_stupid_backoff, op8_packing, op9_warc, op10_url_filter, op12_largest_products, op13_periodic_runs,
+        op7_stupid_backoff, op8_packing, op9_warc, op10_url_filter, op11_spelling_variants,
+        op12_largest_products, op13_periodic_runs,
     )
 }
 
@@ -148,6 +153,35 @@ select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when bound > 0.5 then 'block' else 'allow' end as verdict,
   coalesce(hn, 0)::bigint as host_labelled, coalesce(hk, 0)::bigint as host_bad
 from judged
+""",
+    "op11_spelling_variants": r"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+found as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+once as (select doc_id, run, count(*) as n, hex(concat(doc_id::varchar, ':', run)) as b from found group by doc_id, run),
+hashed as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(b) // 2), lambda k: ('0x' || substr(b, (2 * k + 1)::int, 2))::bigint)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from once, crc),
+slipped as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from slipped group by word having length(word) >= 5 and sum(n) >= 3),
+cuts as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select c.word, w.word, w.n from cuts c join words w on w.word = c.rest
+  union select w.word, c.word, c.n from cuts c join words w on w.word = c.rest),
+best as (
+  select word, count(*) as n_near, (array_agg(near order by near_n desc, encode(near)))[1] as near, max(near_n) as near_n from pairs group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * w.n then near end as form, case when near_n >= 2 * w.n then near_n end as form_n
+  from words w left join best using (word)),
+steps as (
+  select word, word as at from forms
+  union all select s.word, f.form from steps s join forms f on f.word = s.at where f.form is not null),
+ends as (select s.word, s.at from steps s join forms f on f.word = s.at where f.form is null)
+select f.word, f.form, e.at as root, f.n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from forms f join ends e using (word)
 """,
     "op12_largest_products": """
 with v as (
