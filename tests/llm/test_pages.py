@@ -148,7 +148,7 @@ def test_nearest_vectors(spark):
 def test_queries_equal_their_sql(spark):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.SQL.items():
         expected = con.execute(sql).to_arrow_table()
