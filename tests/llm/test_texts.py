@@ -441,23 +441,22 @@ def tokens(text):
     return re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[!-/:-@\[-`{-~]+", text or "")
 
 
-def test_perplexity_is_that_of_the_model(spark):
+@pytest.mark.parametrize("shard_tokens, held_bytes", [(1 << 18, 1 << 27), (20, 0)])
+def test_perplexity_is_that_of_the_model(spark, shard_tokens, held_bytes):
     training = [t.capitalize() + "." for t in prose(40, 13, 25)] + ["THE END 12 34!!", "Über den Fluss."]
     sample = spark.createDataFrame([(k, t, "en") for k, t in enumerate(training)], "doc_id long, text string, lang string")
-    model = kneser_ney.train(sample, least_count=2)
+    model = kneser_ney.train(sample, least_count=2, shard_tokens=shard_tokens, held_bytes=held_bytes)
     probability, mapped = brute_kneser_ney([tokens(t) for t in training], 2)
     texts = EDGE[:5] + training[:5] + prose(10, 14, 50) + ["ALL CAPS!! 99 %%%", "??"]
     docs = frame(spark, texts)
-    joined = {r["doc_id"]: r for r in kneser_ney.perplexities(docs, model, broadcast_rows=0).collect()}
-    for r in kneser_ney.perplexities(docs, model).collect():
+    for r in kneser_ney.perplexities(docs, model, held_bytes).collect():
         p = ["<s>", "<s>", *map(mapped, tokens(r["text"]))]
-        assert r["n_tokens"] == len(p) - 2 == joined[r["doc_id"]]["n_tokens"]
+        assert r["n_tokens"] == len(p) - 2
         if len(p) == 2:
-            assert r["perplexity"] is None and joined[r["doc_id"]]["perplexity"] is None
+            assert r["perplexity"] is None
             continue
         expected = math.exp(-sum(math.log(probability(*p[i:i + 3])) for i in range(len(p) - 2)) / (len(p) - 2))
-        assert math.isclose(r["perplexity"], expected, rel_tol=1e-4)
-        assert math.isclose(joined[r["doc_id"]]["perplexity"], expected, rel_tol=1e-6)
+        assert math.isclose(r["perplexity"], expected, rel_tol=1e-6)
 
 
 def test_sample_holds_all_trusted_documents_up_to_its_bound(spark):
@@ -465,9 +464,7 @@ def test_sample_holds_all_trusted_documents_up_to_its_bound(spark):
     assert kneser_ney.training_sample(docs, docs.select("doc_id")).count() == 1300
 
 
-@pytest.mark.parametrize("words_", [8_000_000, 0])
-def test_every_language_has_a_threshold(spark, monkeypatch, words_):
-    monkeypatch.setattr(kneser_ney, "BROADCAST_WORDS", words_)
+def test_every_language_has_a_threshold(spark):
     clean = prose(12, 16, 20)
     rows = [(100 * k + i, t, f"l{k}", "s", 0) for k in range(40) for i, t in enumerate(clean)]
     rows += [(100 * k + 50, "QX$ #ZZ 9&& " * 40, f"l{k}", "s", 0) for k in range(40)] + [(9999, "QX$ " * 40, None, "s", 0)]
@@ -481,6 +478,38 @@ def test_every_language_has_a_threshold(spark, monkeypatch, words_):
     assert all(len(by_place[i]) == 1 for i in range(12))  # the same text in every language
 
 
+def test_quantiles_are_exact(spark):
+    random.seed(8)
+    values = {lang: [random.choice([1.0, 2.5, random.uniform(1, 900)]) for _ in range(n)] for lang, n in (("en", 700), ("de", 1), ("fr", 50))}
+    rows = spark.createDataFrame([(lang, v) for lang, vs in values.items() for v in vs], "lang string, value double").repartition(3)
+    for share in (0.0, 0.5, 0.98, 0.999, 1.0):
+        got = dict(map(tuple, kneser_ney._quantile(rows, share).collect()))
+        assert got == {lang: sorted(vs)[max(math.ceil(share * len(vs)), 1) - 1] for lang, vs in values.items()}
+
+
+def test_thresholds_and_clashing_columns(spark):
+    """Figures of judged() from its own perplexities, with columns of every name that it uses itself."""
+    random.seed(6)
+    texts = prose(90, 21)
+    names = "_row _lang _text _known _usual lang_as_text text_as_text usual value seen cell number rank kept sub n".split()
+    rows = [(k, t, random.choice(["en", "de"]), *range(k, k + len(names))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} long" for n in names)).repartition(3)
+    labels = spark.createDataFrame([(k, k % 3 and 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.judged(docs, labels, quantile=0.8, sample_docs=8).collect()
+    assert len(got) == 90 and all([r[n] for n in names if n != "kept"] == [r["doc_id"] + k for k, n in enumerate(names) if n != "kept"] for r in got)
+    seen = {(r["doc_id"], r["lang"]) for r in kneser_ney.training_sample(docs, labels.where("quality = 1").select("doc_id"), 8).collect()}
+    for lang in ("en", "de"):
+        own = [r for r in got if r["lang"] == lang]
+        trusted = [r for r in own if r["doc_id"] < 60 and r["doc_id"] % 3]
+        usual = sorted(r["perplexity"] for r in trusted)[math.ceil(len(trusted) / 2) - 1]
+        drawn = lambda r: math.exp((r["n_tokens"] * math.log(r["perplexity"]) + 10 * math.log(usual)) / (r["n_tokens"] + 10))  # noqa: E731, B023
+        unseen = sorted(drawn(r) for r in trusted if (r["doc_id"], lang) not in seen)
+        limit = unseen[math.ceil(0.8 * len(unseen)) - 1]
+        for r in own:
+            assert math.isclose(r["judged_perplexity"], drawn(r), rel_tol=1e-9) and math.isclose(r["threshold"], limit, rel_tol=1e-9)
+            assert r["kept"] == (r["judged_perplexity"] <= r["threshold"])
+
+
 def test_quality_keeps_the_clean(spark):
     clean = prose(200, 15)
     random.seed(5)

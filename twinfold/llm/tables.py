@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,14 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``new_path`` once nothing reads it any more."""
+    if uuid_part(path) and path.startswith(shared_folder(spark)):
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def uuid_part(path: str) -> bool:
     tail = path.rsplit("-", 1)[-1]
     return len(tail) == 32 and all(c in "0123456789abcdef" for c in tail)
@@ -58,6 +69,37 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with a suffix as long as the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of rows that come sorted by their first ``n_keys`` columns, integers without nulls."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        turn = np.zeros(batch.num_rows, bool)
+        columns = [batch.column(k).to_numpy() for k in range(n_keys)]
+        for c in columns:
+            turn[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(turn).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            here = tuple(int(c[low]) for c in columns)
+            if held and here != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = here
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): ``root`` is the smallest node reachable.
 
