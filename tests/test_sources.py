@@ -29,19 +29,60 @@ def test_quoted_text_is_read_as_written(spark, tmp_path):
     expected = pd.read_csv(path, dtype=str).to_dict("records")
     got = snapshots.read_snapshot(spark, path).orderBy("src_ord").drop("src_ord").collect()
     assert [r.asDict() for r in got] == expected
-    with pytest.raises(Exception, match="FAILFAST|MALFORMED|malformed"):
-        snapshots.read_snapshot(spark, path, multi_line=False).collect()
 
 
-def test_numbering_covers_many_splits(spark, tmp_path):
+def split_small(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+@pytest.fixture
+def splits(spark):
+    yield lambda size: split_small(spark, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [70, 900, 1 << 27])
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path, splits, size):
+    import random
+
+    import pandas as pd
+
+    random.seed(size)
+    expected = []
+    for part, end in enumerate(("\n", "\r\n")):
+        def field():
+            inner = "".join(random.choice(["a", " ", ",", '""', "\n", "x", "\r\n", "é"]) for _ in range(random.randint(0, 8)))
+            return random.choice([f'"{inner}"', f'"{inner}"', "", "pl'ain", 'in"side'])
+
+        lines = ['id,"no\nte",c'] + [f"{k},{field()},{field()}" + random.choice(["", "", end]) for k in range(150)]
+        path = tmp_path / f"p{part}.csv"
+        path.write_text(end.join(lines) + random.choice(["", end]), encoding="utf-8", newline="")
+        expected += pd.read_csv(path, dtype=str, keep_default_na=False).values.tolist()
+    splits(size)
+    df = snapshots.read_snapshot(spark, str(tmp_path))
+    assert df.columns == ["id", "no\nte", "c", "src_ord"] and (size > 1000 or df.rdd.getNumPartitions() > 4)
+    rows = sorted(map(tuple, df.collect()), key=lambda r: r[3])
+    assert [list(r[:3]) for r in rows] == expected and [r[3] for r in rows] == list(range(len(expected)))
+
+
+def test_odd_csv_files(spark, tmp_path, splits):
+    splits(16)
+    one = lambda text: [tuple(r) for r in snapshots.read_snapshot(spark, write(tmp_path / "o.csv", text)).orderBy("src_ord").collect()]
+    assert one("a,b\n") == [] and one("a,b") == []
+    assert one("a,b\n1\n2,3,4\n\n  \n5,6") == [("1", "", 0), ("2", "3", 1), ("5", "6", 2)]
+    whole = "y" * 100 + "\n\n" + "z" * 40  # a record over many splits, some wholly inside it
+    assert one(f'a,b\n1,"{whole}"\n2,x\n') == [("1", whole, 0), ("2", "x", 1)]
+    assert one('a,b\n1,x\n2,"never closed\n3,4\n')[0] == ("1", "x", 0) and len(one('a,b\n1,x\n2,"never closed\n3,4\n')) == 2
+
+
+def test_numbering_covers_many_splits(spark, tmp_path, splits):
     spark.range(5000).select(F.col("id").cast("string").alias("v")).coalesce(1).write.csv(str(tmp_path / "t"), header=True)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        df = snapshots.read_snapshot(spark, str(tmp_path / "t"), multi_line=False)
-        assert df.rdd.getNumPartitions() > 1
-        rows = df.collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    splits(4096)
+    df = snapshots.read_snapshot(spark, str(tmp_path / "t"))
+    assert df.rdd.getNumPartitions() > 1
+    rows = df.collect()
     assert all(r["v"] == str(r["src_ord"]) for r in rows) and len(rows) == 5000
 
 

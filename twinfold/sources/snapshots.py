@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from ..functions import dates, numbers, text
 from ..functions.blanks import as_col, blank_strict, folded, null_if_blank
 from .aliases import AUDIT_ALIASES, SNAPSHOT_ALIASES
+from .quoted_csv import read_records
 
 ROW = "src_ord"
 
@@ -28,36 +29,31 @@ MAPPED_COLUMNS = (
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, fmt: str = "csv", blank_as_null: bool = False, numbering: str = "file",
-    multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "csv", blank_as_null: bool = False, numbering: str = "file"
 ) -> DataFrame:
     """Scan a file as text columns with trimmed headers and a ``src_ord`` number.
 
-    Quotes may hold separators, line breaks and doubled quotes; a backslash is
-    a character like any other. A file with line breaks in quotes is read by
-    one task. ``multi_line=False`` splits large files, for inputs without such
-    line breaks; a record of the wrong width is then an error.
+    Quotes in CSV files may hold separators, line breaks and doubled quotes; a
+    backslash is a character like any other. Large files are read in splits,
+    wherever their line breaks are (``quoted_csv``).
 
-    ``numbering="file"`` gives the position in the files, which costs a second
-    scan and a join with the list of splits. ``"split"`` gives unique numbers
-    that follow the file order inside a split only, and costs nothing; use it
-    for very large inputs. ``"none"`` leaves the column out.
+    ``numbering="file"`` gives the position in the files; for other formats it
+    costs a second scan and a join with the list of splits. ``"split"`` gives
+    unique numbers that follow the file order inside a split only; ``"none"``
+    leaves the column out.
     """
-    reader = spark.read.option("header", True)
     if fmt == "csv":
         # An empty cell stays an empty string unless the caller wants NULL.
-        df = reader.option("inferSchema", False).option("nullValue", None if blank_as_null else "\0")
-        df = df.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-        df = df.option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
-        df = df.option("emptyValue", "").csv(path)
-        df = df.fillna("") if not blank_as_null else df
-    else:
-        df = spark.read.format(fmt).load(path)
-    names = [c.strip() for c in df.columns]
-    values = [df[c].cast("string") if fmt != "csv" else df[c] for c in df.columns]
+        df = read_records(spark, path, ROW)
+        names = df.columns[:-1]
+        values = [F.nullif(c, F.lit("")) if blank_as_null else F.coalesce(c, F.lit("")) for c in (df[k] for k in _quoted(names))]
+        columns = [v.alias(n.strip()) for v, n in zip(values, names)]
+        return df.select(*columns, *([] if numbering == "none" else [ROW]))
+    df = spark.read.format(fmt).load(path)
+    values = [df[c].cast("string") for c in _quoted(df.columns)]
     if blank_as_null:
         values = [F.nullif(v, F.lit("")) for v in values]
-    columns = [v.alias(n) for v, n in zip(values, names)]
+    columns = [v.alias(n.strip()) for v, n in zip(values, df.columns)]
     if numbering == "none":
         return df.select(*columns)
     if numbering == "split":
@@ -65,6 +61,10 @@ def read_snapshot(
     return number_rows(df.select(*columns, F.col("_metadata")))
 
 
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
 def number_rows(df: DataFrame) -> DataFrame:
     """Add ``src_ord``, the zero-based position of the row in its files.
 
