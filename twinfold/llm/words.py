@@ -34,8 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of blocks of rows; a null is an empty text."""
+def text_blocks(texts: pa.Array, block_bytes: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of blocks of rows of ``block_bytes`` (``BLOCK_BYTES``); a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -46,7 +46,7 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
     while first < n:
-        after = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
+        after = int(np.searchsorted(offsets, offsets[first] + (block_bytes or BLOCK_BYTES), "right")) - 1
         after = min(n, max(after, first + 1))
         yield first, after, data[offsets[first]:offsets[after]], offsets[first:after + 1] - offsets[first]
         first = after
