@@ -156,3 +156,56 @@ def test_numbers_as_text_have_no_exponent(spark):
     cases = {12345678.0: "12345678.0", 0.0001: "0.0001", 2.0: "2.0", 1500.5: "1500.5", 1e9 + 0.25: "1000000000.25", -3.0: "-3.0", 0.0: "0.0"}
     rows = spark.createDataFrame([(k,) for k in cases], "v double").select("v", plain_text(F.col("v")).alias("t")).collect()
     assert {r["v"]: r["t"] for r in rows} == cases
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def _ratio(a, b):
+    both = len(a) + len(b)
+    return 1.0 if not both else 1 - (both - 2 * _common(a, b)) / both
+
+
+def test_common_subsequences_of_any_length(spark):
+    import random
+
+    from twinfold.functions.similarity import indel_ratio
+
+    random.seed(1)
+    sizes = (0, 1, 3, 20, 61, 62, 63, 124, 125, 150)
+    rows = [tuple("".join(random.choice(letters) for _ in range(random.choice(sizes))) for _ in "ab") for letters in ("ab", "abcdefgh ", "aé日😀z") for _ in range(80)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", indel_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(r["r"] == _ratio(r["a"], r["b"]) for r in got) and len(got) == len(rows)
+
+
+def test_no_similar_title_is_lost(spark):
+    import random
+
+    from twinfold.operators.bands import similar_titles
+
+    random.seed(2)
+    base = [" ".join("".join(random.choice("abcde") for _ in range(random.randint(1, 7))) for _ in range(random.randint(1, 4))) for _ in range(50)]
+    base = sorted({*base, "a", "ab", "abc", "aaaaaaa", "aaaaaaaa", "ababababab", "senior sales engineer"})
+
+    def changed(t):
+        t = list(t)
+        for _ in range(random.randint(0, 4)):
+            k = random.randint(0, len(t))
+            t[k:k + 1] = random.choice([[], ["a"], list(t[k:k + 1]) + ["c"], [" "]])
+        return " ".join("".join(t).split())
+
+    keys = sorted({changed(random.choice(base)) for _ in range(400)} - {""})
+    joined = similar_titles(spark.createDataFrame([(k,) for k in keys], "title_key string"), spark.createDataFrame([(b,) for b in base], "title_key string"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r["title_key"], r["band_title"]): r["score"] for r in joined.collect()}
+    words = lambda t: " ".join(sorted(t.split()))
+    assert got == {(k, b): _ratio(words(k), words(b)) for k in keys for b in base if _ratio(words(k), words(b)) >= 0.85}
+    assert sum(k != b for k, b in got) > 50

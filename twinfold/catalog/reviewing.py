@@ -13,6 +13,7 @@ from ..operators.match import candidate_order
 from ..sources import sinks, snapshots
 from ..sources.staging import stage_folder
 from . import samples
+from .scalars import LCS_SQL, SORTED_SQL
 from .gating import gated, gated_sql
 from .samples import pairs, pairs_sql, snap_new, snap_old, snapshots_sql, table, with_sql
 
@@ -379,19 +380,24 @@ _add("keys_only_in_old", lambda s, d: diff.only_in(snap_old(s, d), snap_new(s, d
 
 def band_table(spark, sf_dir):
     """Bands from the part table: titles of a few words with limits, some with a state."""
-    rows = table(spark, sf_dir, "part").where("p_size <= 25")
+    rows = table(spark, sf_dir, "part")
     return bands.load_bands(rows.select(
         F.col("p_type").alias("Title"), F.expr("if(p_size % 3 = 0, 'TX', '')").alias("state"),
         F.expr("string(p_size * 2000)").alias("min"), F.expr("string(p_size * 2000 + 30000)").alias("max"),
         F.col("p_partkey").alias("ord")), order="ord")
 
 
+# Titles of pairs: as in the band table, with the words turned around, with a word more, with letters lost or changed, none.
+_TITLED = ("case p_partkey % 6 when 0 then p_type when 1 then array_join(reverse(split(p_type, ' ')), '  ') when 2 then concat(p_type, ' EXTRA') "
+           "when 3 then replace(replace(p_type, 'ED', 'D'), 'A', 'E') when 4 then concat(substring(p_type, 2, 99), ' I') else '' end")
+_TITLED_SQL = ("case p_partkey % 6 when 0 then p_type when 1 then array_to_string(list_reverse(string_split(p_type, ' ')), ' ') when 2 then p_type || ' EXTRA' "
+               "when 3 then replace(replace(p_type, 'ED', 'D'), 'A', 'E') when 4 then substr(p_type, 2, 99) || ' I' else '' end")
+
+
 def positioned(spark, sf_dir):
-    """Decided pairs whose titles come from the part table, some with the words turned around."""
-    types = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("pk"), F.expr("case p_partkey % 4 when 0 then p_type when 1 then array_join(reverse(split(p_type, ' ')), '  ') "
-                                               "when 2 then concat(p_type, ' EXTRA') else '' end").alias("t"))
-    rows = gated(spark, sf_dir).withColumn("pk", F.expr("substring(old_worker_id, 2)").cast("int"))
+    """Decided pairs whose titles come from the part table."""
+    types = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.expr(_TITLED).alias("t"))
+    rows = gated(spark, sf_dir).withColumn("pk", F.expr("substring(old_worker_id, 2)").cast("bigint"))
     return rows.join(types, "pk").withColumns({
         "new_position": F.col("t"), "old_position": F.lit(""),
         "new_location_state": F.expr("if(pk % 2 = 0, 'tx', '')"), "old_location_state": F.lit("")})
@@ -399,13 +405,13 @@ def positioned(spark, sf_dir):
 
 _BANDS = [
     ("b", "select p_partkey as ord, lower(p_type) as tk, p_type as title, case when p_size % 3 = 0 then 'tx' else '' end as sk, p_size * 2000.0::double as lo, "
-          "p_size * 2000.0::double + 30000 as hi from part where p_size <= 25"),
-    ("pos", "select g.pair_id, g.new_salary, g.action, g.reason, t.tk, t.sk from (select *, substr(old_worker_id, 2, 6)::integer as pk from gated) g join "
-            "(select p_partkey as pk, lower(case p_partkey % 4 when 0 then p_type when 1 then array_to_string(list_reverse(string_split(p_type, ' ')), ' ') "
-            "when 2 then p_type || ' EXTRA' else '' end) as tk, case when p_partkey % 2 = 0 then 'tx' else '' end as sk from part) t using (pk)"),
+          "p_size * 2000.0::double + 30000 as hi from part"),
+    ("pos", "select g.pair_id, g.new_salary, g.action, g.reason, t.tk, t.sk from (select *, substr(old_worker_id, 2)::bigint as pk from gated) g join "
+            f"(select p_partkey as pk, lower({_TITLED_SQL}) as tk, case when p_partkey % 2 = 0 then 'tx' else '' end as sk from part) t using (pk)"),
     ("keys", "select distinct tk, sk from pos where tk <> ''"),
-    ("near", "select kk.tk, kk.sk, b.ord, b.sk as bsk, len(list_intersect(string_split(kk.tk, ' '), string_split(b.tk, ' '))) / "
-             "len(list_distinct(list_concat(string_split(kk.tk, ' '), string_split(b.tk, ' ')))) as sc from keys kk, b"),
+    ("two", f"select a.tk, b.tk as bt, {SORTED_SQL.format(t='a.tk')} as x, {SORTED_SQL.format(t='b.tk')} as y from (select distinct tk from keys) a, (select distinct tk from b) b"),
+    ("alike", f"select *, length(x) + length(y) as both_, {LCS_SQL.format(x='x', y='y')} as common from two"),
+    ("near", "select kk.tk, kk.sk, b.ord, b.sk as bsk, 1 - (both_ - 2 * common) / both_ as sc from keys kk join alike on alike.tk = kk.tk join b on b.tk = alike.bt"),
     ("pick", "select tk, sk, coalesce((select min(ord) from b where b.tk = keys.tk and b.sk = keys.sk and keys.sk <> ''), "
              "(select min(ord) from b where b.tk = keys.tk), "
              "(select arg_min(ord, (-sc, ord)) from near where near.tk = keys.tk and near.sk = keys.sk and near.bsk = keys.sk and keys.sk <> '' and sc >= 0.85), "

@@ -235,6 +235,20 @@ _add("title_similarity",
          match.token_sort("p_type").alias("sorted")),
      "select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) as share, array_to_string(list_sort(a), ' ') as sorted "
      "from (select p_partkey, string_split(lower(p_type), ' ') as a, string_split(lower(p_brand || ' ' || p_type), ' ') as b from part)")
+# The longest common subsequence by a row of bits in one wide number: x character by character, y as places.
+LCS_SQL = ("length({y}) - bit_count(list_reduce(list_prepend((1::hugeint << length({y})::hugeint) - 1, list_transform(string_split({x}, ''), "
+           "lambda c: list_aggregate(list_prepend(0::hugeint, list_transform(range(length({y})), "
+           "lambda k: case when substr({y}, (k + 1)::int, 1) = c then 1::hugeint << k::hugeint else 0::hugeint end)), 'sum')::hugeint)), "
+           "lambda v, u: ((v + (v & u)) | (v - (v & u))) & ((1::hugeint << length({y})::hugeint) - 1)))")
+SORTED_SQL = "array_to_string(list_sort(list_filter(string_split(lower(trim({t})), ' '), lambda w: w <> '')), ' ')"
+_add("title_ratio",
+     lambda s, d: table(s, d, "part").select(
+         "p_partkey", F.round(match.title_ratio(F.col("p_type"), F.col("p_name")), 6).alias("ratio"),
+         F.round(match.title_ratio(F.concat_ws(" ", "p_type", "p_brand"), F.col("p_type")), 6).alias("longer")),
+     "with t as (select p_partkey, " + ", ".join(SORTED_SQL.format(t=t) + f" as {n}" for n, t in (("a", "p_type"), ("b", "p_name"), ("c", "p_type || ' ' || p_brand")))
+     + " from part), lcs as (select *, " + LCS_SQL.format(x="a", y="b") + " as ab, " + LCS_SQL.format(x="c", y="a") + " as ca from t) "
+     "select p_partkey, round(1 - (length(a) + length(b) - 2 * ab) / (length(a) + length(b)), 6) as ratio, "
+     "round(1 - (length(c) + length(a) - 2 * ca) / (length(c) + length(a)), 6) as longer from lcs")
 _add("edit_name_similarity",
      lambda s, d: table(s, d, "part").select(
          "p_partkey", F.round(match.name_similarity(F.col("p_name"), F.col("p_type"), "edit"), 6).alias("similarity")),

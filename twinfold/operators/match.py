@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as tx
 from ..functions.blanks import folded, text
 from ..functions.numbers import plain_text
+from ..functions.similarity import indel_ratio
 from ..sources.snapshots import ROW, ensure_columns
 from ..sources.staging import materialize
 
@@ -182,6 +183,11 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(ta, tb)) / either)
 
 
+def title_ratio(a: Column, b: Column) -> Column:
+    """Likeness of two titles whatever the order of their words: insertions and deletions between the sorted words."""
+    return indel_ratio(token_sort(a), token_sort(b))
+
+
 def confidence(method: str = "sequence") -> Column:
     """Weighted evidence of a pair; the two id tiers score 1."""
     same = lambda f, fold: (
