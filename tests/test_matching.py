@@ -1,9 +1,10 @@
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from twinfold.operators import match, review
+from twinfold.operators import heavy, match, partners, review
 from twinfold.operators.dedupe import dedupe_best
 from twinfold.operators.resolve import greedy_one_to_one, resolve_one_to_one
 
@@ -208,6 +209,85 @@ def test_groups_and_pairs_together_are_whole(spark):
     assert same == pairs(some) | {(a, b) for a in sides["old"] for b in sides["new"]}
 
 
+def _close(a, b, method):
+    if not a or not b:
+        return 0.0
+    if method == "sequence":
+        return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def _points(o, n, score, method):
+    both = {f: o[f] != "" and o[f] == n[f] for f in ("dob", "birth_year", "last_name_prefix3", "location_state")}
+    names = [o["full_name_norm"], n["full_name_norm"]]
+    if score == "signals":
+        return sum(both.values()) + (_close(*names, method) >= 0.9)
+    near = _close(*(" ".join(sorted(x.split())) for x in names), method) >= 0.9
+    return (3 if both["dob"] else 2 if both["birth_year"] else 0) + 2 * both["last_name_prefix3"] + both["location_state"] + 2 * near
+
+
+@pytest.mark.parametrize("score, method, split", [("signals", "edit", 3), ("weighted", "sequence", 50_000)])
+def test_every_member_has_its_best_partner(spark, monkeypatch, score, method, split):
+    monkeypatch.setattr(partners, "SPLIT_ROWS", split)
+    monkeypatch.setattr(heavy, "HEAVY_ROWS", 5 if split == 3 else 100_000)
+    rng = random.Random(len(score) + len(method))
+    names = ["jonathan smithson", "jonathan smithsen", "smithson jonathan", "jonathon smithsen", "ann li", "an li", "", "bob jones"]
+    people = lambda n: [person(i, last4_ssn=rng.choice(["1", "2"]), dob=rng.choice(["", "1970-01-01", "1970-01-02", "1971-01-01"]),
+                               last_name_norm=rng.choice(["smith", "smythe", "jones", ""]), location_state=rng.choice(["TX", "CA", ""]),
+                               full_name_norm=rng.choice(names)) for i in range(n)]
+    o, n = snapshot(spark, people(35)), snapshot(spark, people(30))
+    rows = {s: {r["row"]: r.asDict() for r in review.review_side(d).collect()} for s, d in (("old", o), ("new", n))}
+    got = review.grouped_evidence(o, n, score, method=method).collect()
+    assert len(got) > 50 and len({(r["side"], r["evidence"], r["key"], r["row"]) for r in got}) == len(got)
+    members = {}
+    for r in got:
+        members.setdefault((r["evidence"], r["key"]), {"old": [], "new": []})[r["side"]].append(r["row"])
+    for r in got:
+        group = members[r["evidence"], r["key"]]
+        side, other = (r["side"], "new" if r["side"] == "old" else "old")
+        points = lambda p: _points(*((rows["old"][r["row"]], rows["new"][p]) if side == "old" else (rows["old"][p], rows["new"][r["row"]])), score, method)  # noqa: E731, B023
+        best = min(group[other], key=lambda p: (-points(p), p))  # noqa: B023
+        assert (r["partner_row"], r["score"]) == (best, points(best)) and (r["n_old"], r["n_new"]) == (len(group["old"]), len(group["new"]))
+
+
+def test_preferences_inside_groups(spark):
+    def two(i, name, **more):
+        return person(i, full_name_norm=name, dob="1990-01-01", **more)
+
+    old = [two(0, "a b", recon_id="r1"), two(1, "a b", recon_id="r2"), two(2, "a b", recon_id="", worker_id=""), two(3, "c d", recon_id="r3"),
+           two(4, "c d", recon_id="r3"), two(5, "e f", recon_id="r5"), two(6, "e f", recon_id="r6")]
+    new = [two(0, "a b", worker_id="x"), two(1, "a b", worker_id="wdX7"), two(2, "c d", worker_id="wdX1"), two(3, "c d", worker_id="wdX2"),
+           two(4, "e f", worker_id="y"), two(5, "e f", worker_id="z")]
+    got = {(r["side"], r["row"]): (r["partner_row"], r["notes"]) for r in review.grouped_candidates(snapshot(spark, old), snapshot(spark, new)).where("confidence = 'HIGH'").collect()}
+    auto, many = "auto_preferred_wdX_id", "multiple_wdX_candidates"
+    assert got == {("old", 0): (1, auto), ("old", 1): (1, auto), ("old", 2): (0, None), ("old", 3): (2, many), ("old", 4): (2, many), ("old", 5): (4, None), ("old", 6): (4, None),
+                   ("new", 0): (2, None), ("new", 1): (0, None), ("new", 2): (3, None), ("new", 3): (3, None), ("new", 4): (5, None), ("new", 5): (5, None)}
+
+
+def test_candidates_without_an_owner_are_independent(spark):
+    old = [person(i, full_name_norm=f"n{i}", dob="1990-01-01", recon_id="", worker_id="") for i in range(3)]
+    new = [person(i, full_name_norm=f"n{i}", dob="1990-01-01", worker_id="wdX1" if i == 0 else f"v{i}") for i in range(3)]
+    pairs = review.review_candidates_tiered(snapshot(spark, old), snapshot(spark, new)).where("confidence = 'HIGH'").collect()
+    assert sorted((r["old_row"], r["notes"]) for r in pairs) == [(0, ""), (1, ""), (2, "")]
+
+
+def test_heavy_keys_are_joined_without_moving_them(spark):
+    """A third of the rows under one key: these stay in the partitions that they come from."""
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 9000)) AS key", "id").repartition(8)
+    figures = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    joined = heavy.join_figures(rows, figures, ["key"], "n", heavy_rows=1000)
+    hot = [r["count"] for r in joined.where("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    assert joined.count() == 60_000 and sum(hot) == 20_000 and max(hot) < 4 * sum(hot) / 8
+    wrong = joined.join(figures.withColumnsRenamed({"n": "n2", "first": "first2"}), "key").where("n <> n2 or first <> first2")
+    assert wrong.count() == 0 and heavy.join_figures(rows, figures.where("n > 10"), ["key"], "n", 1000, "left_semi").columns == ["key", "id"]
+
+
 def test_finalize_keeps_rows_without_an_id(spark):
     rows = [(None, "x", "match", "high", "1"), (None, "y", "match", "high", "1"), ("a", None, "match", "high", "1"), ("b", "y", "match", "high", "1")]
     df = spark.createDataFrame(rows, "old_worker_id string, new_worker_id string, decision string, confidence string, score string")

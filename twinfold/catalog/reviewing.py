@@ -200,16 +200,25 @@ _add("review_pairs_signals", _review_pairs("signals"), _review_sql("signals", _s
 _add("review_pairs_weighted", _review_pairs("weighted"), _review_sql("weighted", _weighted, 7, 4))
 _add("review_pairs_uncapped", _review_pairs("signals"), _review_sql("signals", _signal, 4, 3))
 QUERIES["review_pairs_sequence"] = lambda s, d: review.review_pairs_last4(snap_old(s, d), snap_new(s, d)).select(*_SHOWN)
-for _score in ("signals", "weighted"):
-    _add(f"grouped_evidence_{_score}",
-         lambda s, d, n=_score: review.grouped_evidence(snap_old(s, d), snap_new(s, d), n),
-         with_sql(samples._snapshots_sql() + _SIDE, " union all ".join(
-             f"select '{me}' as side, '{'+'.join(['last4_ssn', *e])}' as evidence, concat_ws('|', l4, {', '.join(_SHORT[f] for f in e)}) as key, row, "
-             f"n_old, n_new from {_evidence_side(me, [_SHORT[f] for f in e])} join (select l4, {', '.join(_SHORT[f] for f in e)}, o.c as n_old, n.c as n_new from "
-             f"(select distinct l4, {', '.join(_SHORT[f] for f in e)}, c from {_evidence_side('old', [_SHORT[f] for f in e])}) o join "
-             f"(select distinct l4, {', '.join(_SHORT[f] for f in e)}, c from {_evidence_side('new', [_SHORT[f] for f in e])}) n "
-             f"using (l4, {', '.join(_SHORT[f] for f in e)}) where o.c > 1 and n.c > 1) using (l4, {', '.join(_SHORT[f] for f in e)})"
-             for e in review.EVIDENCE[_score] for me in ("old", "new"))))
+
+
+def _grouped_sql(name, score, high, medium):
+    """Members of keys that repeat on both sides, with the first of their best partners, from all pairs of a key."""
+    parts = []
+    for fields, e in (([_SHORT[f] for f in e], e) for e in review.EVIDENCE[name]):
+        same = " and ".join(f"o.{f} = n.{f}" for f in ["l4", *fields])
+        pairs = (f"(select concat_ws('|', o.l4, {', '.join('o.' + f for f in fields)}) as key, o.row as old_row, n.row as new_row, o.c as n_old, n.c as n_new, {score} as s, {_sim} as sim "
+                 f"from {_evidence_side('old', fields)} o join {_evidence_side('new', fields)} n on {same} where o.c > 1 and n.c > 1)")
+        parts += [f"select '{me}' as side, '{'+'.join(['last4_ssn', *e])}' as evidence, key, {me}_row as row, n_old, n_new, arg_min({other}_row, (-s, {other}_row)) as partner_row, "
+                  f"max(s) as s, arg_min(sim, (-s, {other}_row)) as sim from {pairs} group by all" for me, other in (("old", "new"), ("new", "old"))]
+    return with_sql(samples._snapshots_sql() + _SIDE,
+                    f"select side, evidence, key, row, n_old, n_new, partner_row, s::integer as score, case when s >= {high} then 'HIGH' when s >= {medium} then 'MEDIUM' else 'LOW' end as confidence, "
+                    f"round(sim, 3) as name_similarity from ({' union all '.join(parts)})")
+
+
+for _name, _points, _high, _medium in (("signals", _signal, 4, 3), ("weighted", _weighted, 7, 4)):
+    _add(f"grouped_evidence_{_name}", lambda s, d, n=_name: review.grouped_evidence(snap_old(s, d), snap_new(s, d), n, method="edit"),
+         _grouped_sql(_name, _points, _high, _medium))
 
 
 def _grouped_names(df):
@@ -252,15 +261,24 @@ _add("review_candidates_tiered",
               "union all select confidence, score, old_row, new_row, notes from tb"))
 
 
+def _crowded_sql():
+    """Members of keys that repeat on both sides; in tier A the single preferred id of a key is the partner of all its old rows."""
+    parts = []
+    for level, score, key, o, n in (("HIGH", 2, _key_a, "g_old", "g_new"), ("MED", 1, _key_b, "rest_old", "rest_new")):
+        key = key.replace("#.", "")
+        hits = "regexp_matches(worker_id, '^XW\\d+$')" if level == "HIGH" else "false"
+        firsts = (f"(select * from (select {key} as key, count(*) as n_old, min(row) as first_old from {o} group by 1) join (select {key} as key, count(*) as n_new, min(row) as first_new, "
+                  f"count(*) filter ({hits}) as hits, min(row) filter ({hits}) as pref from {n} group by 1) using (key) where n_old > 1 and n_new > 1)")
+        shown = f"'{level}' as confidence, {score} as score, '{'1.0' if level == 'HIGH' else ''}' as name_similarity"
+        parts.append(f"select 'old' as side, key, row, n_old, n_new, {shown}, case when hits = 1 then pref else first_new end as partner_row, "
+                     f"case when hits = 1 then 'auto_preferred_wdX_id' when hits > 1 then 'multiple_wdX_candidates' end as notes from (select row, {key} as key from {o}) join {firsts} using (key)")
+        parts.append(f"select 'new', key, row, n_old, n_new, {shown}, case when hits = 1 and not own then null else first_old end, null "
+                     f"from (select row, {key} as key, {hits} as own from {n}) join {firsts} using (key)")
+    return with_sql(samples._snapshots_sql() + _TIERED, " union all ".join(parts))
+
+
 _add("crowded_candidates",
-     lambda s, d: review.grouped_candidates(_grouped_names(snap_old(s, d)), _grouped_names(snap_new(s, d))).select(
-         "side", "confidence", "key", "row", "n_old", "n_new"),
-     with_sql(samples._snapshots_sql() + _TIERED, " union all ".join(
-         f"select '{side}' as side, '{level}' as confidence, key, row, n_old, n_new from (select *, {key.replace('#.', '')} as key from {me}) join "
-         f"(select key, n_old, n_new from (select {key.replace('#.', '')} as key, count(*) as n_old from {o} group by 1) join "
-         f"(select {key.replace('#.', '')} as key, count(*) as n_new from {n} group by 1) using (key) where n_old > 1 and n_new > 1) using (key)"
-         for level, key, o, n in (("HIGH", _key_a, "g_old", "g_new"), ("MED", _key_b, "rest_old", "rest_new"))
-         for side, me in (("old", o), ("new", n)))))
+     lambda s, d: review.grouped_candidates(_grouped_names(snap_old(s, d)), _grouped_names(snap_new(s, d)), pattern=r"^XW\d+$"), _crowded_sql())
 
 
 def decided(spark, sf_dir):

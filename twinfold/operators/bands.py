@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blanks import folded, text
 from ..functions.numbers import parse_money
 from ..functions.similarity import indel_ratio, match_masks
 from ..functions.text import squeeze
+from .alike import indel_bound, near_texts
 from .match import token_sort
 
 # Header synonyms of a band file and the similarity floor.
@@ -42,67 +43,16 @@ def load_bands(raw: DataFrame, order: str | None = None) -> DataFrame:
     )
 
 
-def _edits(n: Column, m: Column) -> Column:
-    """Insertions and deletions that titles of ``n`` and ``m`` characters may need and still be similar."""
-    return F.floor((n + m) * (1 - SIMILAR) + 1e-9)
-
-
-def _prefix(n: Column, m: Column, q: int) -> Column:
-    """How many of its rarest q-grams a title of ``n`` characters must show to meet a similar one of ``m``.
-
-    Of the D edits at most (D + n - m) / 2 delete a character of it and so at most q of its q-grams; the others insert
-    one and break q - 1. One q-gram more than can be lost is shared, and so is the rarest common one.
-    """
-    edits = _edits(n, m)
-    return (F.lit(q - 1) * edits + F.floor((edits + n - m) / 2) + 1).cast("int")
-
-
-def _by_pairs(n: Column, m: Column) -> Column:
-    """Whether titles of these lengths have more pairs of characters than edits can break; else single characters are compared."""
-    return (n - 1 >= _prefix(n, m, 2)) & (m - 1 >= _prefix(m, n, 2))
-
-
-def _grams(titles: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
-    """(title, n, q, gram): the characters and character pairs of sorted titles, repeats numbered; with ``rarity`` also their rank."""
-    n = F.char_length("title")
-    starts = lambda q: F.when(n >= q, F.sequence(F.lit(1), n - (q - 1)))
-    grams = lambda q: F.transform(starts(q), lambda i: F.struct(F.lit(q).alias("q"), F.col("title").substr(i, F.lit(q)).alias("g")))
-    rows = titles.select("title", n.alias("n"), F.explode(F.concat(grams(1), F.coalesce(grams(2), F.array().cast("array<struct<q: int, g: string>>")))).alias("e"))
-    counted = rows.groupBy("title", "n", "e.q", "e.g").agg(F.count("*").alias("k"))
-    one = counted.select("title", "n", "q", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("k"), "g")
-    one = one.select("title", "n", "q", F.concat("g", F.col("k").cast("string")).alias("gram"))
-    if rarity is None:
-        return one
-    order = Window.partitionBy("title", "q").orderBy(F.coalesce("seen", F.lit(0)), "gram")
-    return one.join(rarity, ["q", "gram"], "left").select("title", "n", "q", "gram", F.row_number().over(order).alias("rank"))
-
-
-def _signatures(titles: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(title, n, m, q, gram): the q-grams one of which a similar title of ``m`` characters must show as well."""
-    grams = _grams(titles, rarity)
-    least, most = F.ceil(F.col("n") * (SIMILAR / (2 - SIMILAR)) - 1e-9), F.floor(F.col("n") * ((2 - SIMILAR) / SIMILAR) + 1e-9)
-    rows = grams.withColumn("m", F.explode(F.sequence(least.cast("int"), most.cast("int"))))
-    n, m, q = F.col("n"), F.col("m"), F.col("q")
-    pairs = _by_pairs(n, m)
-    wanted = ((q == 2) & pairs & (F.col("rank") <= _prefix(n, m, 2))) | ((q == 1) & ~pairs & (F.col("rank") <= _prefix(n, m, 1)))
-    return rows.where(wanted).select("title", "n", "m", "q", "gram")
-
-
 def similar_titles(keys: DataFrame, bands: DataFrame) -> DataFrame:
     """(title_key, band_title, score) of titles whose sorted words are alike enough.
 
-    Distinct titles meet through an equi-join on both lengths and a q-gram that similar titles of such lengths must
-    share, the ones rarest among the bands first; the ratio is computed for these pairs only. No pair is lost.
+    The ratio is computed for the distinct titles that ``near_texts`` brings together; no similar pair is lost.
     """
     titles = keys.select("title_key").distinct().withColumn("title", token_sort("title_key"))
     known = bands.select(F.col("title_key").alias("band_title")).distinct().withColumn("title", token_sort("band_title"))
-    some = lambda df: df.where("title <> ''").select("title").distinct()
-    rarity = _grams(some(known)).groupBy("q", "gram").agg(F.count("*").alias("seen"))
-    left = _signatures(some(titles), rarity)
-    right = _signatures(some(known), rarity).select(F.col("title").alias("other"), F.col("n").alias("m"), F.col("m").alias("n"), "q", "gram")
-    near = left.join(right, ["n", "m", "q", "gram"]).select("title", "other").distinct()
+    near = near_texts(titles, known, indel_bound(SIMILAR))
     # The bits of a band's title are computed once for all its candidates.
-    masks = some(known).select(F.col("title").alias("other"), match_masks(F.col("title")).alias("masks"))
+    masks = known.where("title <> ''").select("title").distinct().select(F.col("title").alias("other"), match_masks(F.col("title")).alias("masks"))
     scored = near.join(masks, "other").select("title", "other", indel_ratio(F.col("title"), F.col("other"), F.col("masks")).alias("score")).where(F.col("score") >= SIMILAR)
     alike = titles.join(scored, "title").join(known.select("band_title", F.col("title").alias("other")), "other")
     return alike.select("title_key", "band_title", "score")

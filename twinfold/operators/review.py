@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.blanks import blank_null_words, folded, text
 from ..functions.numbers import number
 from ..sources.snapshots import ROW, ensure_columns, require_columns
+from ..sources.staging import materialize
+from .heavy import join_figures
 from .match import name_similarity, token_sort_similarity
+from .partners import best_partners
 from .ranking import first_n
 
 REVIEW_FIELDS = (
@@ -118,8 +121,8 @@ def group_members(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     """
     repeated = group_sizes(left, right, keys).where(_LISTED)
     parts = [
-        side.select(*keys, "row").join(repeated, keys).select(F.lit(name).alias("side"), *keys, "row", "n_old", "n_new")
-        for name, side in (("old", left), ("new", right))
+        join_figures(side.select(*keys, "row"), repeated, keys, n).select(F.lit(name).alias("side"), *keys, "row", "n_old", "n_new")
+        for name, n, side in (("old", "n_old", left), ("new", "n_new", right))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -150,14 +153,37 @@ def _evidence_sides(left: DataFrame, right: DataFrame, fields: tuple[str, ...])
     return left.where(present), right.where(present), ["last4_ssn", *fields]
 
 
-def grouped_evidence(old: DataFrame, new: DataFrame, score: str = "signals", row: str = ROW) -> DataFrame:
-    """Members of the evidence keys that the list of pairs leaves out."""
+def grouped_evidence(old: DataFrame, new: DataFrame, score: str = "signals", row: str = ROW, method: str = "sequence") -> DataFrame:
+    """Members of the evidence keys that the list of pairs leaves out, each with its best partner.
+
+    ``partner_row`` is the row of the other side with the highest score, of equal ones the first; ``score``,
+    ``confidence`` and ``name_similarity`` are those of the pair.
+    """
     sides = [review_side(s, row).where("last4_ssn <> ''") for s in (old, new)]
     parts = []
     for fields in EVIDENCE[score]:
         left, right, keys = _evidence_sides(*sides, fields)
-        parts.append(group_members(left, right, keys).select(
-            "side", F.lit("+".join(keys)).alias("evidence"), F.concat_ws("|", *keys).alias("key"), "row", "n_old", "n_new"))
+        repeated = group_sizes(left, right, keys).where(_LISTED).withColumn("group", F.concat_ws("|", *keys))
+        members = [
+            materialize(join_figures(s, repeated, keys, n), f"members-{n}") for s, n in ((left, "n_old"), (right, "n_new"))]
+        best = materialize(best_partners(*members, fields, score, method), "best-partners")
+        lists = [m.select(F.lit(name).alias("side"), "group", *[c for c in m.columns if c != "group"]) for name, m in zip(("old", "new"), members)]
+        listed = lists[0].unionByName(lists[1]).join(best, ["side", "group", "row"])
+        # The partner's fields, for the score of the pair as it is shown.
+        shown = [c for c in sides[0].columns if c not in ("row", "last4_ssn")]
+        other = lists[0].unionByName(lists[1]).select(
+            F.when(F.col("side") == "old", "new").otherwise("old").alias("side"), F.col("row").alias("partner"), "group", *[F.col(c).alias(f"p_{c}") for c in shown])
+        asked = best.groupBy("side", "group", "partner").agg(F.count("*").alias("askers"))
+        pairs = join_figures(listed, other.join(asked, ["side", "group", "partner"]), ["side", "group", "partner"], "askers")
+        first = F.col("side") == "old"
+        pairs = pairs.select(
+            "side", "group", "row", "partner", "n_old", "n_new",
+            *[F.when(first, F.col(c)).otherwise(F.col(f"p_{c}")).alias(f"old_{c}") for c in shown],
+            *[F.when(first, F.col(f"p_{c}")).otherwise(F.col(c)).alias(f"new_{c}") for c in shown])
+        scored = SCORES[score](pairs, method)
+        parts.append(scored.select(
+            "side", F.lit("+".join(keys)).alias("evidence"), F.col("group").alias("key"), "row", "n_old", "n_new",
+            F.col("partner").alias("partner_row"), "score", "confidence", "name_similarity"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -205,26 +231,39 @@ def _tier_pairs(
     )
 
 
-def prefer_id_pattern(pairs: DataFrame, pattern: str = r"^wdX\d+$") -> DataFrame:
-    """In a group of candidates for one old record keep the single preferred id.
+def _owner(recon: str, worker: str) -> Column:
+    """Whom candidates belong to: the reconciliation id, else the worker id. NULL without either: such a row has no others."""
+    return F.coalesce(F.nullif(F.col(recon), F.lit("")), F.concat(F.lit("w:"), F.nullif(F.col(worker), F.lit(""))))
+
+
+def _preference(n: Column, hits: Column) -> Column:
+    """The note on several candidates of one owner."""
+    return F.when((n > 1) & (hits == 1), "auto_preferred_wdX_id").when((n > 1) & (hits > 1), "multiple_wdX_candidates")
+
+
+def _owner_sizes(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(owner, rows, n, hits): an owner's rows here, and its candidates and preferred ones among pairs and groups."""
+    mine = pairs.select("owner", F.lit(1).cast("long").alias("rows"), F.lit(1).cast("long").alias("n"), F.col("preferred").cast("long").alias("hits"))
+    mine = mine if groups is None else mine.unionByName(groups.select("owner", F.lit(1).cast("long").alias("rows"), "n", "hits"))
+    return mine.where("owner is not null").groupBy("owner").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "hits")])
+
 
-    Several preferred ids are all kept and annotated. The groups are counted by
-    an aggregate and joined back; no group is gathered.
+def prefer_id_pattern(pairs: DataFrame, pattern: str = r"^wdX\d+$", groups: DataFrame | None = None) -> DataFrame:
+    """Among the candidates of one old record keep the single preferred id.
+
+    Several preferred ids are all kept and annotated. Owners are counted by an
+    aggregate and joined back; no group is gathered, and rows without an owner
+    stay as they are. ``groups`` (owner, n, hits) adds candidates that are
+    listed by their members.
     """
-    owner = F.when(F.col("old_recon_id") != "", F.col("old_recon_id")).otherwise(
-        F.concat(F.lit("w:"), F.col("old_worker_id")))
-    preferred = F.col("new_worker_id").rlike(pattern)
-    pairs = pairs.withColumns({"_owner": owner, "_preferred": preferred})
-    sizes = pairs.groupBy("_owner").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("_preferred").alias("_hits")
-    )
-    joined = pairs.join(sizes, "_owner")
-    several = F.col("_n") > 1
-    added = F.when(several & (F.col("_hits") == 1), "auto_preferred_wdX_id").when(
-        several & (F.col("_hits") > 1), "multiple_wdX_candidates")
-    notes = F.concat_ws("|", F.nullif(F.col("notes"), F.lit("")), added)
-    kept = ~several | (F.col("_hits") != 1) | F.col("_preferred")
-    return joined.where(kept).withColumn("notes", notes).drop("_owner", "_preferred", "_n", "_hits")
+    pairs = pairs.withColumns({"owner": _owner("old_recon_id", "old_worker_id"), "preferred": F.col("new_worker_id").rlike(pattern)})
+    sizes = _owner_sizes(pairs, groups)
+    owned = join_figures(pairs.where("owner is not null"), sizes, ["owner"], "rows")
+    none = {c: F.lit(None).cast("long") for c in ("rows", "n", "hits")}
+    joined = owned.unionByName(pairs.where("owner is null").withColumns(none))
+    notes = F.concat_ws("|", F.nullif(F.col("notes"), F.lit("")), _preference(F.col("n"), F.col("hits")))
+    kept = F.coalesce((F.col("n") <= 1) | (F.col("hits") != 1), F.lit(True)) | F.col("preferred")
+    return joined.where(kept).withColumn("notes", notes).drop("owner", "preferred", "rows", "n", "hits")
 
 
 KEY_A, KEY_B = ("full_name_norm", "dob"), ("full_name_norm", "birth_year", "last_name_prefix3")
@@ -248,21 +287,63 @@ def review_candidates_tiered(
 ) -> DataFrame:
     """Tier A by name and birth date, tier B by name, birth year and name prefix.
 
-    Keys that repeat on both sides come whole from ``grouped_candidates``.
+    Keys that repeat on both sides come whole from ``grouped_candidates``; their
+    members count among the candidates of an owner.
     """
     left, right = review_side(old, row), review_side(new, row)
-    tier_a = prefer_id_pattern(_tier_pairs(left, right, KEY_A, "HIGH", 2), pattern)
+    groups = _group_owners(*[_keyed(s, KEY_A) for s in (left, right)], pattern)
+    tier_a = prefer_id_pattern(_tier_pairs(left, right, KEY_A, "HIGH", 2), pattern, groups)
     return tier_a.unionByName(_tier_pairs(*_tier_b_sides(left, right), KEY_B, "MED", 1))
 
 
-def grouped_candidates(old: DataFrame, new: DataFrame, row: str = ROW) -> DataFrame:
-    """Members of the keys that ``review_candidates_tiered`` leaves out as pairs."""
+def _group_owners(left: DataFrame, right: DataFrame, pattern: str) -> DataFrame:
+    """(key, row, owner, n, hits) of the old rows of keys that repeat on both sides: their candidates and the preferred ones."""
+    shared = group_sizes(left, right, ["key"]).where(_LISTED)
+    hits = right.groupBy("key").agg(F.count_if(F.col("worker_id").rlike(pattern)).cast("long").alias("hits"))
+    figures = shared.join(hits, "key").select("key", F.col("n_new").alias("n"), "hits", F.col("n_old").alias("rows"))
+    mine = left.select("key", "row", _owner("recon_id", "worker_id").alias("owner"))
+    return join_figures(mine, figures, ["key"], "rows").drop("rows")
+
+
+def grouped_candidates(old: DataFrame, new: DataFrame, row: str = ROW, pattern: str = r"^wdX\d+$") -> DataFrame:
+    """Members of the keys that ``review_candidates_tiered`` leaves out as pairs, each with its first partner.
+
+    All pairs of a key have the same score. Where an owner has several candidates in tier A and one preferred id among
+    them, only that one stays its partner: its old rows in other keys get none, and a new member whose old rows all
+    prefer another gets none. ``notes`` say so, or that there are several preferred ids.
+    """
     left, right = review_side(old, row), review_side(new, row)
+    preferred = F.col("worker_id").rlike(pattern)
     parts = []
-    for level, sides, key in (("HIGH", [left, right], KEY_A), ("MED", _tier_b_sides(left, right), KEY_B)):
-        members = group_members(*[_keyed(s, key) for s in sides], ["key"])
-        parts.append(members.withColumn("confidence", F.lit(level)))
-    return parts[0].unionByName(parts[1])
+    for level, score, sides, key in (("HIGH", 2, [left, right], KEY_A), ("MED", 1, _tier_b_sides(left, right), KEY_B)):
+        mine, other = (_keyed(s, key) for s in sides)
+        sizes = group_sizes(mine, other, ["key"]).where(_LISTED)
+        olds = _group_owners(mine, other, pattern)
+        if level == "HIGH":
+            pairs = _tier_pairs(left, right, KEY_A, "HIGH", 2)
+            pairs = pairs.withColumns({"owner": _owner("old_recon_id", "old_worker_id"), "preferred": F.col("new_worker_id").rlike(pattern)})
+            totals = _owner_sizes(pairs, olds.select("owner", "n", "hits")).withColumnsRenamed({"n": "all_n", "hits": "all_hits"})
+            owned = join_figures(olds.where("owner is not null"), totals, ["owner"], "rows").drop("rows")
+            none = {c: F.lit(None).cast("long") for c in ("all_n", "all_hits")}
+            olds = owned.unionByName(olds.where("owner is null").withColumns(none))
+            notes = _preference(F.col("all_n"), F.col("all_hits"))
+            single = F.coalesce((F.col("all_n") > 1) & (F.col("all_hits") == 1), F.lit(False))
+        else:
+            notes, single = F.lit(None).cast("string"), F.lit(False)
+        olds = materialize(olds.select("key", "row", single.alias("single"), notes.alias("notes")), "group-owners")
+        # Per key: the first rows of each side, all of them and those that a preference leaves.
+        firsts = sizes.join(olds.groupBy("key").agg(F.min("row").alias("old_any"), F.min(F.when(~F.col("single"), F.col("row"))).alias("old_free")), "key")
+        firsts = firsts.join(other.groupBy("key").agg(F.min("row").alias("new_any"), F.min(F.when(preferred, F.col("row"))).alias("new_preferred")), "key")
+        firsts = materialize(firsts, "group-firsts")
+        old_rows = join_figures(olds, firsts, ["key"], "n_old").withColumn(
+            "partner_row", F.when(F.col("single"), F.col("new_preferred")).otherwise(F.col("new_any")))
+        new_rows = join_figures(other.select("key", "row", preferred.alias("preferred")), firsts, ["key"], "n_new").withColumns({
+            "partner_row": F.when(F.col("preferred"), F.col("old_any")).otherwise(F.col("old_free")), "notes": F.lit(None).cast("string")})
+        for side, rows in (("old", old_rows), ("new", new_rows)):
+            parts.append(rows.select(
+                F.lit(side).alias("side"), "key", "row", "n_old", "n_new", F.lit(level).alias("confidence"), F.lit(score).alias("score"),
+                F.lit("1.0" if level == "HIGH" else "").alias("name_similarity"), "partner_row", "notes"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def approved(decision: str = "decision", words: tuple[str, ...] = MATCH_WORDS) -> Column:
