@@ -153,7 +153,9 @@ def test_numbers_as_text_have_no_exponent(spark):
 
     from twinfold.functions.numbers import plain_text
 
-    cases = {12345678.0: "12345678.0", 0.0001: "0.0001", 2.0: "2.0", 1500.5: "1500.5", 1e9 + 0.25: "1000000000.25", -3.0: "-3.0", 0.0: "0.0"}
+    cases = {12345678.0: "12345678.0", 0.0001: "0.0001", 2.0: "2.0", 1500.5: "1500.5", 1e9 + 0.25: "1000000000.25", -3.0: "-3.0", 0.0: "0.0",
+             1e-12: "0.000000000001", 0.1234567890123: "0.1234567890123", 1e30: "1" + "0" * 30 + ".0", -1.25e-7: "-0.000000125", 123456789.125: "123456789.125",
+             1.7976931348623157e308: "17976931348623157" + "0" * 292 + ".0", 5e-324: "0." + "0" * 323 + "49", float("inf"): "Infinity"}
     rows = spark.createDataFrame([(k,) for k in cases], "v double").select("v", plain_text(F.col("v")).alias("t")).collect()
     assert {r["v"]: r["t"] for r in rows} == cases
 

@@ -180,7 +180,18 @@ def completeness_status(filled_pct: Column) -> Column:
 
 
 def plain_text(c: Column) -> Column:
-    """A double as text without an exponent: at least one decimal, no needless zeros."""
-    value = c.cast("double")
-    digits = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,10)").cast("string"), "0+$", ""), r"\.$", ".0")
-    return F.coalesce(digits, value.cast("string"))
+    """A double as text: its shortest digits without an exponent, at least one decimal."""
+    given = c.cast("double").cast("string")
+    sign = F.when(given.startswith("-"), "-").otherwise("")
+    mantissa = F.ltrim(F.substring_index(given, "E", 1), F.lit("-"))
+    power = F.substring_index(given, "E", -1).try_cast("int")
+    decimals = F.substring_index(mantissa, ".", -1)
+    decimals = F.when(decimals == "0", "").otherwise(decimals)
+    digits = F.concat(F.substring_index(mantissa, ".", 1), decimals)
+    whole = F.length(decimals) <= power
+    moved = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(whole, F.concat(digits, F.repeat(F.lit("0"), power - F.length(decimals)), F.lit(".0")))
+        .otherwise(F.concat(F.left(digits, power + 1), F.lit("."), digits.substr(power + 2, F.length(digits))))
+    )
+    return F.when(given.contains("E"), F.concat(sign, moved)).otherwise(given)

@@ -20,6 +20,7 @@ from ..policy import load_policy
 from ..sources.snapshots import ROW, audit_sources
 from .advice import DEFAULT_ACTION, advice
 from .audit_facts import roles_of, row_number_text, shown, with_facts
+from .heavy import join_figures
 from .quantiles import exact_quantiles, quantile_struct
 from .ranking import first_n
 
@@ -389,8 +390,8 @@ def repeated_values(df: DataFrame, column: str, fold: bool = False) -> DataFrame
 def duplicate_rows(df: DataFrame, column: str, fold: bool = False) -> DataFrame:
     """Every row whose value occurs more than once, found by joining the repeated values."""
     value = folded(column) if fold else text(column)
-    repeated = repeated_values(df, column, fold).select(F.col("value").alias("_v"))
-    return df.withColumn("_v", value).join(repeated, "_v", "left_semi").drop("_v")
+    repeated = repeated_values(df, column, fold).select(F.col("value").alias("_v"), F.col("n").alias("_n"))
+    return join_figures(df.withColumn("_v", value), repeated, ["_v"], "_n", how="left_semi").drop("_v")
 
 
 def duplicate_findings(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -436,8 +437,8 @@ def same_name_other_id(df: DataFrame, per_name: int | None = None) -> DataFrame:
     rows = df.select(
         ROW, key.alias("name_key"), text(roles["worker_id"]).alias("worker_id"), name.alias("name")
     ).where("name_key <> '' and worker_id <> ''")
-    several = rows.groupBy("name_key").agg(F.min("worker_id").alias("a"), F.max("worker_id").alias("b"))
-    rows = rows.join(several.where("a <> b").select("name_key"), "name_key", "left_semi")
+    several = rows.groupBy("name_key").agg(F.min("worker_id").alias("a"), F.max("worker_id").alias("b"), F.count("*").alias("_n"))
+    rows = join_figures(rows, several.where("a <> b").select("name_key", "_n"), ["name_key"], "_n", how="left_semi")
     if per_name is not None:
         rows = first_n(rows, ["name_key"], [ROW], per_name)
     return rows.select(ROW, "worker_id", "name")
@@ -448,8 +449,9 @@ def multiple_plan_rows(df: DataFrame) -> DataFrame:
     roles = roles_of(df)
     worker = text(roles["worker_id"])
     tokens = df.select(worker.alias("_w"), F.explode(plan_tokens(roles["plan"])).alias("plan")).where("_w <> ''")
-    flagged = tokens.groupBy("_w").agg(F.min("plan").alias("a"), F.max("plan").alias("b")).where("a <> b")
-    return df.withColumn("_w", worker).join(flagged.select("_w"), "_w", "left_semi").drop("_w")
+    # A worker's tokens are at least as many as its rows with a plan.
+    flagged = tokens.groupBy("_w").agg(F.min("plan").alias("a"), F.max("plan").alias("b"), F.count("*").alias("_n")).where("a <> b")
+    return join_figures(df.withColumn("_w", worker), flagged.select("_w", "_n"), ["_w"], "_n", how="left_semi").drop("_w")
 
 
 def median_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -504,7 +506,7 @@ def round_salaries(df: DataFrame) -> DataFrame:
     whole = F.col("salary").cast("bigint")
     odd = whole.isin(*ROUND_VALUES) | whole.cast("string").endswith("00000")
     medians = median_by(rows.where("department <> '' and lower(department) <> 'nan'"), ["department"], "salary")
-    found = active.where(odd).join(repeated.where(odd), "salary").join(
+    found = join_figures(active.where(odd), repeated.where(odd), ["salary"], "repeated_count").join(
         medians.select("department", "median"), "department", "left")
     off = F.abs(F.col("salary") - F.col("median")) / F.col("median") > 0.2
     return found.where((F.coalesce(F.col("median"), F.lit(0.0)) <= 0) | off).select(
@@ -669,33 +671,34 @@ def table_findings(df: DataFrame) -> DataFrame:
     return row.select(F.explode(found).alias("e")).select("e.*")
 
 
+#: A half of a combined field has fewer different values than this.
+MOST_HALVES = 20
+
+
 def combined_fields(df: DataFrame) -> DataFrame:
-    """Columns that join two categories with a hyphen.
+    """Columns that join two categories with a hyphen, from one pass over all columns.
 
-    The first pass counts hyphens in every column and brings one row to the
-    driver. Only columns that pass get their halves counted.
+    Cells are counted per column, half and value; combined on the map side, a
+    column of categories is a few rows. The different halves are then counted
+    per column, up to the number that rules a column out.
     """
     columns = _data_columns(df)
-    filled = {c: F.when(~blank_audit(F.col(f"`{c}`")), text(F.col(f"`{c}`"))) for c in columns}
-    first = df.agg(*[
-        F.struct(F.count(v).alias("n"), F.count_if(v.contains("-")).alias("h")).alias(f"c{i}")
-        for i, v in enumerate(filled.values())]).first()
-    likely = [c for i, c in enumerate(columns) if first[f"c{i}"]["n"] >= 20
-              and first[f"c{i}"]["h"] / first[f"c{i}"]["n"] >= 0.80]
-    empty = df.sparkSession.range(0).select(*_finding(
-        "combined_field", "", "LOW", F.lit(0), F.lit(1), ""))
-    parts = [empty]
-    for c in likely:
-        joined = F.when(filled[c].contains("-"), filled[c])
-        halves = [strip(F.substring_index(joined, "-", 1)), strip(F.regexp_replace(joined, "^[^-]*-", ""))]
-        row = df.agg(F.count(filled[c]).alias("n"), F.count(joined).alias("h"),
-                     *[F.count_distinct(h).alias(f"d{i}") for i, h in enumerate(halves)])
-        part = row.where("d0 < 20 and d1 < 20").select(*_finding(
-            "combined_field", c, "LOW", F.col("h"), F.col("n"),
-            f"Column '{c}' appears to combine two fields using a hyphen separator. Must be split before system load."))
-        parts.append(part.withColumns({
-            "check_name": F.lit(f"Combined field detected - {c}"), "pct": F.bround("pct", 1)}))
-    return reduce(DataFrame.unionByName, parts)
+    filled = [F.when(~blank_audit(F.col(f"`{c}`")), text(F.col(f"`{c}`"))) for c in columns]
+    sides = lambda v: [strip(F.substring_index(v, "-", 1)), strip(F.regexp_replace(v, "^[^-]*-", ""))]
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), v.alias("v")) for i, v in enumerate(filled)])
+    rows = df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null")
+    entries = rows.select("at", F.when(F.col("v").contains("-"), F.array(*[F.struct(F.lit(k).alias("half"), h.alias("value")) for k, h in enumerate(sides(F.col("v")))]))
+                          .otherwise(F.array(F.struct(F.lit(-1).alias("half"), F.lit("").alias("value")))).alias("e"))
+    counted = entries.select("at", F.explode("e").alias("e")).groupBy("at", "e.half", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    halves = counted.groupBy("at", "half").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+    of = lambda k, c: F.coalesce(F.max(F.when(F.col("half") == k, F.col(c))), F.lit(0))
+    figures = halves.groupBy("at").agg(of(-1, "n").alias("plain"), of(0, "n").alias("h"), of(0, "different").alias("d0"), of(1, "different").alias("d1"))
+    figures = figures.withColumn("n", F.col("plain") + F.col("h"))
+    likely = figures.where((F.col("n") >= 20) & (F.col("h") / F.col("n") >= 0.80) & (F.col("d0") < MOST_HALVES) & (F.col("d1") < MOST_HALVES))
+    field = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at") + 1)
+    described = F.concat(F.lit("Column '"), field, F.lit("' appears to combine two fields using a hyphen separator. Must be split before system load."))
+    found = likely.select(*_finding("combined_field", field, "LOW", F.col("h"), F.col("n"), described))
+    return found.withColumns({"check_name": F.concat(F.lit("Combined field detected - "), F.col("field")), "pct": F.bround("pct", 1)})
 
 
 def salary_distribution(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.dates import iso_date
 from ..functions.numbers import number
 from ..sources.snapshots import ROW, ensure_columns
 from ..sources.staging import materialize
+from .heavy import join_figures
 
 
 def row_rank(row: str = ROW) -> Column:
@@ -32,8 +33,8 @@ def losing_rows(df: DataFrame, column: str, row: str = ROW) -> DataFrame:
     df = ensure_columns(df, ["worker_status", "hire_date", "salary", "payrate", column])
     keyed = df.where(~blank_strict(column)).select(row, folded(column).alias("_key"), row_rank(row).alias("_rank"))
     best = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_best"))
-    winners = best.where("_n > 1").select("_key", (-F.col("_best.order")).alias("_winner"))
-    return keyed.select(row, "_key").join(winners, "_key").where(F.col(row) != F.col("_winner")).select(row)
+    winners = best.where("_n > 1").select("_key", "_n", (-F.col("_best.order")).alias("_winner"))
+    return join_figures(keyed.select(row, "_key"), winners, ["_key"], "_n").where(F.col(row) != F.col("_winner")).select(row)
 
 
 def dedupe_best(

@@ -89,8 +89,9 @@ def suspicious_defaults(pairs: DataFrame, min_rate: float = 0.01) -> DataFrame:
     flagged = pairs.select(*listed, F.explode(found).alias("f")).select("f.issue_type", *_LISTED, "f.notes")
     waves = wave_dates(pairs, min_rate).withColumnRenamed("new_hire_date", "_wave")
     rate = F.concat(fixed(F.col("wave_count") / F.col("total_pairs") * 100, 2), F.lit("%"))
-    # At most 1 / min_rate dates can hold that share each, so the list is short.
-    wave_rows = pairs.select(*listed).join(F.broadcast(waves), text("new_hire_date") == F.col("_wave")).select(
+    # At most 1 / min_rate dates can hold that share each; without a bound on that, sizes decide how to join.
+    waves = F.broadcast(waves) if min_rate >= 0.0001 else waves
+    wave_rows = pairs.select(*listed).join(waves, text("new_hire_date") == F.col("_wave")).select(
         F.lit("hire_date_wave").alias("issue_type"), *_LISTED,
         F.concat(
             F.lit("new_hire_date="), F.col("_wave"), F.lit(" shared by "), _grouped(F.col("wave_count")),
