@@ -206,6 +206,41 @@ def test_pairs_across_the_components_of_a_band_are_verified(spark):
     assert {(r["node"], r["root"]) for r in got} == {(2, 2), (3, 2)}
 
 
+@pytest.mark.parametrize("nodes_", [3, 256])
+def test_large_band_values_are_compared_in_blocks(spark, monkeypatch, nodes_):
+    """One band value holds all texts: the components are those of all pairs of 0.8 or more, however the blocks fall."""
+    monkeypatch.setattr(simhash, "BLOCK_NODES", nodes_)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 50)
+    random.seed(nodes_)
+    texts = []
+    for _ in range(6):
+        base = [random.choice("abcdefghij") + str(random.randint(0, 50)) for _ in range(60)]
+        for _ in range(8):
+            base = list(base)
+            for _ in range(random.randint(0, 2)):
+                base[random.randint(0, 59)] = f"new{random.randint(0, 999)}"
+            texts.append(" ".join(base))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(56)} for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = frame(spark, texts).withColumn("_row", simhash.F.col("doc_id"))
+    nodes = spark.createDataFrame([(k, 7) for k in range(len(texts))], "node long, band0 long")
+    got = {r["node"]: r["root"] for r in simhash.copy_roots(rows, nodes, ["band0"], 5, 0.8).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == root and len(set(root)) < len(texts)
+    ones, others = pa.array(texts[:5] + [None, ""]), pa.array(texts[3:9])
+    whole = simhash.block_similarities(ones, others)
+    assert np.allclose(whole, [simhash.similarities(pa.array([x.as_py()] * 6, pa.string()), others) for x in ones])
+
+
+def test_a_column_named_like_the_row_number_stays(spark):
+    docs = spark.createDataFrame([(k, f"some words of text number {k}", 70 + k, 5) for k in (1, 2, 2)], "doc_id long, text string, _row long, row_of_input long")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "some words of text number 1", 71, 5), (2, "some words of text number 2", 72, 5)]
+
+
 def test_thresholds_cover_every_pair():
     random.seed(3)
     fps = np.array([random.getrandbits(64) for _ in range(200)], np.uint64)

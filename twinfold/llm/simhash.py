@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.tables import column, components, stored
+from twinfold.llm.tables import column, components, free_name, grouped, stored
 from twinfold.llm.words import LOWER, SOLID, extend, mix, text_blocks, word_codes, word_spans
 
 SHINGLE_WORDS = 3
@@ -46,6 +46,8 @@ COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 BANDS, MINIMA = 28, 6
 #: Pairs whose shingles are in memory at a time.
 VERIFIED_PAIRS = 256
+#: Nodes of a block; two blocks are compared at once, by so many of their common shingles at a time.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 14
 #: Shingles whose hashes and bits are in memory at a time.
 SLICE = 1 << 15
 _SPACE = np.uint8(32)
@@ -478,6 +480,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, least: float) ->
     return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
+def block_similarities(ones: pa.Array, others: pa.Array, n_words: int = COPY_WORDS) -> np.ndarray:
+    """The ``similarities`` of every text of one block with every text of another, as a matrix."""
+    def sets(texts):
+        found = [(low, *shingle_sets(data, offsets, n_words)) for low, _, data, offsets in text_blocks(texts)]
+        return np.concatenate([low + of for low, of, _ in found] or [np.zeros(0, int)]), np.concatenate([c for *_, c in found] or [np.zeros(0, np.uint64)])
+
+    (a, x), (b, y) = sets(ones), sets(others)
+    common = np.intersect1d(x, y)
+    both = np.zeros((len(ones), len(others)), np.float32)
+    for low in range(0, len(common), BLOCK_SHINGLES):
+        part = common[low:low + BLOCK_SHINGLES]
+        held = []
+        for of, codes, n in ((a, x, len(ones)), (b, y, len(others))):
+            at = np.minimum(np.searchsorted(part, codes), len(part) - 1)
+            there = part[at] == codes
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[of[there], at[there]] = 1
+            held.append(matrix)
+        both += held[0] @ held[1].T
+    sizes = [np.bincount(of, minlength=n) for of, n in ((a, len(ones)), (b, len(others)))]
+    return both / np.maximum(1, sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _near_across(left: DataFrame, texts: DataFrame, n_words: int, least: float) -> DataFrame:
+    """(a, b): enough of the near pairs of nodes of one key in different components to connect all that are near.
+
+    ``left`` holds the members of the keys with several components (key, node, root, main, hub). Those outside the
+    main component meet all others in blocks: a row per node and block that it meets, never one per pair.
+    """
+    members = left.where("node <> hub")
+    small = F.col("root") != F.col("main")
+    sizes = members.groupBy("key").agg(F.count_if(small).alias("n_one"), F.count("*").alias("n_other")).where("n_one > 0")
+    blocks = sizes.select("key", *[F.ceil(F.col(f"n_{s}") / BLOCK_NODES).cast("int").alias(f"blocks_{s}") for s in ("one", "other")])
+    rows = members.join(blocks, "key").join(texts, "node")
+    # A node's block by a hash of its own.
+    own = lambda side: F.pmod(F.xxhash64("node"), F.col(f"blocks_{side}")).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{side}") - 1))
+    one = rows.where(small).select("key", own("one").alias("i"), every("other").alias("j"), F.lit(0).alias("side"), "node", "root", "text")
+    other = rows.select("key", every("one").alias("i"), own("other").alias("j"), F.lit(1).alias("side"), "node", "root", "text")
+    dealt = one.unionByName(other).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in grouped(batches, 3):
+            side = t["side"].to_numpy()
+            parts = [t.filter(pa.array(side == k)) for k in (0, 1)]
+            if not all(p.num_rows for p in parts):
+                continue
+            a, b = (p["node"].to_numpy() for p in parts)
+            x, y = (p["root"].to_numpy() for p in parts)
+            text = [p["text"].combine_chunks() for p in parts]
+            near = block_similarities(*text, n_words) >= least - 1e-12
+            near &= x[:, None] != y[None, :]
+            parent: dict[int, int] = {}
+
+            def find(r):
+                while parent.get(r, r) != r:
+                    r = parent[r]
+                return r
+
+            links = []
+            for i, j in zip(*(k.tolist() for k in np.nonzero(near))):
+                p, q = find(int(x[i])), find(int(y[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    links.append((i, j))
+            if links:
+                i, j = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -486,8 +560,8 @@ def copy_roots(rows: DataFrame, nodes: DataFrame, bands: list[str], n_words: int
     """(node, root) of the nodes with a near copy; ``root`` is the smallest node that verified links reach.
 
     First every node is verified against the smallest of each of its bands' values. Where that leaves the nodes of a
-    value in several components, every pair across them is verified too: the components are those of all verified
-    candidates, but a large group of near copies costs about as many pairs as it has members.
+    value in several components, every pair across them is verified too, block against block: the components are those
+    of all verified candidates, but a large group of near copies costs about as many rows as it has members.
     """
     banded = nodes.select("node", F.explode(F.array(*bands)).alias("key"))
     keys = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
@@ -505,11 +579,7 @@ def copy_roots(rows: DataFrame, nodes: DataFrame, bands: list[str], n_words: int
     split = shares.agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main")).where("parts > 1").select("key", "main")
     left = stored(members.join(split, "key"), "split")
     # The smallest node has been compared with all others of the value.
-    one = left.where("root <> main and node <> hub").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    other = left.where("node <> hub").select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), "main")
-    across = one.join(other, "key").where("x_root <> y_root and (y_root = main or x < y)")
-    across = stored(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
-    more = stored(_verified(across.join(first, ["a", "b"], "left_anti"), texts, n_words, least), "verified")
+    more = stored(_near_across(left, texts, n_words, least), "verified")
     if more.isEmpty():
         return roots
     return stored(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
@@ -522,7 +592,9 @@ def deduplicated(docs: DataFrame, n_words: int = COPY_WORDS, least: float = COPY
     with the same set of shingles are one node, as are texts without words. Other edge cases are those of ``near_duplicates``.
     """
     whole, bands = ["set0", "set1"], [f"band{k}" for k in range(BANDS)]
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # A column of the input that is named like the row number steps aside.
+    renamed = {c: free_name(docs, "row_of_input") if c.lower() == "_row" else c for c in docs.columns}
+    rows = stored(docs.withColumnsRenamed(renamed).withColumn("_row", F.monotonically_increasing_id()), "rows")
     marked = stored(_sketches(rows, n_words, [*whole, *bands]), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     alike = marked.groupBy(*whole).agg(F.min(place).alias("first"), *[F.min(b).alias(b) for b in bands])
@@ -533,4 +605,4 @@ def deduplicated(docs: DataFrame, n_words: int = COPY_WORDS, least: float = COPY
     gone = stored(marked.select("_row").join(first, "_row", "left_anti"), "duplicates")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{new}`").alias(c) for c, new in renamed.items()])
