@@ -353,6 +353,17 @@ def test_planted_items_are_found(spark):
 
 # -- licences -----------------------------------------------------------------
 
+def test_scores_do_not_depend_on_the_shards(spark):
+    random.seed(31)
+    words_ = [f"w{k}" for k in range(150)]
+    items = [(k, " ".join(random.choice(words_) for _ in range(random.choice([8, 20, 70]))) + ". " + " ".join(random.choice(words_) for _ in range(5)) + ".") for k in range(40)]
+    items += [(40, None), (41, ""), (42, "one"), (None, items[0][1]), (3, items[3][1])]
+    texts = [" ".join([*(random.choice(words_) for _ in range(30)), random.choice(items[:40])[1], random.choice(items[:40])[1][:90]]) for _ in range(40)] + [None, "", "one two " * 3000]
+    docs, table = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted(map(tuple, decontaminate.matches(docs, table, threshold=0.3, shard_items=n).collect()), key=str) for n in (20_000, 7))
+    assert len(whole) > 40 and whole == parts
+
+
 def test_an_item_is_found_behind_its_question_alone(spark):
     question, answer = [f"q{k}" for k in range(64)], [f"a{k}" for k in range(20)]
     noise = [f"n{k}" for k in range(640)]

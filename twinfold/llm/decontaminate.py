@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.tables import column
+from twinfold.llm.tables import column, stored
 from twinfold.llm.words import ALNUM, LOWER, code_of, text_blocks, word_codes, word_spans
 
 #: Words of a passage, and from one passage to the next.
@@ -54,33 +55,50 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return (words[:cut], words[cut:]) if len(words) > 1 else (words, words)
 
 
+def pieces(question: list[str], answer: list[str]) -> list[list[str]]:
+    """The words of an item in pieces that fit a passage; an item without two sides has its words on both."""
+    words = question if question is answer else [*question, *answer]
+    n = -(-len(words) // PIECE)
+    cuts = [len(words) * j // n for j in range(n + 1)] if n else []
+    return [words[low:high] for low, high in zip(cuts, cuts[1:])]
+
+
+@dataclass
+class Statistics:
+    """Pieces of all items, their mean length, and in how many of them a word stands."""
+
+    n: int
+    mean: float
+    frequency: dict[str, int]
+
+
 class Index:
     """Postings by term over pieces of items, pieces in order, in blocks that know their largest impact.
 
-    A long item is cut into pieces that fit a passage; finding one retrieves the item.
+    A long item is cut into pieces that fit a passage; finding one retrieves the item. ``statistics`` are those of all
+    items where these are a part of them.
     """
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD, statistics: Statistics | None = None):
         self.ids = [i for i, _, _ in items]
         self.sides = [tuple(np.array([code_of(w) for w in side], np.uint64) for side in (q, a)) for _, q, a in items]
         texts, self.item = [], []
         for k, (_, q, a) in enumerate(items):
-            words = q if q is a else [*q, *a]
-            n = -(-len(words) // PIECE)
-            cuts = [len(words) * j // n for j in range(n + 1)] if n else []
-            for low, high in zip(cuts, cuts[1:]):
-                texts.append(words[low:high])
+            for piece in pieces(q, a):
+                texts.append(piece)
                 self.item.append(k)
         self.lengths = [len(q) if q is a else len(q) + len(a) for _, q, a in items]
-        mean = sum(map(len, texts)) / max(1, len(texts))
         counts: dict[str, list[tuple[int, int]]] = {}
         for k, words in enumerate(texts):
             for w in dict.fromkeys(words):
                 counts.setdefault(w, []).append((k, words.count(w)))
-        n, own, raw = len(texts), np.zeros(len(texts)), {}
+        if statistics is None:
+            statistics = Statistics(len(texts), sum(map(len, texts)) / max(1, len(texts)), {w: len(found) for w, found in counts.items()})
+        mean, n, own, raw = statistics.mean, len(texts), np.zeros(len(texts)), {}
         size = np.array([len(t) for t in texts], float)
-        for w, found in counts.items():
-            idf = np.log(1 + (n - len(found) + 0.5) / (len(found) + 0.5))
+        for w, found in sorted(counts.items()):  # sums in one order, whatever the shard
+            frequency = statistics.frequency[w]
+            idf = np.log(1 + (statistics.n - frequency + 0.5) / (frequency + 0.5))
             k = np.array([k for k, _ in found])
             tf = np.array([c for _, c in found], float)
             raw[w] = (k, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[k] / mean)))
@@ -233,19 +251,46 @@ def _items(items: DataFrame) -> DataFrame:
     )
 
 
+def _sides(text: str | None, question: str | None, answer: str | None) -> tuple[list[str], list[str]]:
+    return question_and_answer(text) if question is None or answer is None else (item_words(question), item_words(answer))
+
+
+def _piece_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, word, size): every different word of every piece; a null word has the size of the piece."""
+    for batch in batches:
+        rows = []
+        for shard, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+            for piece in pieces(*_sides(*texts)):
+                rows += [(shard, None, len(piece)), *((shard, w, 0) for w in dict.fromkeys(piece))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], ["shard", "word", "size"])
+
+
 def _indexes(items: DataFrame, threshold: float, shard_items: int) -> Iterator[Index]:
-    """One index per shard of at most about ``shard_items`` items, each collected and broadcast on its own."""
+    """One index per shard of at most about ``shard_items`` items, each collected and broadcast on its own.
+
+    How many pieces there are, how long, and in how many a word stands is counted over all items, so scores are the
+    same for any number of shards.
+    """
     items = _items(items)
     n = items.count()
     shards = -(-n // shard_items) if n else 0
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))))
+    words = None
+    if shards > 1:
+        rows = stored(items.select("shard", "text", "question", "answer").mapInArrow(_piece_words, "shard long, word string, size long"), "piece-words")
+        total = rows.where("word is null").agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+        counts = rows.where("word is not null").groupBy("shard", "word").agg(F.count("*").alias("own"))
+        words = stored(counts.join(counts.groupBy("word").agg(F.sum("own").alias("frequency")), "word"), "piece-frequencies")
     for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), shards) == k)
         rows = []
-        for r in part.toLocalIterator() if shards > 1 else part.collect():
-            given = r["question"] is not None and r["answer"] is not None
-            rows.append((r["item_id"], *((item_words(r["question"]), item_words(r["answer"])) if given else question_and_answer(r["text"]))))
+        for r in items.where(F.col("shard") == k).toLocalIterator():
+            rows.append((r["item_id"], *_sides(r["text"], r["question"], r["answer"])))
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-        yield Index(rows, threshold)
+        statistics = None
+        if words is not None:
+            own = words.where(F.col("shard") == k).select("word", "frequency").toLocalIterator()
+            statistics = Statistics(total["n"], total["size"] / max(1, total["n"]), {r["word"]: r["frequency"] for r in own})
+        yield Index(rows, threshold, statistics)
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS) -> DataFrame:
