@@ -174,3 +174,19 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     assert 0 < packed.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_long_paths_that_differ_in_the_middle_stay_apart(spark):
+    def page(middle, tag="div"):
+        long = lambda k: " ".join(f"utility-{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+        return (f'<body><div class="{long(0)}"><div class="{middle}"><{tag} class="{long(1)}"><p>{"Main words of the article stand here. " * 8}</p></{tag}></div>'
+                f'<div class="other"><{tag} class="{long(1)}"><p>Short aside.</p></{tag}></div></div></body>')
+
+    for tag in ("div", "section"):
+        own = html.Page(page("text", tag))
+        node, _ = own.best()
+        path = own.path(node)
+        assert len(path) < 300 and own.on_path(path) == [node] and html.Page(page("elsewhere", tag)).on_path(path) == []
+    rows = [(k, "http://h.org/x", page("text")) for k in range(3)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {("Main words of the article stand here. " * 8).strip()}

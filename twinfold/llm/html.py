@@ -9,6 +9,7 @@ any, else its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -168,7 +169,11 @@ class Page:
             steps.append(self.tag[node] + (f".{names}" if names else ""))
             node = self.parent[node]
         path = ">".join(reversed(steps)) or "#root"
-        return path if len(path) <= PATH_CHARS else path[:PATH_CHARS // 2] + "~" + path[-PATH_CHARS // 2 + 1:]
+        if len(path) <= PATH_CHARS:
+            return path
+        # A hash of the whole path stands for the rest; the tag of its last step stays beside it.
+        digest = hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
+        return f"{path[:PATH_CHARS // 2]}~{digest}>{path.rsplit('>', 1)[-1].split('.', 1)[0]}"
 
     def best(self) -> tuple[int, float]:
         """The container with the most text of its own blocks: a block counts whole for its container and half for the one above."""
