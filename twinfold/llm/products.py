@@ -238,12 +238,18 @@ def _meet(chunks: DataFrame, spans: DataFrame, queries: DataFrame, turns: dict[i
     one level are dealt to blocks, so that a unit is one chunk and one block, whatever their numbers.
     """
     counts = queries.groupBy("dims", "level").agg(F.count("*").alias("n"))
-    subs = F.greatest(F.ceil(F.col("n") * F.greatest("dims", F.lit(1)) / values), F.lit(1)).cast("int")
-    counts = stored(counts.select("dims", "level", subs.alias("subs")), "levels")
+    # Levels that are rare go together, from the least one on, so that a chunk meets about as many units as there are blocks of queries.
+    ahead = Window.partitionBy("dims").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.greatest(F.floor(F.lit(values) / F.greatest("dims", F.lit(1))), F.lit(1))
+    counts = counts.withColumn("set", F.floor(F.coalesce(F.sum("n").over(ahead), F.lit(0)) / block))
+    whole = Window.partitionBy("dims", "set")
+    subs = F.ceil(F.sum("n").over(whole) / block).cast("int")
+    counts = stored(counts.select("dims", "level", F.min("level").over(whole).alias("least_level"), subs.alias("subs")), "levels")
     # One row per vector size and level, of which a size has 16,384 at most.
-    pairs = spans.join(F.broadcast(counts), "dims").where("level <= reach")
+    sets = counts.select("dims", F.col("least_level").alias("level"), "subs").distinct()
+    pairs = spans.join(F.broadcast(sets), "dims").where("level <= reach")
     units = stored(pairs.select("dims", "chunk", "level", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")), "units")
-    asked = queries.join(F.broadcast(counts), ["dims", "level"])
+    asked = queries.join(F.broadcast(counts), ["dims", "level"]).withColumn("level", F.col("least_level"))
     asked = asked.withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
     shape = ["chunk", "level", "sub", "row", "vec_id", "norm", "vector", "least", "asking"]
     left = asked.withColumn("asking", F.lit(True)).join(units, ["dims", "level", "sub"]).select(shape)
