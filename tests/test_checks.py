@@ -140,3 +140,21 @@ def test_findings_carry_their_own_advice(spark):
     assert got[3] == got[4] == (DEFAULT_IMPACT, DEFAULT_ACTION)
     assert {k for k, _ in ADVICE} <= set(checks.CATALOG)
     assert not any("{" in text for pair in got for text in pair)
+
+
+def test_findings_carry_section_samples_and_groups(spark):
+    import json
+
+    from twinfold.operators.finding_samples import detailed_findings
+
+    rows = [(i, f"w{i % 30}", f"f{i}", f"l{i}", "active", "Ops", "Clerk", str(0 if i < 12 else 40_000 + 1000 * (i % 40))) for i in range(60)]
+    table = spark.createDataFrame(rows, "src_ord bigint, worker_id string, first_name string, last_name string, worker_status string, department string, job_title string, salary string")
+    found = {(r["check_key"], r["severity"]): r for r in detailed_findings(table, "2026-01-01").collect()}
+    zero = found["active_zero_salary", "CRITICAL"]
+    numbers = [json.loads(s)["row_number"] for s in zero["sample_rows"]]
+    assert zero["section"] == "CRITICAL_CHECKS" and zero["count"] == 12 and numbers == [str(k) for k in range(2, 10)] and zero["group_rows"] == []
+    twice = found["duplicate_worker_id", "CRITICAL"]
+    assert twice["section"] == "CRITICAL_CHECKS" and len(twice["sample_rows"]) == 8 and json.loads(twice["sample_rows"][0])["value"] == "w0"
+    equity = found["pay_equity_flag", "HIGH"]
+    assert equity["section"] == "PAY_EQUITY" and json.loads(equity["group_rows"][0])["department"] == "Ops" and equity["sample_rows"] == equity["group_rows"]
+    assert all(r["section"] and len(r["sample_rows"]) <= 8 for r in found.values())

@@ -131,6 +131,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "h")).count() == 2
 
 
+def test_a_repeated_run_leaves_one_copy(spark, tmp_path):
+    trail = spark.createDataFrame([("a",), ("b",)], "pair_id string")
+    for run in ("r1", "r2", "r1"):
+        sinks.append_audit_trail(trail if run == "r1" else trail.limit(1), str(tmp_path / "trail"), run)
+        sinks.append_run_history(spark, {"run_id": run, "pairs": 5}, str(tmp_path / "runs"))
+    assert sorted((r["run_id"], r["pair_id"]) for r in spark.read.parquet(str(tmp_path / "trail")).collect()) == [("r1", "a"), ("r1", "b"), ("r2", "a")]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "runs")).select("run_id", "pairs").collect())) == [("r1", 5), ("r2", 5)]
+
+
 def test_manifest(spark, tmp_path):
     path = write(tmp_path / "a.csv", "abc")
     row = snapshots.input_manifest(spark, [path]).first()

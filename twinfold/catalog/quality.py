@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, issues
+from ..operators import checks, finding_samples, issues
 from ..operators.audit_facts import with_facts
 from ..policy import load_policy
 from . import samples
@@ -387,6 +387,38 @@ _sev_rank = "case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIU
 _add("audit_findings", lambda s, d: checks.all_findings(people(s, d), AS_OF, raw=raw_people(s, d)).select(
         "check_key", "field", "severity", "value", "count"),
      people_sql("select * from found", _FIND_STEPS))
+
+
+def _detailed(spark, sf_dir):
+    """Every finding with its section and the row numbers of its first records, and how many groups it shows."""
+    found = finding_samples.detailed_findings(people(spark, sf_dir), AS_OF, raw=raw_people(spark, sf_dir))
+    numbers = F.transform("sample_rows", lambda x: F.coalesce(F.get_json_object(x, "$.row_number"), F.get_json_object(x, "$.title"), F.lit("loop")))
+    return found.select("check_key", "field", "severity", "value", "section", F.array_join(numbers, ",").alias("rows"), F.size("group_rows").alias("groups"))
+
+
+_records = " union all ".join([
+    f"select check_key, field, severity, value, k, f.at as n from ({_flag_sql}) f",
+    *[f"select 'duplicate_{f}', '{f}', '{'MEDIUM' if f == 'email' else 'CRITICAL'}', '', k, 0 from people where trim({f}) in "
+      f"(select trim({f}) from people where trim({f}) <> '' group by 1 having count(*) > 1)" for f in ("worker_id", "email", "last4_ssn")],
+    *[f"select '{key}', '{field}', '{sev}', '', k, 0 from ({rows})" for key, field, sev, rows in (
+        ("duplicate_name_different_id", "worker_id", "MEDIUM", _name_rows), ("multiple_active_benefit_plans", "benefit_plan", "HIGH", _plan_rows),
+        ("salary_outlier", "department", "MEDIUM", _outlier_rows), ("suspicious_round_salary", "salary", "LOW", _round_rows),
+        ("status_high_pending", "worker_status", "MEDIUM", "select k from facts where st = 'pending'"))],
+    "select case when duplicate_canonical_field = 'worker_id' then 'duplicate_canonical_worker_id_conflict' else 'duplicate_canonical_conflict' end, "
+    f"duplicate_canonical_field, case when duplicate_canonical_field = 'worker_id' then 'CRITICAL' else 'HIGH' end, '', src_ord, 0 from ({_conf_sql}) "
+    "where duplicate_classification = 'duplicate_conflicting_values'",
+    *[f"select 'high_blank_rate', '{c}', (select severity from ({_complete_sql}) where field = '{c}'), '', k, 0 from people where {_bl(c)}" for c in _cols]])
+_section = " ".join(f"when check_key in ({', '.join(repr(k) for k in keys)}) then '{s}'" for s, keys in finding_samples.SECTIONS.items())
+_equity_groups = _equity_rows.replace("select 1 from", "select job_title, department from")
+_add("audit_finding_details", _detailed,
+     people_sql("select f.check_key, f.field, f.severity, f.value, case when check_key in ("
+                + ", ".join(repr(k) for k in finding_samples.CRITICAL_IF) + f") and f.severity = 'CRITICAL' then 'CRITICAL_CHECKS' {_section} else 'DUPLICATES' end as section, "
+                "case check_key when 'pay_equity_flag' then (select coalesce(string_agg(job_title, ',' order by job_title, department), '') from "
+                f"(select * from ({_equity_groups}) order by job_title, department limit 8)) when 'manager_loop' then array_to_string(list_resize(['loop'], least(f.count, 8)::int, 'loop'), ',') "
+                "else coalesce(s.rows, '') end as rows, case check_key when 'pay_equity_flag' then least(f.count, 20) when 'manager_loop' then least(f.count, 20) else 0 end::integer as groups "
+                "from found f left join (select check_key, field, severity, value, string_agg(k + 2, ',' order by k, n) as rows from (select *, row_number() over "
+                f"(partition by check_key, field, severity, value order by k, n) as rn from ({_records})) where rn <= 8 group by 1, 2, 3, 4) s using (check_key, field, severity, value) where f.count > 0",
+                _FIND_STEPS))
 _add("audit_check_counts", lambda s, d: checks.check_counts(findings(s, d)),
      people_sql(f"select check_key, check_name, severity, coalesce(n, 0)::bigint as count from {_catalog_sql} left join (select check_key, sum(count) as n "
                 "from found group by 1) using (check_key)", _FIND_STEPS))

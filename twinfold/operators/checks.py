@@ -793,7 +793,8 @@ def flagged_rows(facts: DataFrame, cases: list[Case]) -> DataFrame:
     """One row per record and failed row check."""
     entries = F.array_compact(F.array(*[
         F.when(c.mask, F.struct(F.lit(c.key).alias("check_key"), F.lit(c.severity).alias("severity"),
-                                F.lit(c.field).alias("field"), c.value.alias("current_value"), F.lit(c.reason).alias("reason")))
+                                F.lit(c.field).alias("field"), F.lit(c.setting).alias("setting"), c.value.alias("current_value"),
+                                F.lit(c.reason).alias("reason")))
         for c in cases if c.counted
     ]))
     return facts.select(ROW, F.explode(entries).alias("e")).select(ROW, "e.*")

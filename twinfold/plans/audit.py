@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import checks, issues
+from ..operators import checks, finding_samples, issues
 from ..operators.audit_facts import roles_of
 from ..policy import load_policy
 from ..sources.snapshots import ROW, audit_aliases, require_columns, resolve_aliases
@@ -92,7 +92,7 @@ def audit(raw: DataFrame, as_of: str, policy: dict | None = None, override_gate:
     high = checks.blank_findings(blanks, config["high_blank_rate_threshold"]).select("field")
     # One name per column of the table: a list as short as the header.
     fields = [r["field"] for r in high.toLocalIterator()]
-    findings = materialize(checks.all_findings(table, as_of, policy, raw=named), "findings")
+    findings = materialize(finding_samples.detailed_findings(table, as_of, policy, raw=named), "findings")
     frame = materialize(issues.issue_frame(table, as_of, policy, raw=named, blank_fields=sorted(fields)), "issues")
     gate = checks.evaluate_gate(findings, override_gate)
     conflicts = checks.canonical_conflicts(named)

@@ -53,12 +53,26 @@ def write_partitioned_queue(queue: DataFrame, path: str, fmt: str = "parquet") -
     named.write.mode("overwrite").partitionBy("dept_slug").options(**options).format(fmt).save(path)
 
 
+def _write_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Write the rows of one run in place of any that it wrote before; other runs are not touched.
+
+    Spark replaces the partitions that the rows have, and the folder of a run
+    appears as a whole when the job commits.
+    """
+    writer = df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+
+
 def append_run_history(spark: SparkSession, row: dict, path: str) -> None:
-    """Append one row of run figures."""
-    fields = {k: F.lit(v) for k, v in row.items()}
-    spark.range(1).select(*[v.alias(k) for k, v in fields.items()]).write.mode("append").parquet(path)
+    """Add one row of run figures; with a ``run_id``, a run that is written again leaves one row."""
+    figures = {k: v for k, v in row.items() if k != "run_id"}
+    one = spark.range(1).select(*[F.lit(v).alias(k) for k, v in figures.items()])
+    if "run_id" in row:
+        _write_run(one, path, str(row["run_id"]))
+    else:
+        one.write.mode("append").parquet(path)
 
 
 def append_audit_trail(trail: DataFrame, path: str, run_id: str) -> None:
-    """Append the decisions of a run; earlier runs are never rewritten."""
-    trail.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """Add the decisions of a run; earlier runs are never rewritten, and a run that is repeated replaces its own."""
+    _write_run(trail, path, run_id)
