@@ -211,3 +211,16 @@ def test_no_similar_title_is_lost(spark):
     words = lambda t: " ".join(sorted(t.split()))
     assert got == {(k, b): _ratio(words(k), words(b)) for k in keys for b in base if _ratio(words(k), words(b)) >= 0.85}
     assert sum(k != b for k, b in got) > 50
+
+
+def test_titles_are_compared_in_a_few_seconds_whatever_their_number(spark):
+    import time
+
+    from twinfold.operators.match import title_ratio
+
+    rows = spark.range(100_000).selectExpr("concat('senior engineer ', id % 977) as a", "concat('engineer level ', id % 991, ' north') as b")
+    start = time.time()
+    assert rows.select(title_ratio(F.col("a"), F.col("b")).alias("r")).where("r >= 0").count() == 100_000
+    assert time.time() - start < 40
+    odd = spark.createDataFrame([(None, "a"), ("a", None), ("", ""), ("", "b"), ("b c", "c b")], "a string, b string")
+    assert [r["r"] for r in odd.select(title_ratio(F.col("a"), F.col("b")).alias("r")).collect()] == [0.0, 0.0, 1.0, 0.0, 1.0]
