@@ -158,3 +158,24 @@ def test_findings_carry_section_samples_and_groups(spark):
     equity = found["pay_equity_flag", "HIGH"]
     assert equity["section"] == "PAY_EQUITY" and json.loads(equity["group_rows"][0])["department"] == "Ops" and equity["sample_rows"] == equity["group_rows"]
     assert all(r["section"] and len(r["sample_rows"]) <= 8 for r in found.values())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_light_keys_are_joined_by_a_shuffle(spark):
+    from twinfold.operators.heavy import join_figures
+
+    rows = spark.createDataFrame([(i % 3, i) for i in range(9)], "k long, v long")
+    joined = join_figures(rows, spark.createDataFrame([(0, 3), (1, 3)], "k long, n long"), ["k"], "n")
+    assert "SortMergeJoin [k" in _plan(joined)
+    assert sorted(r["v"] for r in joined.collect()) == [0, 1, 3, 4, 6, 7]
+
+
+def test_people_of_one_file_are_dealt_by_their_key(spark, tmp_path):
+    from twinfold.catalog.quality import people
+
+    spark.createDataFrame([(i, f"c{i}", 0, 1.0, "M") for i in range(5)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = people(spark, str(tmp_path))
+    assert "hashpartitioning(c_custkey" in _plan(rows) and rows.count() == 5
