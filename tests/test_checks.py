@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from twinfold.operators import checks, issues
 from twinfold.operators.advice import ADVICE, DEFAULT_ACTION, DEFAULT_IMPACT, advice
@@ -179,3 +180,14 @@ def test_people_of_one_file_are_dealt_by_their_key(spark, tmp_path):
     spark.createDataFrame([(i, f"c{i}", 0, 1.0, "M") for i in range(5)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     rows = people(spark, str(tmp_path))
     assert "hashpartitioning(c_custkey" in _plan(rows) and rows.count() == 5
+
+
+def test_dealt_people_are_not_merged_into_a_task_again(spark, tmp_path):
+    from twinfold.catalog.quality import people
+    from twinfold.catalog.samples import TASK_ROWS
+
+    n = 2 * TASK_ROWS + 1
+    rows = spark.range(n, numPartitions=1).selectExpr("id as c_custkey", "concat('c', id) as c_name", "0 as c_nationkey", "1.0 as c_acctbal", "'M' as c_mktsegment")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = people(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 3 and sum(r["count"] for r in tasks) == n
