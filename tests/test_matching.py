@@ -315,3 +315,24 @@ def test_apply_decisions_refuses_repeated_ids(spark):
     reviewed = spark.createDataFrame([("a", "y", "match")], "old_worker_id string, new_worker_id string, decision string")
     with pytest.raises(ValueError):
         review.apply_decisions(matched, reviewed)
+
+
+def test_crowded_keys_are_read_from_the_stored_sides(spark, tmp_path):
+    for name in ("old", "new"):
+        spark.createDataFrame([(k, f"{name}{k}", f"R{k}", "ann lee", "lee", "1990-01-01", "TX") for k in range(3)],
+                              "src_ord long, worker_id string, recon_id string, full_name_norm string, last_name_norm string, dob string, location_state string"
+                              ).write.parquet(f"{tmp_path}/{name}")
+    old, new = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("old", "new"))
+    members = review.grouped_candidates(old, new)
+    assert members.where("confidence = 'HIGH'").count() == 6
+    assert not [f for f in members.inputFiles() if str(tmp_path) in f]
+
+
+def test_salary_anomalies_are_banded_after_the_salaries_are_parsed(spark):
+    from twinfold.operators.pair_audits import salary_anomalies_by
+
+    rows = [("A", "100", "300"), ("A", "100", "101"), ("B", "100", "101"), ("C", "0", "5"), ("C", "0", "0"), ("C", "x", "5"), (None, "100", "900")]
+    found = salary_anomalies_by(spark.createDataFrame(rows, "new_district string, old_salary string, new_salary string"), "new_district")
+    assert {r["new_district"]: r["anomaly_count"] for r in found.collect()} == {"A": 1, "C": 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "over_15_percent" not in "".join(line for line in plan.splitlines() if "Filter" in line)
