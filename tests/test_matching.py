@@ -335,4 +335,4 @@ def test_salary_anomalies_are_banded_after_the_salaries_are_parsed(spark):
     found = salary_anomalies_by(spark.createDataFrame(rows, "new_district string, old_salary string, new_salary string"), "new_district")
     assert {r["new_district"]: r["anomaly_count"] for r in found.collect()} == {"A": 1, "C": 2}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "over_15_percent" not in "".join(line for line in plan.splitlines() if "Filter" in line)
+    assert "Filter" in plan and "0.15" not in plan.rsplit("Filter", 1)[1]
