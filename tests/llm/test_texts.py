@@ -570,3 +570,30 @@ def test_quality_keeps_the_clean(spark):
     assert not any(kept[k] for k in range(200, 220)) and kept[500] and kept[501] and kept[502] and kept[-1] and kept[0] == 2
     assert kneser_ney.judged(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).where("not kept").count() == 0
     assert kneser_ney.judged(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_model_is_trained_on_all_trusted_documents(spark, monkeypatch):
+    rows = spark.range(3300).selectExpr("id AS doc_id", "concat('a b c w', id % 1700) AS text", "if(id % 3 = 0, 'de', 'en') AS lang")
+    taught = []
+    train = kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda texts, *more: taught.extend(r["text"] for r in texts.collect()) or train(texts, *more))
+    got = kneser_ney.judged(rows, rows.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert got.where("perplexity is not null and threshold is not null").count() == 3300
+    assert Counter(taught) == Counter(f"a b c w{k % 1700}" for k in range(3300))
+
+
+def test_texts_are_judged_by_the_other_fold(spark):
+    texts = [t.capitalize() + "." for t in prose(30, 17, 20)]
+    texts += texts[:5] + ["junk JUNK 99 !!", ""]
+    docs = frame(spark, texts)
+    fold = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", kneser_ney._fold(docs).alias("fold")).collect()}
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(35)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kneser_ney.judged(docs, labels).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    models = [brute_kneser_ney([tokens(text[k]) for k in range(35) if fold[k] == 1 - f], 3) for f in (0, 1)]
+    assert len(got) == len(texts) and {fold[k] for k in range(35)} == {0, 1}
+    for k, r in got.items():
+        probability, mapped = models[fold[k]]
+        p = ["<s>", "<s>", *map(mapped, tokens(text[k]))]
+        expected = math.exp(-sum(math.log(probability(*p[i:i + 3])) for i in range(len(p) - 2)) / (len(p) - 2)) if len(p) > 2 else None
+        assert r["perplexity"] is None if expected is None else math.isclose(r["perplexity"], expected, rel_tol=1e-6)
