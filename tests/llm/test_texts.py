@@ -597,3 +597,11 @@ def test_texts_are_judged_by_the_other_fold(spark):
         p = ["<s>", "<s>", *map(mapped, tokens(text[k]))]
         expected = math.exp(-sum(math.log(probability(*p[i:i + 3])) for i in range(len(p) - 2)) / (len(p) - 2)) if len(p) > 2 else None
         assert r["perplexity"] is None if expected is None else math.isclose(r["perplexity"], expected, rel_tol=1e-6)
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = frame(spark, prose(20, 18, 20))
+    model = kneser_ney.train(docs.select("lang", "text"))
+    scored = kneser_ney.perplexities(docs, model, keep=("doc_id", "lang"), chunk_bytes=500)
+    assert sorted(r["doc_id"] for r in scored.collect()) == list(range(20))
+    assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
