@@ -605,3 +605,38 @@ def test_texts_are_shuffled_once(spark):
     scored = kneser_ney.perplexities(docs, model, keep=("doc_id", "lang"), chunk_bytes=500)
     assert sorted(r["doc_id"] for r in scored.collect()) == list(range(20))
     assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_chunk_asks_by_document(bits):
+    texts = ["a b a b.", "", "b a b a b a", None, "a b a b.", "x" * 300 + " a b"]
+    languages = ["en", "en", "de", "en", "en", None]
+    salts = kneser_ney._salts(languages)
+    marks = np.append(kneser_ney.SHAPES, kneser_ney.START)
+    every = np.array([words.code_of(w) for w in ("a", "b", ".")], np.uint64)
+
+    class Known:
+        def get(self, folder, language, shard, kinds):
+            found = np.sort(words.mix(every ^ np.array(language).view(np.uint64)))
+            return {"code": found[kneser_ney.shard_of(found, bits) == shard]}
+
+        def vocabulary(self, folder, language, kinds, bits):
+            return np.sort(words.mix(np.concatenate([marks, every]) ^ np.array(language).view(np.uint64)))
+
+    asked, held_by = Counter(), Counter()
+    for lang, sub, (code, ac, b, doc) in kneser_ney._asked(Known(), kneser_ney.Model("w", "g", "f", bits), pa.array(texts, pa.string()), pa.array(languages, pa.string())):
+        used = Known().vocabulary("w", lang, None, bits)[kneser_ney._codes_in(kneser_ney._unpressed(code))]
+        a, c = kneser_ney._from_planes(ac).reshape(2, -1)
+        b = kneser_ney._from_planes(b)
+        which, held = kneser_ney._texts_of(doc)
+        assert len(set(which)) == len(which) and (kneser_ney.shard_of(used[b], bits) == sub).all()
+        held_by.update(dict(zip(which.tolist(), held.tolist())))
+        asked.update(zip(np.repeat(which, held).tolist(), used[a].tolist(), used[b].tolist(), used[c].tolist()))
+    expected = Counter()
+    for k, text in enumerate(texts):
+        code = lambda w: int(words.mix(np.array([w], np.uint64) ^ salts[k])[0])
+        row = [words.code_of(w) if w in ("a", "b", ".") else int(kneser_ney.SHAPES[0]) for w in tokens(text)]
+        row = [code(w) for w in [int(kneser_ney.START)] * 2 + row]
+        expected.update((k, *row[i:i + 3]) for i in range(len(row) - 2))
+    assert asked == expected
+    assert held_by == Counter({k: len(tokens(t)) for k, t in enumerate(texts) if t})
