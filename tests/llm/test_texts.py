@@ -640,3 +640,25 @@ def test_chunk_asks_by_document(bits):
         expected.update((k, *row[i:i + 3]) for i in range(len(row) - 2))
     assert asked == expected
     assert held_by == Counter({k: len(tokens(t)) for k, t in enumerate(texts) if t})
+
+
+def test_only_trusted_texts_are_shuffled_for_training(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "'en' AS lang", "repeat(concat('w', id, ' '), 20) AS text").write.parquet(f"{tmp_path}/docs")
+    spark.range(40).selectExpr("id * 10 AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels")
+    most, plans = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store = kneser_ney.stored
+
+    def watched(df, name):
+        if name == "training-text":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            assert sorted(int(r["text"].split()[0][1:]) for r in df.collect()) == list(range(0, 400, 10))
+        return store(df, name)
+
+    kneser_ney.stored = watched
+    try:
+        assert kneser_ney.judged(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels"), keep=("doc_id", "lang")).count() == 400
+    finally:
+        kneser_ney.stored = store
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert len(plans) == 1 and "might_contain" in plans[0]
