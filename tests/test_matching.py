@@ -1,5 +1,6 @@
 import difflib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,6 +257,50 @@ def test_every_member_has_its_best_partner(spark, monkeypatch, score, method, sp
         assert (r["partner_row"], r["score"]) == (best, points(best)) and (r["n_old"], r["n_new"]) == (len(group["old"]), len(group["new"]))
 
 
+def _evidence_people(rng, n):
+    names = ["jonathan smithson", "jonathan smithsen", "smithson jonathan", "jonathon smithsen", "ann li", "an li", "", "bob jones", "bob  jones"]
+    return [person(i, last4_ssn=rng.choice(["1", "2", ""]), dob=rng.choice(["", "1970-01-01", "1971-01-01"]), full_name_norm=rng.choice(names),
+                   last_name_norm=rng.choice(["smith", "jones", ""]), location_state=rng.choice(["TX", "CA", ""])) for i in range(n)]
+
+
+def test_groups_are_dealt_whole_to_tasks(spark, monkeypatch):
+    """No member is exploded and joined, and names are paired, as long as groups fit a task; in batches of any size."""
+    rng = random.Random(21)
+    o, n = snapshot(spark, _evidence_people(rng, 40)), snapshot(spark, _evidence_people(rng, 35))
+    rows = {s: {r["row"]: r.asDict() for r in review.review_side(d).collect()} for s, d in (("old", o), ("new", n))}
+
+    def never(*_):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(partners, "near_texts", never)
+    for batch in (1, 100_000):
+        monkeypatch.setattr(partners, "BATCH_ROWS", batch)
+        got = review.grouped_evidence(o, n, "signals", method="edit").collect()
+        members = {}
+        for r in got:
+            members.setdefault((r["evidence"], r["key"]), {"old": [], "new": []})[r["side"]].append(r["row"])
+        assert len(got) > 50 and all(len(m["old"]) > 1 and len(m["new"]) > 1 for m in members.values())
+        for r in got:
+            side, other = (r["side"], "new" if r["side"] == "old" else "old")
+            points = lambda p: _points(*((rows["old"][r["row"]], rows["new"][p]) if side == "old" else (rows["old"][p], rows["new"][r["row"]])), "signals", "edit")  # noqa: E731, B023
+            best = min(members[r["evidence"], r["key"]][other], key=lambda p: (-points(p), p))  # noqa: B023
+            assert (r["partner_row"], r["score"]) == (best, points(best))
+
+
+def test_crowded_groups_have_the_same_partners(spark, monkeypatch):
+    """Groups of any size by joins, and dealt ones whose names meet by their q-grams; row numbers repeat, one is null."""
+    rng = random.Random(22)
+    sides = []
+    for people in (_evidence_people(rng, 70), _evidence_people(rng, 70)):
+        number = F.when(F.col("src_ord") == 3, F.lit(None).cast("long")).otherwise(F.expr("src_ord - if(src_ord % 7 = 1, 1, 0)"))
+        sides.append(snapshot(spark, people).withColumn("src_ord", number))
+    rows = lambda: Counter(tuple(r) for r in review.grouped_evidence(*sides, "weighted", method="edit").collect())
+    plain = rows()
+    monkeypatch.setattr(partners, "PAIRS_PER_NAME", 0)
+    monkeypatch.setattr(partners, "GROUP_ROWS", 12)
+    assert rows() == plain and len(plain) > 50
+
+
 def test_preferences_inside_groups(spark):
     def two(i, name, **more):
         return person(i, full_name_norm=name, dob="1990-01-01", **more)
