@@ -599,6 +599,27 @@ def test_texts_are_judged_by_the_other_fold(spark):
         assert r["perplexity"] is None if expected is None else math.isclose(r["perplexity"], expected, rel_tol=1e-6)
 
 
+def test_words_have_shards_by_their_own_number(spark):
+    """Every task reads all words of a language, so their files may not be as many as those of its trigrams."""
+    texts = prose(60, 19, 40)
+    model = kneser_ney.train(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), shard_tokens=300)
+    files = lambda folder: len(spark.read.parquet(folder).inputFiles())
+    assert files(model.grams) >= 4 and files(model.words) == 1
+
+
+def test_packed_trigrams_go_many_at_a_time():
+    schema = pa.schema([("lang", pa.int64()), ("code", pa.binary())])
+    got = list(kneser_ney._sent(((k, b"x" * k) for k in range(1200)), schema))
+    assert [b.num_rows for b in got] == [500, 500, 200] and pa.Table.from_batches(got).to_pylist() == [{"lang": k, "code": b"x" * k} for k in range(1200)]
+
+
+@pytest.mark.parametrize("n", [5, 10_000])
+def test_places_among_the_values_in_use(n):
+    columns = [np.array([4, 1, 1]), np.array([0, 4, 3]), np.array([1, 1, 4])]
+    used, places = kneser_ney._places(n, *columns)
+    assert used.tolist() == [0, 1, 3, 4] and all((used[p] == x).all() for p, x in zip(places, columns))
+
+
 def test_texts_are_shuffled_once(spark):
     docs = frame(spark, prose(20, 18, 20))
     model = kneser_ney.train(docs.select("lang", "text"))
